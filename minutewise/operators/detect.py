@@ -17,19 +17,22 @@ SIGNALS = ("p95", "error_rate")
 
 
 def detect(metrics: DataFrame, params: Params = Params(), since: datetime | None = None,
-           created_at: Column | None = None) -> DataFrame:
-    """ANOMALY rows of every bucket (from `since` on) that any detector flags."""
-    return findings(scored(metrics, params, since), params, created_at)
+           earlier: DataFrame | None = None, created_at: Column | None = None) -> DataFrame:
+    """ANOMALY rows of every bucket (from `since` on) that any detector flags.
+
+    `earlier` holds buckets that serve as history only, for callers that keep each series' last ones.
+    """
+    return findings(scored(metrics, params, since, earlier), params, created_at)
 
 
 def scored(metrics: DataFrame, params: Params = Params(), since: datetime | None = None,
-           with_forest: bool = True) -> DataFrame:
+           earlier: DataFrame | None = None, with_forest: bool = True) -> DataFrame:
     """METRIC rows with one score column per detector and signal, null where nothing fired.
 
     All statistical frames share one shuffle and one sort. The forest is by far the dearest step, so its
     rows are spread by bucket over all tasks first, however few series there are.
     """
-    base = _with_history(metrics, params, since)
+    base = _with_history(metrics, params, since, earlier)
     ready = F.size("_p95") >= params.min_history
     out = base.select(
         *METRIC.fieldNames(),
@@ -89,13 +92,17 @@ def findings(scores: DataFrame, params: Params = Params(), created_at: Column |
     )
 
 
-def _with_history(metrics: DataFrame, params: Params, since: datetime | None) -> DataFrame:
+def _with_history(metrics: DataFrame, params: Params, since: datetime | None,
+                  earlier: DataFrame | None) -> DataFrame:
     rows = metrics.select(*METRIC.fieldNames())
     if since is not None:
         # A time filter can't pass below a frame that counts rows, so fetch just what the frames need.
-        start = instant(since)
-        older = latest_rows(rows, params.longest_history, start)
-        rows = rows.where(F.col("minute_bucket") >= start).unionByName(older)
+        older = latest_rows(rows, params.longest_history, instant(since))
+        earlier = older if earlier is None else earlier.select(*METRIC.fieldNames()).unionByName(older)
+        rows = rows.where(F.col("minute_bucket") >= instant(since))
+    rows = rows.withColumn("_wanted", F.lit(True))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select(*METRIC.fieldNames(), F.lit(False).alias("_wanted")))
     rows = chunked(rows.withColumn("error_rate", error_rate()), params.longest_history, params.chunk_rows)
 
     tail = previous(params.min_history)
@@ -107,8 +114,7 @@ def _with_history(metrics: DataFrame, params: Params, since: datetime | None) ->
                 f"_dev_{s}": F.stddev_samp(s).over(tail),
             }
         )
-    rows = rows.withColumn("_forest_history", history(features(), params.longest_history)).where("_own")
-    return rows if since is None else rows.where(F.col("minute_bucket") >= instant(since))
+    return rows.withColumn("_forest_history", history(features(), params.longest_history)).where("_own AND _wanted")
 
 
 def _zscore(signal: str, ready: Column, params: Params) -> Column:

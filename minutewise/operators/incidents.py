@@ -29,13 +29,16 @@ def label_incidents(events: DataFrame, incidents: DataFrame, window_seconds: int
 
 def per_bucket(incidents: DataFrame, window_seconds: int) -> DataFrame:
     """Each incident once per bucket it touches."""
-    width = window_seconds * 1_000_000
-    first = F.floor(F.unix_micros("start") / F.lit(width))
-    last = F.floor((F.unix_micros("end") - 1) / F.lit(width))
+    width = F.lit(window_seconds * 1_000_000)
+
+    def floor(micros):
+        return micros - F.pmod(micros, width)
+
+    slots = F.sequence(floor(F.unix_micros("start")), floor(F.unix_micros("end") - 1), width)
     return (
         incidents.where(F.col("start") < F.col("end"))
-        .withColumn("_slot", F.explode(F.sequence(first, last)))
-        .withColumn("minute_bucket", F.timestamp_seconds(F.col("_slot") * window_seconds))
+        .withColumn("_slot", F.explode(slots))
+        .withColumn("minute_bucket", F.timestamp_micros("_slot"))
         .drop("_slot")
     )
 
