@@ -59,6 +59,8 @@ ANOMALY = T.StructType(
     ]
 )
 
+OUTBOX = T.StructType([T.StructField("id", T.LongType()), T.StructField("payload", T.StringType())])
+
 # How often each latency occurred in a bucket: the mergeable form of a bucket's sample.
 VALUE_COUNT = T.StructType(
     [

@@ -11,7 +11,7 @@ from ..functions.messages import alert, anomaly, as_json, envelope
 from ..operators.detect import detect
 from ..operators.history import latest_rows
 from ..params import Params
-from ..schemas import ANOMALY, BUCKET_KEY, METRIC, SERIES
+from ..schemas import ANOMALY, BUCKET_KEY, METRIC, OUTBOX, SERIES
 from ..sources.tables import ensure_table, read_batches, write_batch
 from .ingest import EVERY_5_SECONDS
 
@@ -82,4 +82,4 @@ def start_detection(spark: SparkSession, metrics_path: str, anomalies_path: str,
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
-    return read_batches(spark, path, "id bigint, payload string")
+    return read_batches(spark, path, OUTBOX)
