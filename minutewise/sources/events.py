@@ -15,7 +15,12 @@ FIELDS = EVENT.fieldNames()
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
-_ZONE = r"[Tt ].*([Zz]|[+-]\d{2}(:?\d{2})?)$"
+# What a shorter form leaves out: the time of day, the seconds, the zone.
+_FILL_IN = [
+    (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"),
+    (r"([T ]\d{2}:\d{2})($|[Z+-])", "$1:00$2"),
+    (r"([T ][\d:.]+)$", "$1Z"),
+]
 # The first and last second of years 1 to 9999.
 _FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799
 
@@ -142,23 +147,25 @@ def _faults(as_of: Column | None, params: Params) -> list[Column]:
 
 def _finish(typed: DataFrame, reason: Column, keep: list[str]) -> DataFrame:
     ok = F.col("_status").between(100, 599)
-    return typed.withColumn("reject_reason", reason).select(
-        *keep,
+    row = F.struct(
         "service",
         "endpoint",
         F.when(ok, F.col("_status")).cast("int").alias("status_code"),
         "latency_ms",
         "ts",
-        "reject_reason",
+        reason.alias("reject_reason"),
     )
+    # A filter on reject_reason would otherwise move below the projection and parse the text once per rule;
+    # it can't move below a generator.
+    return typed.select(*keep, F.inline(F.array(row)))
 
 
 def _iso_instant(text: Column) -> Column:
     """ISO-8601 text as an instant; without an offset it is UTC, whatever the session's zone."""
-    plain = F.regexp_replace(F.upper(text), ",", ".")
-    midnight = F.when(F.length(plain) == 10, F.concat(plain, F.lit("T00:00"))).otherwise(plain)
-    zoned = F.when(F.regexp_like(midnight, F.lit(_ZONE)), midnight).otherwise(F.concat(midnight, F.lit("Z")))
-    return F.when(F.regexp_like(text, F.lit(_ISO_TIME)), zoned.try_cast("timestamp"))
+    full = F.regexp_replace(F.upper(text), ",", ".")
+    for pattern, replacement in _FILL_IN:
+        full = F.regexp_replace(full, pattern, replacement)
+    return F.when(F.regexp_like(text, F.lit(_ISO_TIME)), full.try_cast("timestamp"))
 
 
 def _epoch_instant(seconds: Column) -> Column:

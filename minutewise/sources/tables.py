@@ -7,13 +7,17 @@ from datetime import date, datetime, time, timedelta, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalar import bucket_start, instant
+from ..functions.scalar import bucket_start, instant, utc
 from ..operators.rollup import rollup
 from ..params import Params
 from ..schemas import ANOMALY, BUCKET_KEY, INCIDENT, LABEL, METRIC, SERIES
 
 
+_DATED_METRIC = T.StructType([*METRIC.fields, T.StructField("bucket_date", T.DateType())])
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch as its own directory; running the batch again replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -51,29 +55,43 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.schema(INCIDENT).format(fmt).load(path)
 
 
-def read_metrics(spark: SparkSession, closed: str, repaired: str | None = None) -> DataFrame:
+def read_metrics(spark: SparkSession, closed: str, repaired: str | None = None, start: datetime | None = None,
+                 end: datetime | None = None) -> DataFrame:
     """Metrics as written by the live job, with repaired buckets in place of the live ones.
 
-    Only days that have a repair pay for the key comparison; all others are read as they are.
+    Only days that have a repair pay for the key comparison; all others are read as they are. With start or
+    end (start <= minute_bucket < end), repaired days outside the range aren't opened.
     """
-    live = read_batches(spark, closed, METRIC)
+    live = _between(read_batches(spark, closed, METRIC), start, end)
     if repaired is None:
         return live
     try:
-        fixed = spark.read.parquet(repaired)
+        fixed = spark.read.schema(_DATED_METRIC).parquet(repaired)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return live
+    if start is not None:
+        fixed = fixed.where(F.col("bucket_date") >= F.lit(utc(start).astimezone(timezone.utc).date()))
+    if end is not None:
+        fixed = fixed.where(F.col("bucket_date") <= F.lit(utc(end).astimezone(timezone.utc).date()))
     # One value per day directory.
     days = [row.bucket_date for row in fixed.select("bucket_date").distinct().collect()]
     day = F.to_date("minute_bucket")
-    fixed = fixed.select(*METRIC.fieldNames())
+    fixed = _between(fixed.select(*METRIC.fieldNames()), start, end)
     untouched = live.where(~day.isin(days))
     superseded = live.where(day.isin(days)).join(fixed.select(*BUCKET_KEY), BUCKET_KEY, "left_anti")
     return untouched.unionByName(superseded).unionByName(fixed)
 
 
+def _between(metrics: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    if start is not None:
+        metrics = metrics.where(F.col("minute_bucket") >= instant(start))
+    if end is not None:
+        metrics = metrics.where(F.col("minute_bucket") < instant(end))
+    return metrics
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Replace whole days of a metrics table: only the days present in `metrics` are touched.
 
