@@ -59,9 +59,9 @@ def _statistical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _incidents(requests: DataFrame) -> DataFrame:
-    """Per series and day, half an hour from the first server error on."""
-    day = F.to_date("ts").alias("day")
-    firsts = requests.where("status_code >= 500").groupBy("service", "endpoint", day).agg(F.min("ts").alias("start"))
+    """Per series and day, half an hour from the first slow server error on."""
+    slow = requests.where("status_code >= 500 AND latency_ms >= 150")
+    firsts = slow.groupBy("service", "endpoint", F.to_date("ts").alias("day")).agg(F.min("ts").alias("start"))
     return firsts.select(
         F.unix_micros("start").alias("seq"),
         "service",
@@ -74,8 +74,7 @@ def _incidents(requests: DataFrame) -> DataFrame:
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
     requests = _requests(spark, d)
-    late = _incidents(requests).where(F.hour("start") >= 3)
-    return label_keys(label_incidents(requests, late, SIX_HOURS.window_seconds))
+    return label_keys(label_incidents(requests, _incidents(requests), SIX_HOURS.window_seconds))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -461,13 +460,13 @@ zscore_{s} AS (SELECT minute_bucket, service, endpoint, ({s} - mean_{s}) / dev_{
 
 
 _INC = """firsts AS (SELECT service, endpoint, CAST(ts AS DATE) AS day, min(ts) AS start FROM req
-  WHERE status_code >= 500 GROUP BY ALL),
+  WHERE status_code >= 500 AND latency_ms >= 150 GROUP BY ALL),
 inc AS (SELECT epoch_us(start) AS seq, service, endpoint, start, start + INTERVAL 30 MINUTE AS stop,
   'errors ' || CAST(day AS VARCHAR) AS kind FROM firsts),
 hit AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS minute_bucket, q.service, q.endpoint,
   seq, kind, start FROM req q JOIN inc i ON q.service = i.service AND q.endpoint = i.endpoint
   AND q.ts >= i.start AND q.ts < i.stop),
-truth AS (SELECT DISTINCT minute_bucket, service, endpoint FROM hit WHERE hour(start) >= 3)"""
+truth AS (SELECT DISTINCT minute_bucket, service, endpoint FROM hit)"""
 
 _SAMPLES = """samples AS (SELECT service, (epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE AS offset_s, latency_ms
   FROM req)"""

@@ -7,6 +7,8 @@ one depth at a time, as flat numpy arrays.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -28,65 +30,70 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n <= 2, 1.0, harmonic))
 
 
+@lru_cache(maxsize=64)
+def _draws(n: int, width: int):
+    """The random part of a forest over n points: samples, feature preferences and cut positions."""
+    sample = min(MAX_SAMPLE, n)
+    limit = int(np.ceil(np.log2(max(sample, 2))))
+    rng = np.random.RandomState(SEED)
+    grows = np.zeros((TREES, n + 1), dtype=bool)
+    for tree in grows:
+        tree[rng.permutation(n)[:sample]] = True
+    # Per depth, tree and node: features in the order to try them, as the first that varies splits the node.
+    preferred = rng.random_sample((limit, TREES * 2**limit, width)).argsort(axis=2).astype(np.int32)
+    position = rng.random_sample((limit, TREES * 2**limit))
+    return sample, limit, grows, preferred, position
+
+
 def forest_scores(history: np.ndarray, current: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores (lower is more anomalous) of each window's history (w, n) and current point (w,).
 
     history: (w, n, features); current: (w, features).
     """
     windows, n, width = history.shape
-    sample = min(MAX_SAMPLE, n)
-    limit = int(np.ceil(np.log2(max(sample, 2))))
-    rng = np.random.RandomState(SEED)
-    drawn = np.stack([rng.permutation(n)[:sample] for _ in range(TREES)])
-    pick_feature = rng.random_sample((limit, TREES, 2**limit))
-    pick_cut = rng.random_sample((limit, TREES, 2**limit))
+    sample, limit, grows, preferred, position = _draws(n, width)
 
     # One row per (window, tree, point): the current point rides along last and never shapes a tree.
-    points = np.concatenate([history, current[:, None, :]], axis=1)
-    grows = np.zeros((TREES, n + 1), dtype=bool)
-    np.put_along_axis(grows, drawn, True, axis=1)
-    point = np.tile(np.arange(windows * (n + 1)).reshape(windows, 1, n + 1), (1, TREES, 1)).ravel()
-    tree = np.repeat(np.arange(windows * TREES), n + 1)
+    values = np.concatenate([history, current[:, None, :]], axis=1).reshape(-1)
+    point = np.tile(np.arange(windows * (n + 1), dtype=np.int32).reshape(windows, 1, n + 1) * width, (1, TREES, 1)).ravel()
+    tree = np.repeat(np.arange(windows * TREES, dtype=np.int32), n + 1)
     trains = np.tile(grows, (windows, 1)).ravel()
-    values = points.reshape(-1, width)
-    node = np.zeros(point.size, dtype=np.int64)
+    node = np.zeros(point.size, dtype=np.int32)
     depth = np.zeros(point.size)
-    row = np.arange(point.size)
+    row = np.arange(point.size, dtype=np.int32)
 
     for level in range(limit + 1):
-        if row.size == 0:
-            break
-        # Nodes with their training points in one run each; riders look their node up.
+        # The rows of a node lie in one run.
         key = tree[row] * 2**limit + node[row]
         order = np.argsort(key, kind="stable")
         row, key = row[order], key[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        of_node = np.repeat(np.arange(first.size), np.diff(np.r_[first, key.size]))
-        x = values[point[row]]
-        learn = trains[row]
-        size = np.add.reduceat(learn.astype(np.int64), first)
-        low = np.minimum.reduceat(np.where(learn[:, None], x, np.inf), first, axis=0)
-        high = np.maximum.reduceat(np.where(learn[:, None], x, -np.inf), first, axis=0)
-        varied = high > low
-        splits = (size > 1) & varied.any(axis=1) & (level < limit)
-
-        done = ~splits[of_node]
-        depth[row[done]] = level + average_path(size[of_node[done]])
-
-        at_tree = (key[first] // 2**limit) % TREES
-        at_node = key[first] % 2**limit
-        step = min(level, limit - 1)
-        wanted = np.floor(pick_feature[step, at_tree, at_node] * varied.sum(axis=1)) + 1
-        feature = np.argmax(np.cumsum(varied, axis=1) == wanted[:, None], axis=1)
-        nodes = np.arange(first.size)
-        floor, ceiling = low[nodes, feature], high[nodes, feature]
-        with np.errstate(invalid="ignore"):
-            cut = floor + pick_cut[step, at_tree, at_node] * (ceiling - floor)
-        cut = np.where(cut >= ceiling, floor, cut)
-
-        go = ~done
-        to_right = x[go, feature[of_node[go]]] > cut[of_node[go]]
-        row = row[go]
+        runs = np.diff(np.r_[first, key.size])
+        size = np.add.reduceat(trains[row], first, dtype=np.int32)
+        cut, feature, varied = np.zeros(first.size), np.zeros(first.size, dtype=np.int32), np.zeros(first.size, dtype=bool)
+
+        if level < limit:
+            slot = key[first] % (TREES * 2**limit)
+            undecided = np.flatnonzero(size > 1)
+            for choice in range(width):
+                if undecided.size == 0:
+                    break
+                tried = preferred[level, slot[undecided], choice]
+                low, high = _extremes(values, point, trains, row, first, runs, undecided, tried)
+                cuts = low + position[level, slot[undecided]] * (high - low)
+                varies = high > low
+                cut[undecided] = np.where(cuts < high, cuts, low)
+                feature[undecided] = tried
+                varied[undecided] = varies
+                undecided = undecided[~varies]
+
+        splits = np.repeat(varied, runs)
+        leaf = row[~splits]
+        depth[leaf] = level + np.repeat(average_path(size), runs)[~splits]
+        row = row[splits]
+        if row.size == 0:
+            break
+        to_right = values[point[row] + np.repeat(feature, runs)[splits]] > np.repeat(cut, runs)[splits]
         node[row] = node[row] * 2 + to_right
 
     mean_depth = depth.reshape(windows, TREES, n + 1).mean(axis=1)
@@ -94,6 +101,21 @@ def forest_scores(history: np.ndarray, current: np.ndarray) -> tuple[np.ndarray,
     return score[:, :n], score[:, n]
 
 
+def _extremes(values, point, trains, row, first, runs, nodes, feature):
+    """Lowest and highest training value of one feature per chosen node."""
+    if nodes.size < first.size:
+        chosen = np.zeros(first.size, dtype=bool)
+        chosen[nodes] = True
+        row, runs = row[np.repeat(chosen, runs)], runs[nodes]
+        first = np.r_[0, np.cumsum(runs)[:-1]]
+    x = values[point[row] + np.repeat(feature, runs)]
+    learn = trains[row]
+    return (
+        np.minimum.reduceat(np.where(learn, x, np.inf), first),
+        np.maximum.reduceat(np.where(learn, x, -np.inf), first),
+    )
+
+
 def flagged_scores(history: np.ndarray, current: np.ndarray, contamination: float) -> np.ndarray:
     """The current point's score where it is below the training cut-off, else NaN."""
     out = np.empty(len(history))

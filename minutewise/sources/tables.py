@@ -99,7 +99,8 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     """
     dated = metrics.withColumn("bucket_date", F.to_date("minute_bucket"))
     (
-        dated.sortWithinPartitions("bucket_date", *SERIES, "minute_bucket")
+        dated.hint("rebalance", "bucket_date")
+        .sortWithinPartitions("bucket_date", *SERIES, "minute_bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket_date")

@@ -42,7 +42,9 @@ def start_live(events: DataFrame, values_path: str, feed_path: str, checkpoint:
         counts = count_values(to_values(batch, params.window_seconds))
         added = counts.select("*", hour, F.lit(batch_id).cast("bigint").alias("batch_id")).persist()
         (
-            added.write.mode("overwrite")
+            # About one file per hour, more only where an hour is large.
+            added.hint("rebalance", "bucket_hour")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket_hour", "batch_id")
             .parquet(values_path)
