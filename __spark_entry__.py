@@ -283,6 +283,15 @@ def repaired_metrics(spark, d):
     return _plain(tables.read_metrics(spark, f"{home}/closed", f"{home}/repaired"))
 
 
+def upserted_metrics(spark, d):
+    """A table of rows that lack the 404s, then corrected by an upsert of half the services."""
+    home = shared_folder(configure(spark))
+    requests = _requests(spark, d)
+    tables.write_metrics(rollup(requests.where("status_code <> 404"), SIX_HOURS), f"{home}/metrics")
+    tables.upsert_metrics(rollup(requests, SIX_HOURS).where("service >= 'svc2'"), f"{home}/metrics")
+    return _plain(tables.read_metrics(spark, f"{home}/none", f"{home}/metrics"))
+
+
 def stream_ingest(spark, d):
     home = shared_folder(configure(spark))
     _json_lines(spark, d).withColumnRenamed("raw", "value").write.text(f"{home}/raw")
@@ -397,6 +406,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_outbox": alert_outbox,
         "run_report": run_report,
         "repaired_metrics": repaired_metrics,
+        "upserted_metrics": upserted_metrics,
         "stream_ingest": stream_ingest,
         "stream_metrics": stream_metrics,
         "stream_live": stream_live,
@@ -634,6 +644,9 @@ def oracle_sql() -> dict[str, str]:
                                   _m("part", name="p")) + f"""
   SELECT {_METRIC_OUT} FROM m WHERE minute_bucket >= TIMESTAMP '2024-01-16'
   UNION ALL SELECT {_METRIC_OUT} FROM p WHERE minute_bucket < TIMESTAMP '2024-01-16'""",
+        "upserted_metrics": _with(_REQ, "part AS (SELECT * FROM req WHERE status_code <> 404)", _m(),
+                                  _m("part", name="p")) + f"""
+  SELECT {_METRIC_OUT} FROM m WHERE service >= 'svc2' UNION ALL SELECT {_METRIC_OUT} FROM p WHERE service < 'svc2'""",
         "stream_ingest": _with(_REQ, _JSON) + """SELECT reject_reason, count(*) AS n FROM verdict GROUP BY 1
   UNION ALL SELECT 'accepted', count(*) FROM judged WHERE reject_reason IS NULL""",
         "stream_metrics": m + f"""SELECT {_METRIC_OUT} FROM m

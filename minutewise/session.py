@@ -56,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute df now and keep it in the shared checkpoint folder, so later steps don't repeat it.
 
-    For small intermediate tables only. The files are reliable storage: losing executors loses nothing.
+    For tables far smaller than the events, such as rollups and rank targets. The files are reliable storage: losing executors loses nothing.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():

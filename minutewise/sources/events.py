@@ -125,6 +125,23 @@ def to_wire_json(events: DataFrame) -> DataFrame:
     return to_wire(events).select(F.to_json(F.struct(*FIELDS)).alias("value"))
 
 
+def append_wire(events: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None):
+    """Append events to a log of JSON lines; a streaming frame needs a checkpoint and returns its query.
+
+    A folder takes either batch or streaming appends: its readers trust a stream's own list of files.
+    """
+    lines = to_wire_json(events)
+    if not events.isStreaming:
+        return lines.write.mode("append").text(path)
+    writer = lines.writeStream.queryName("append").format("text").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def read_wire(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """EVENT_WIRE rows from a log written by append_wire."""
+    return df.select(F.from_json(raw, EVENT_WIRE).alias("_event")).select("_event.*")
+
+
 def _faults(as_of: Column | None, params: Params) -> list[Column]:
     """One reason column per rule, in the order they are reported; the fields are typed or null by now."""
     now = F.current_timestamp() if as_of is None else as_of

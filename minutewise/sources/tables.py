@@ -13,6 +13,7 @@ from ..functions.scalar import bucket_start, instant, utc
 from ..operators.rollup import rollup
 from ..params import Params
 from ..schemas import ANOMALY, BUCKET_KEY, INCIDENT, LABEL, METRIC, SERIES
+from ..session import cut
 
 
 _DATED_METRIC = T.StructType([*METRIC.fields, T.StructField("bucket_date", T.DateType())])
@@ -108,6 +109,27 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     )
 
 
+def upsert_metrics(updates: DataFrame, path: str) -> None:
+    """Put updates into a table kept by write_metrics: a bucket that is there already is replaced, not added to.
+
+    Of duplicate updates of a bucket one is kept. Only the days touched are read and rewritten, and the new rows
+    are complete in the checkpoint folder before the first old one goes.
+    """
+    spark = updates.sparkSession
+    new = cut(updates.select(*METRIC.fieldNames()).dropDuplicates(BUCKET_KEY))
+    # One value per day touched.
+    days = [row.day for row in new.select(F.to_date("minute_bucket").alias("day")).distinct().collect()]
+    try:
+        old = spark.read.schema(_DATED_METRIC).parquet(path).where(F.col("bucket_date").isin(days))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_metrics(new, path)
+        return
+    kept = old.select(*METRIC.fieldNames()).join(new.select(*BUCKET_KEY), BUCKET_KEY, "left_anti")
+    write_metrics(cut(kept.unionByName(new)), path)
+
+
 def repair(events: DataFrame, path: str, days: list[date], params: Params = Params()) -> None:
     """Recompute whole days from raw events, late ones included, and replace them in the repaired table.
 

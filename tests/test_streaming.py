@@ -11,7 +11,7 @@ from minutewise.operators.rollup import rollup
 from minutewise.params import Params
 from minutewise.schemas import EVENT, EVENT_WITH_ID, METRIC
 from minutewise.sources import tables
-from minutewise.sources.events import stream_events, stream_json
+from minutewise.sources.events import append_wire, parse_wire_events, read_wire, split_valid, stream_events, stream_json
 from minutewise.streaming import detection, ingest, live
 from minutewise.streaming.metrics import start_metrics
 from minutewise.streaming.progress import progress_table
@@ -168,8 +168,8 @@ def test_detection_follows_closed_buckets(spark, tmp_path):
 
 def test_detection_starts_from_a_backfill(spark, tmp_path):
     run = Run(spark, tmp_path)
-    past = spark.createDataFrame([steady(b) for b in range(60)], METRIC)
-    spike = (minute(60), "a", "/x", 100, 90, 800.0, 2000.0, 3000.0)
+    past = spark.createDataFrame([steady(b) for b in range(30)], METRIC)
+    spike = (minute(30), "a", "/x", 100, 90, 800.0, 2000.0, 3000.0)
     tables.write_batch(spark.createDataFrame([spike], METRIC), run.path("closed"), 0)
     run.detect(history=past)
     found = tables.read_anomalies(spark, run.path("found")).collect()
@@ -195,3 +195,29 @@ def test_ingest_keeps_good_rows_and_sets_bad_ones_aside(spark, tmp_path):
     closed = str(tmp_path / "closed")
     start_metrics(ingest.accepted_events(spark, table, stream=True), closed, str(tmp_path / "cp2"), trigger=ONCE).awaitTermination()
     assert short(tables.read_metrics(spark, closed)) == [(0, 1, 1.5, 1.5)]
+
+
+def test_upsert_replaces_and_keeps(spark, tmp_path):
+    path = str(tmp_path / "m")
+
+    def put(*rows):
+        tables.upsert_metrics(spark.createDataFrame([(minute(b), s, "/x", n, 0, 1.0, 1.0, 1.0) for b, s, n in rows], METRIC), path)
+
+    put((0, "a", 5), (1, "a", 6), (2000, "a", 9))
+    put((0, "a", 7), (0, "b", 1))  # a correction and a newcomer on the first day
+    put((0, "b", 1))
+    stored = tables.read_metrics(spark, str(tmp_path / "none"), path)
+    got = sorted((r.service, r.minute_bucket.day, r.minute_bucket.minute, r.request_count) for r in stored.collect())
+    assert got == [("a", 1, 0, 7), ("a", 1, 1, 6), ("a", 2, 20, 9), ("b", 1, 0, 1)]
+
+
+def test_wire_log_batch_and_stream(spark, tmp_path):
+    run, stream_log, batch_log = Run(spark, tmp_path), str(tmp_path / "wire"), str(tmp_path / "wire2")
+    run.drop([(1, 10, 10.5), (2, 50, 30)])
+    append_wire(run.events().drop("event_id"), stream_log, run.path("cp/w"), ONCE).awaitTermination()
+    append_wire(spark.read.schema(EVENT).parquet(run.path("log")), batch_log)
+    for log in (stream_log, batch_log):
+        lines = spark.read.text(log)
+        assert all(isinstance(v, str) for r in lines.collect() for v in json.loads(r.value).values())
+        valid, rejects = split_valid(parse_wire_events(read_wire(lines, "value")))
+        assert sorted(r.latency_ms for r in valid.collect()) == [10.5, 30.0] and rejects.count() == 0
