@@ -11,7 +11,7 @@ from ..functions.forest import forest_column
 from ..functions.scalar import error_rate, features, instant
 from ..params import Params
 from ..schemas import ANOMALY, BUCKET_KEY, FINDING_KEY, METRIC
-from .history import chunked, history, latest_rows, previous
+from .history import CHUNK, chunked, history, latest_rows, previous
 
 SIGNALS = ("p95", "error_rate")
 
@@ -29,27 +29,24 @@ def scored(metrics: DataFrame, params: Params = Params(), since: datetime | None
            earlier: DataFrame | None = None, with_forest: bool = True) -> DataFrame:
     """METRIC rows with one score column per detector and signal, null where nothing fired.
 
-    All statistical frames share one shuffle and one sort. The forest is by far the dearest step, so its
-    rows are spread by bucket over all tasks first, however few series there are.
+    All frames share one shuffle and one sort. The forest, by far the dearest step, runs in the same tasks: a
+    chunk is small, so chunks spread evenly however few series there are. Their number of tasks is set here
+    because the planner would merge tasks by bytes, and a forest costs time rather than bytes.
     """
-    base = _with_history(metrics, params, since, earlier)
+    tasks = params.forest_partitions or int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = _with_history(metrics, params, since, earlier, tasks if with_forest else None)
     ready = F.size("_p95") >= params.min_history
     out = base.select(
         *METRIC.fieldNames(),
         "error_rate",
-        "_forest_history",
+        *([F.flatten("_forest_history").alias("_past"), features().alias("_now")] if with_forest else []),
         *[_zscore(s, ready, params).alias(f"zscore_{s}") for s in SIGNALS],
         *[_ewma(s, ready, params).alias(f"ewma_{s}") for s in SIGNALS],
     )
     if not with_forest:
-        return out.drop("_forest_history")
-    tasks = params.forest_partitions or int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return out
     score = forest_column(params.contamination, params.forest_min_history)
-    return (
-        out.repartition(tasks, *BUCKET_KEY)
-        .withColumn("forest", score(F.flatten("_forest_history"), features()))
-        .drop("_forest_history")
-    )
+    return out.withColumn("forest", score("_past", "_now")).drop("_past", "_now")
 
 
 def zscore(metrics: DataFrame, signal: str, params: Params = Params(), since: datetime | None = None) -> DataFrame:
@@ -93,7 +90,7 @@ def findings(scores: DataFrame, params: Params = Params(), created_at: Column |
 
 
 def _with_history(metrics: DataFrame, params: Params, since: datetime | None,
-                  earlier: DataFrame | None) -> DataFrame:
+                  earlier: DataFrame | None, tasks: int | None) -> DataFrame:
     rows = metrics.select(*METRIC.fieldNames())
     if since is not None:
         # A time filter can't pass below a frame that counts rows, so fetch just what the frames need.
@@ -104,6 +101,8 @@ def _with_history(metrics: DataFrame, params: Params, since: datetime | None,
     if earlier is not None:
         rows = rows.unionByName(earlier.select(*METRIC.fieldNames(), F.lit(False).alias("_wanted")))
     rows = chunked(rows.withColumn("error_rate", error_rate()), params.longest_history, params.chunk_rows)
+    if tasks:
+        rows = rows.repartition(tasks, *CHUNK)
 
     tail = previous(params.min_history)
     for s in SIGNALS:

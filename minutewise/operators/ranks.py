@@ -58,23 +58,24 @@ def select_ranks(values: DataFrame, targets: DataFrame, keys: list[str], value:
 
 
 def exact_ranks(samples: DataFrame, keys: list[str], value: str, ranks, params: Params) -> DataFrame:
-    """One row (keys, n, at) per group: its size and a map from each rank that ranks(n) names to its value.
+    """One row (keys, n, mean, at) per group; `at` maps each rank that ranks(n) names to its value.
 
     Groups up to hot_rows rows are numbered by a window, one group per task at a time; larger ones go
     through select_ranks. As in the rollup, at most hot_groups of them do.
     """
     rows = samples.select(*keys, F.col(value).cast("double").alias("_x"), F.lit(1).cast("bigint").alias("_w"))
-    sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("ranks", ranks(F.col("n"))))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
+    sizes = cut(totals.withColumn("ranks", ranks(F.col("n"))))
     large = sizes.where(F.col("n") > params.hot_rows).orderBy(F.desc("n"), *keys).limit(params.hot_groups)
     hot = F.broadcast(large.select(*keys))
 
     number = F.row_number().over(W.partitionBy(*keys).orderBy("_x")) - 1
-    numbered = rows.join(hot, keys, "left_anti").withColumn("rank", number.cast("bigint")).join(sizes, keys)
+    numbered = rows.join(hot, keys, "left_anti").withColumn("rank", number.cast("bigint")).join(sizes.drop("n", "mean"), keys)
     found = numbered.where(F.array_contains("ranks", F.col("rank"))).select(*keys, "rank", F.col("_x").alias("value"))
     if not large.isEmpty():
         found = found.unionByName(select_ranks(rows, large.select(*keys, "ranks"), keys, "_x", "_w"))
     at = F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
-    return found.groupBy(*keys).agg(at).join(sizes.select(*keys, "n"), keys)
+    return found.groupBy(*keys).agg(at).join(sizes.drop("ranks"), keys)
 
 
 def interpolate(at_rank: Column, rows: Column, p: float) -> Column:

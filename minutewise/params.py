@@ -26,9 +26,9 @@ class Params:
     hot_rows: int = 1_000_000
     # At most this many buckets (the largest) take it; it also bounds what is broadcast.
     hot_groups: int = 100_000
-    # Longest run of one series' buckets sorted by one task.
-    chunk_rows: int = 20_000
-    # Tasks for forest fitting; 0 means spark.sql.shuffle.partitions.
+    # One series' buckets go to tasks in runs of this many, each with its history copied along.
+    chunk_rows: int = 500
+    # Tasks for detection with the forest; 0 means spark.sql.shuffle.partitions.
     forest_partitions: int = 0
     # Longest series nested into one row by service_detail.
     max_nested_points: int = 50_000

@@ -90,13 +90,14 @@ def latency_stats(samples: DataFrame, by: list[str] | None = None, params: Param
     def rank(n: Column, p: float) -> Column:
         return F.least(F.floor(n * F.lit(p)), n - 1).cast("bigint")
 
-    at = exact_ranks(rows, keys, "latency_ms", lambda n: F.array_distinct(F.array(*[rank(n, p) for p in SHARES.values()])),
-                     params)
-    means = rows.groupBy(*keys).agg(F.avg("latency_ms").alias("avg_ms"))
-    stats = at.join(means, keys).select(
+    def ranks(n: Column) -> Column:
+        return F.array_distinct(F.array(*[rank(n, p) for p in SHARES.values()]))
+
+    at = exact_ranks(rows, keys, "latency_ms", ranks, params)
+    stats = at.select(
         *keys,
         F.col("n").alias("count"),
-        "avg_ms",
+        F.col("mean").alias("avg_ms"),
         *[F.col("at")[rank(F.col("n"), p)].alias(name) for name, p in SHARES.items()],
     )
     if by:

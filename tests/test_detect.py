@@ -97,7 +97,7 @@ def twin_hits(rows, signal):
 
 
 @pytest.mark.parametrize("signal", ["p95", "error_rate"])
-@pytest.mark.parametrize("chunk_rows", [31, 20_000])
+@pytest.mark.parametrize("chunk_rows", [31, 500])
 def test_scores_equal_a_plain_loop(spark, signal, chunk_rows):
     metrics, rows = random_metrics(spark)
     z, e = twin_hits(rows, signal)
@@ -107,7 +107,7 @@ def test_scores_equal_a_plain_loop(spark, signal, chunk_rows):
         assert len(expected) > 5 and got == pytest.approx(expected, rel=1e-9)
 
 
-@pytest.mark.parametrize("chunk_rows", [40, 20_000])
+@pytest.mark.parametrize("chunk_rows", [40, 500])
 def test_since_changes_nothing_but_the_range(spark, chunk_rows):
     metrics, rows = random_metrics(spark, 12)
     params = Params(chunk_rows=chunk_rows)
