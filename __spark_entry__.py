@@ -268,7 +268,7 @@ def run_report(spark, d):
         one.select(
             "scenario_name", "throughput_latency.count", "throughput_latency.p99_ms", "throughput_variance.maximum",
             "live_latency.avg_ms", "detection.true_positives", "operational.peak_pending",
-            "pipeline.processed_per_sec",
+            "processing.processed_per_sec",
         )
     )
 

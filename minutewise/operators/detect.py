@@ -15,6 +15,16 @@ from .history import CHUNK, chunked, history, latest_rows, previous
 
 SIGNALS = ("p95", "error_rate")
 
+# The reason texts.
+REASON = {
+    "p95": "p95 latency %.1fms is %.2f std devs from ",
+    "error_rate": "error rate %.3f is %.2f std devs from ",
+    "multivariate": "multivariate outlier across request_count/error_rate/p50/p95/p99 "
+    "(isolation forest score %.3f, lower = more anomalous)",
+}
+BASELINE_WINDOW = "the {n}-bucket baseline"
+BASELINE_EWMA = "the EWMA baseline (alpha={alpha})"
+
 
 def detect(metrics: DataFrame, params: Params = Params(), since: datetime | None = None,
            earlier: DataFrame | None = None, created_at: Column | None = None) -> DataFrame:
@@ -66,21 +76,16 @@ def forest(metrics: DataFrame, params: Params = Params(), since: datetime | None
 
 def findings(scores: DataFrame, params: Params = Params(), created_at: Column | None = None) -> DataFrame:
     """One ANOMALY row per score that fired, with a stable id and a reason in words."""
-    n, alpha = params.min_history, params.ewma_alpha
-    latency, rate = "p95 latency %.1fms is %.2f std devs from ", "error rate %.3f is %.2f std devs from "
-    window, weighted = f"the {n}-bucket baseline", f"the EWMA baseline (alpha={alpha})"
-    outlier = "multivariate outlier across request_count/error_rate/p50/p95/p99 " \
-              "(isolation forest score %.3f, lower = more anomalous)"
+    window = BASELINE_WINDOW.format(n=params.min_history)
+    weighted = BASELINE_EWMA.format(alpha=params.ewma_alpha)
     fired = [
-        _finding("zscore", "p95", "zscore_p95", F.format_string(latency + window, "p95", "zscore_p95")),
-        _finding("zscore", "error_rate", "zscore_error_rate",
-                 F.format_string(rate + window, "error_rate", "zscore_error_rate")),
-        _finding("ewma", "p95", "ewma_p95", F.format_string(latency + weighted, "p95", "ewma_p95")),
-        _finding("ewma", "error_rate", "ewma_error_rate",
-                 F.format_string(rate + weighted, "error_rate", "ewma_error_rate")),
+        _finding(kind, signal, f"{kind}_{signal}", F.format_string(REASON[signal] + base, signal, f"{kind}_{signal}"))
+        for kind, base in (("zscore", window), ("ewma", weighted))
+        for signal in SIGNALS
     ]
     if "forest" in scores.columns:
-        fired.append(_finding("isolation_forest", "multivariate", "forest", F.format_string(outlier, "forest")))
+        outlier = F.format_string(REASON["multivariate"], "forest")
+        fired.append(_finding("isolation_forest", "multivariate", "forest", outlier))
     return (
         scores.select(*BUCKET_KEY, F.inline(F.filter(F.array(*fired), lambda f: f.isNotNull())))
         .withColumn("id", F.xxhash64(*FINDING_KEY))

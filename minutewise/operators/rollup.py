@@ -44,11 +44,11 @@ def rollup_values(values: DataFrame, params: Params = Params()) -> DataFrame:
     hot_rows rows; those use select_ranks instead. At most the hot_groups largest do, which bounds the
     list and every broadcast; any beyond that hold under 1/hot_groups of the table and stay exact.
     """
-    found = hot_buckets(values, params).collect()
+    found = hot_buckets(values, params).withColumn("minute_bucket", F.unix_micros("minute_bucket")).collect()
     if not found:
         return _ordinary(values)
-    schema = values.select(*BUCKET_KEY).schema
-    hot = F.broadcast(values.sparkSession.createDataFrame(found, schema))
+    keys = values.sparkSession.createDataFrame(found, "minute_bucket bigint, service string, endpoint string")
+    hot = F.broadcast(keys.withColumn("minute_bucket", F.timestamp_micros("minute_bucket")))
     return _ordinary(values.join(hot, BUCKET_KEY, "left_anti")).unionByName(_hot(values.join(hot, BUCKET_KEY)))
 
 

@@ -12,6 +12,7 @@ class Params:
     The first block changes answers; the second only changes how Spark computes them.
     """
 
+    # The defaults users of the service know.
     window_seconds: int = 60
     watermark_seconds: int = 120
     zscore_threshold: float = 3.0
@@ -23,7 +24,7 @@ class Params:
     default_range_minutes: int = 60
 
     # A bucket with more rows than this takes the distributed percentile path.
-    hot_rows: int = 1_000_000
+    hot_rows: int = 250_000
     # At most this many buckets (the largest) take it; it also bounds what is broadcast.
     hot_groups: int = 100_000
     # One series' buckets go to tasks in runs of this many, each with its history copied along.

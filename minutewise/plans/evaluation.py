@@ -145,7 +145,7 @@ def report(scenario: str, run_at: Column, throughput: DataFrame, live: DataFrame
         "live_latency": live,
         "detection": detection,
         "operational": backlog,
-        "pipeline": processed.select("processed", rate("processed", duration_seconds).alias("processed_per_sec")),
+        "processing": processed.select("processed", rate("processed", duration_seconds).alias("processed_per_sec")),
     }
     out = None
     for name, one in parts.items():

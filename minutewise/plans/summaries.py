@@ -13,6 +13,7 @@ from ..operators.dedupe import first_by_id
 from ..params import Params
 from ..schemas import METRIC
 
+# The filter's choices and the sizes of a page, the snapshot and the feed.
 STATUS_CLASSES = ("all", "healthy", "error")
 MAX_PAGE = 100
 SNAPSHOT_SERVICES = 100

@@ -11,6 +11,8 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sort-based aggregation holds one bucket's sample at a time; start it before many large ones pile up.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),

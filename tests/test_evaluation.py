@@ -159,4 +159,4 @@ def test_report(spark, tmp_path):
     ev.write_report(row, path)
     data = json.loads(spark.read.text(path).first().value)
     assert data["scenario_name"] == "steady" and data["detection"]["recall"] == 0.5
-    assert data["pipeline"]["processed_per_sec"] == 2.0 and data["live_latency"]["p99_ms"] == 100.0
+    assert data["processing"]["processed_per_sec"] == 2.0 and data["live_latency"]["p99_ms"] == 100.0
