@@ -24,6 +24,19 @@ from minutewise.streaming import detection as sdet
 from minutewise.streaming import ingest, live, progress
 from minutewise.streaming import metrics as smet
 
+try:  # the training-data operators are an optional part
+    from minutewise.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name != "minutewise.llm":
+        raise
+    llm = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline":
+        raise
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 SIX_HOURS = Params(window_seconds=21600)
@@ -337,6 +350,14 @@ def stream_backlog(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return (
+        _telemetry_queries()
+        | (llm.QUERIES if llm else {})
+        | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+    )
+
+
+def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "rollup_6h": lambda s, d: _plain(_metrics(s, d)),
         "rollup_1m": lambda s, d: _plain(_metrics(s, d, MINUTE)),
@@ -535,6 +556,10 @@ def _with(*ctes: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _telemetry_sql() | (llm.ORACLE_SQL if llm else {})
+
+
+def _telemetry_sql() -> dict[str, str]:
     m, m1 = _with(_REQ, _m()), _with(_REQ, _m(width="1 minute"))
     hist = _with(_REQ, _m(), _hist())
     judge = _with(_REQ, _m(), _hist(), _INC)

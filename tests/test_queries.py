@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as app
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES, SQL = app.queries(), app.oracle_sql()
+# The queries of the optional part have tests of their own.
+QUERIES, SQL = app._telemetry_queries(), app._telemetry_sql()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
