@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+from minutewise.llm.byte_bpe import op7_byte_bpe
+from minutewise.llm.containment import OP4_SQL, op4_containment
 from minutewise.llm.language import op10_language
+from minutewise.llm.pii import op3_pii
+from minutewise.llm.rabitq import OP2_SQL, op2_rabitq
+from minutewise.llm.repair import op8_repair_ids
+from minutewise.llm.simhash import op5_simhash
+from minutewise.llm.toxicity import op1_toxicity
+from minutewise.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_rabitq": op2_rabitq,
+    "op3_pii": op3_pii,
+    "op4_containment": op4_containment,
+    "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_repair_ids": op8_repair_ids,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_rabitq": OP2_SQL,
+    "op4_containment": OP4_SQL,
+    "op6_warc": OP6_SQL,
+}
