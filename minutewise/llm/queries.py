@@ -6,6 +6,7 @@ from minutewise.llm.byte_bpe import op7_byte_bpe
 from minutewise.llm.containment import OP4_SQL, op4_containment
 from minutewise.llm.language import op10_language
 from minutewise.llm.pii import op3_pii
+from minutewise.llm.pitman_yor import op9_pitman_yor
 from minutewise.llm.rabitq import OP2_SQL, op2_rabitq
 from minutewise.llm.repair import op8_repair_ids
 from minutewise.llm.simhash import op5_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repair_ids": op8_repair_ids,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_language": op10_language,
 }
 
