@@ -44,6 +44,10 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _hash(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
@@ -74,34 +78,52 @@ def sketches(items: DataFrame, params: ContainmentParams) -> DataFrame:
     return sized.select("item", F.explode(F.slice("hashes", F.lit(1), F.least(depth, F.size("hashes")))).alias("hash"))
 
 
-def _small(frame: DataFrame, params: ContainmentParams) -> DataFrame:
+def small(frame: DataFrame, params: ContainmentParams) -> DataFrame:
     """A saved frame of three short columns at most, marked for broadcast if its counted rows allow it."""
     return F.broadcast(frame) if frame.count() <= params.broadcast_rows else frame
 
 
-def contained(docs: DataFrame, items: DataFrame, params: ContainmentParams = ContainmentParams()) -> DataFrame:
-    """doc_id, item_id, containment of every item (item_id, text) in every document (doc_id, text) that holds enough of it."""
-    texts = saved(items.select("item_id", "text", F.xxhash64("text").alias("item")))
-    distinct = texts.dropDuplicates(["item"])
-    wanted = saved(sketches(distinct, params))
-    doc = F.xxhash64("text").alias("doc")
+def matches(docs: DataFrame, items: DataFrame, params: ContainmentParams = ContainmentParams()) -> DataFrame:
+    """doc_id, doc, item, containment of every item (item, text) in every document (doc_id, text) that holds enough of it.
+
+    doc and item are hashes of the texts; items have each text once.
+    """
+    wanted = saved(sketches(items, params))
+    doc = text_hash(F.col("text")).alias("doc")
 
     seen = shingles(docs, ["doc_id", doc], params.words, _hash).select("doc_id", "doc", F.explode("shingles").alias("hash"))
-    candidates = saved(seen.join(_small(wanted, params), "hash").select("doc_id", "doc", "item").distinct())
+    candidates = saved(seen.join(small(wanted, params), "hash").select("doc_id", "doc", "item").distinct())
 
     # Only documents that met an item are read again, and their shingles compared as text.
-    met = _small(saved(candidates.select(F.col("doc_id").alias("id"), F.col("doc").alias("key")).distinct()), params)
+    met = small(saved(candidates.select(F.col("doc_id").alias("id"), F.col("doc").alias("key")).distinct()), params)
     text = docs.select("doc_id", doc, "text")
     held = text.join(met, text["doc_id"].eqNullSafe(met["id"]) & (text["doc"] == met["key"]), "left_semi")
     unique = lambda frame, keep: shingles(frame, keep, params.words, _text).select(*keep, F.explode(F.array_distinct("shingles")).alias("shingle"))
-    needed = saved(unique(distinct, ["item"]))
+    needed = saved(unique(items, ["item"]))
     sizes = needed.groupBy("item").agg(F.count("*").alias("size"))
-    counted = unique(held, ["doc_id", "doc"]).join(_small(needed, params), "shingle").groupBy("doc_id", "doc", "item").agg(F.countDistinct("shingle").alias("n"))
+    counted = unique(held, ["doc_id", "doc"]).join(small(needed, params), "shingle").groupBy("doc_id", "doc", "item").agg(F.countDistinct("shingle").alias("n"))
     enough = counted.join(sizes, "item").where(F.col("n") >= F.col("size") * F.lit(params.least) - F.lit(1e-9))
     pairs = enough.select("doc_id", "doc", "item", (F.col("n") / F.col("size")).alias("containment"))
     same = candidates.select(F.col("doc_id").alias("id"), F.col("doc").alias("key"), F.col("item").alias("candidate"))
-    verified = pairs.join(same, pairs["doc_id"].eqNullSafe(same["id"]) & (pairs["doc"] == same["key"]) & (pairs["item"] == same["candidate"]), "left_semi")
-    return verified.join(texts.select("item", "item_id"), "item").groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+    return pairs.join(same, pairs["doc_id"].eqNullSafe(same["id"]) & (pairs["doc"] == same["key"]) & (pairs["item"] == same["candidate"]), "left_semi")
+
+
+def _items(items: DataFrame) -> DataFrame:
+    return saved(items.select("item_id", "text", text_hash(F.col("text")).alias("item")))
+
+
+def contained(docs: DataFrame, items: DataFrame, params: ContainmentParams = ContainmentParams()) -> DataFrame:
+    """doc_id, item_id, containment of every item (item_id, text) in every document (doc_id, text) that holds enough of it."""
+    named = _items(items)
+    found = matches(docs, named.dropDuplicates(["item"]), params).join(named.select("item", "item_id"), "item")
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, params: ContainmentParams = ContainmentParams()) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    found = matches(docs, _items(items).dropDuplicates(["item"]), params)
+    bad = small(saved(found.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).distinct()), params)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (text_hash(docs["text"]) == bad["_doc"]), "left_anti")
 
 
 def op4_containment(spark, sf_dir: str) -> DataFrame:

@@ -99,14 +99,34 @@ def links(prints: DataFrame, params: SimhashParams = SimhashParams()) -> DataFra
     return close.unionByName(met.distinct())
 
 
-def groups(docs: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
-    """doc_id, fp (long) and component_id, the smallest doc_id reachable, for every row of docs."""
-    prints = saved(docs.select("doc_id", fingerprint(F.col("text"), params).alias("fp")))
+def labelled(prints: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
+    """fp, label and component_id of every fingerprint of prints (doc_id, fp, saved): its group, and the smallest doc_id in it."""
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(links(nodes.select("fp"), params))
     told = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = told.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.join(told.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return told.join(smallest, "label").select("fp", "label", "component_id")
+
+
+def groups(docs: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
+    """doc_id, fp (long) and component_id, the smallest doc_id reachable, for every row of docs."""
+    prints = saved(docs.select("doc_id", fingerprint(F.col("text"), params).alias("fp")))
+    return prints.join(labelled(prints, params), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when of each group the row with the smallest doc_id does.
+
+    Of rows that share this doc_id and its fingerprint one stays; a group without a doc_id keeps one row as well.
+    """
+    printed = saved(docs.withColumn("_fp", fingerprint(F.col("text"), params)))
+    prints = printed.select("doc_id", F.col("_fp").alias("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    # Fingerprints of each doc_id first, so that copies are one row before the join.
+    chosen = prints.distinct().join(labelled(prints, params), "fp").groupBy("label").agg(first)
+    key = lambda doc_id, fp: F.concat_ws(":", doc_id, fp)
+    keys = chosen.select(key("first.doc_id", "first.fp").alias("_key")).distinct()
+    return printed.withColumn("_key", key("doc_id", "_fp")).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
