@@ -5,7 +5,7 @@ elsewhere) and metadata. Response and metadata name the request in WARC-Concurre
 through it. Files are written by Spark's text writer, with the blank lines that end a record as its separator, as one
 gzip stream each; lost tasks are written again and half-written files never show.
 
-Edge cases: a null html is an empty payload. A null url is written as an empty target and read as null. A null page_id
+Edge cases: a null html is an empty payload. A null url is written and read as an empty target. A null page_id
 is kept, and such a row is the response only of payloads that no page with an id has. Rows that share a page_id are
 captures of their own. Payloads may hold anything, also lines that look like a record's: reading goes by Content-Length.
 Records that end early or lack a length make reading fail. An empty table gives no rows.
@@ -103,7 +103,7 @@ def records(found: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))), date, uri, ("WARC-Concurrent-To", F.col("request_id")), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("hasUrl: "), F.col("url").isNotNull().cast("string"), F.lit("\r\npayloadBytes: "), F.col("payload_bytes").cast("string")),
+        F.concat(F.lit("payloadBytes: "), F.col("payload_bytes").cast("string")),
     )
     return c.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
@@ -164,11 +164,17 @@ def assemble(records: DataFrame) -> DataFrame:
     parts = F.split(F.col("block").cast("string"), END, 2)
     request = records.where("type = 'request'").select(F.col("id").alias("transaction"), F.struct("id", "target", parts[0].alias("head")).alias("request"))
     metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("transaction"), F.struct("id", F.col("block").cast("string").alias("fields")).alias("metadata"))
-    body = F.substring_index(F.col("block").cast("string"), END, 1)
-    response = records.where("type IN ('response', 'revisit')").select(
+    # Each payload is measured and hashed where it is read, so that it need not travel for that.
+    split = records.where("type IN ('response', 'revisit')").select(
+        "*", F.substring_index(F.col("block").cast("string"), END, 1).alias("head")
+    ).withColumn("payload", F.expr(f"substring(block, octet_length(head) + {len(END) + 1})"))
+    response = split.select(
         F.col("concurrent_to").alias("transaction"),
-        F.struct("id", "type", "target", "digest", "refers_to", body.alias("head"), F.expr(f"substring(block, octet_length(substring_index(cast(block as string), '\\r\\n\\r\\n', 1)) + {len(END) + 1})").alias("payload")).alias("response"),
-    )
+        F.struct(
+            "id", "type", "target", "digest", "refers_to", "head", "payload",
+            F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_sha1"),
+        ).alias("response"),
+    )
     return response.join(request, "transaction", "left").join(metadata, "transaction", "left")
 
 
@@ -187,9 +193,9 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     stated = F.regexp_extract("metadata.fields", "payloadBytes: ([0-9]+)", 1).cast("long")
     return found.select(
         page_of(F.col("response.id")).alias("page_id"),
-        F.when(original, F.octet_length("response.payload").cast("long")).otherwise(stated).alias("payload_bytes"),
+        F.when(original, F.col("response.payload_bytes")).otherwise(stated).alias("payload_bytes"),
         # A payload that is there is hashed anew; a revisit has its digest in the header.
-        F.when(original, base32_sha1(F.col("response.payload"))).otherwise(F.substring_index("response.digest", ":", -1)).alias("payload_digest"),
+        F.when(original, F.col("response.payload_sha1")).otherwise(F.substring_index("response.digest", ":", -1)).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         page_of(F.col("response.refers_to")).alias("refers_to"),
     )
