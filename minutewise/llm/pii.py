@@ -101,7 +101,7 @@ DIGIT_WORDS = {
     )
     for digit, word in enumerate(words.split())
 } | {"oh": "0"}
-# Endings that let a spelled at stand before a plain domain name; none is a word of the corpus.
+# Endings that let a spelled at stand before a domain name; none is a word of the corpus.
 ENDINGS = "com org net edu gov mil info biz io uk eu dev app test example".split()
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WIDE = "\uff01-\uff5e\u2460-\u2468\u24ea\u2070\u00b2\u00b3\u00b9\u2074-\u2079\u2080-\u2089\U0001d400-\U0001d7ff\u2024\ufe52\ufe6b"
@@ -110,14 +110,15 @@ _LIKE = "".join(LOOK_ALIKES)
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _NAME = r"[A-Za-z0-9-]+"
-_STOP = rf"(?:\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}|\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}})"
+_LOOSE_STOP = rf"\s{{1,2}}\.\s{{0,2}}(?=(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9]))"
+_STOP = rf"(?:\s{{1,3}}dot\s{{1,3}}|\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}}|{_LOOSE_STOP})"
 
 # What a text must have for the transducer to run at all; RE2 scans whole columns with it.
 _HINT = (
     rf"[{_LIKE}{_INVISIBLE}{_WIDE}]"
-    rf"|(?i:\b(?:{_NUMBER})[\s,.-]+(?:{_NUMBER}|[0-9]+|dot|point|punkt|punto)\b|\b[0-9]+[\s,.-]+(?:{_NUMBER}|dot|point|punkt|punto)[\s,.-]+)"
+    rf"|(?i:\b(?:{_NUMBER})[\s,.-]+(?:{_NUMBER}|[0-9]+)\b|\b[0-9]+[\s,.-]+(?:{_NUMBER})[\s,.-]+)"
     r"|(?i:[\[({<]\s?(?:at|dot|punkt|point|punto|plus|@|\.)\s?[\])}>])"
-    r"|(?i:\s(?:dot|punkt|point|punto)\s)|(?i:\bplus\s+(?:[0-9]|" + _NUMBER + r"))"
+    r"|(?i:\sdot\s)|(?i:\bplus\s+(?:[0-9]|" + _NUMBER + r"))"
     rf"|(?i:\s(?:at|arroba)\s+(?:[a-z0-9-]+\.)+(?:{'|'.join(ENDINGS)})\b)"
     r"|[A-Za-z0-9]\s+@\s*[A-Za-z0-9]|[A-Za-z0-9]@\s+[A-Za-z0-9]"
 )
@@ -129,11 +130,12 @@ _RULES = [
     (re.compile(rf"\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}}", re.I), "."),
     (re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}(?:at|arroba)\s{{1,3}}(?={_NAME}(?:{_STOP}|\.){_NAME})", re.I), "@ at"),
     (re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{0,3}}@\s{{0,3}}(?={_NAME}(?:{_STOP}|\.){_NAME})"), "@"),
-    (re.compile(r"(?<=[A-Za-z0-9-])\s{1,3}(?:dot|punkt|point|punto)\s{1,3}(?=[A-Za-z0-9])", re.I), "."),
+    (re.compile(r"(?<=[A-Za-z0-9-])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I), "."),
+    (re.compile(rf"(?<=[A-Za-z0-9-]){_LOOSE_STOP}"), "."),
     (re.compile(rf"(?<![^\W_])(?:{_NUMBER})(?![^\W_])", re.I), "digit"),
     (re.compile(r"(?<![^\W_])plus\s{0,3}(?=[0-9(])", re.I), "+"),
 ]
-_PLAIN_DOMAIN = re.compile(rf"(?:{_NAME}\.)+(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])", re.I)
+_KNOWN_DOMAIN = re.compile(rf"(?:{_NAME}(?:\.|{_STOP}))+(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])", re.I)
 
 
 # How a character was changed.
@@ -188,8 +190,8 @@ def normalise(text: str) -> Tape:
                     start -= len(gap[0])
                 edits.append((start, end, new))
             elif sign == "@ at":
-                # Before a plain name, as in "look at example.com", only a known ending makes an address of it.
-                if _PLAIN_DOMAIN.match(tape.text, end) or re.compile(_NAME + _STOP, re.I).match(tape.text, end):
+                # The word is a common one: only before a known ending it makes an address.
+                if _KNOWN_DOMAIN.match(tape.text, end):
                     edits.append((start, end, "@"))
             else:
                 edits.append((start, end, sign))

@@ -119,14 +119,16 @@ def one_of_each(docs: DataFrame, params: SimhashParams = SimhashParams()) -> Dat
 
     Of rows that share this doc_id and its fingerprint one stays; a group without a doc_id keeps one row as well.
     """
-    printed = saved(docs.withColumn("_fp", fingerprint(F.col("text"), params)))
-    prints = printed.select("doc_id", F.col("_fp").alias("fp"))
+    # The row as one struct, so that no name of docs can clash.
+    printed = saved(docs.select(F.struct(*docs.columns).alias("row"), fingerprint(F.col("text"), params).alias("fp")))
+    prints = printed.select("row.doc_id", "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
-    # Fingerprints of each doc_id first, so that copies are one row before the join.
+    # Each doc_id and fingerprint once, so that copies are one row before the join.
     chosen = prints.distinct().join(labelled(prints, params), "fp").groupBy("label").agg(first)
-    key = lambda doc_id, fp: F.concat_ws(":", doc_id, fp)
-    keys = chosen.select(key("first.doc_id", "first.fp").alias("_key")).distinct()
-    return printed.withColumn("_key", key("doc_id", "_fp")).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key = lambda doc_id, fp: F.concat_ws(":", doc_id, fp).alias("key")
+    keys = chosen.select(key("first.doc_id", "first.fp")).distinct()
+    kept = printed.select("row", key("row.doc_id", "fp")).join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select("row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

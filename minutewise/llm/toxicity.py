@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     share_t, share_c = F.col("t") / F.lit(toxic), F.col("c") / F.lit(clean)
     mean = (F.col("t") + F.col("c")) / F.lit(toxic + clean)
     error = F.sqrt(mean * (1 - mean) * F.lit(1 / toxic + 1 / clean))
-    gap = (share_t - share_c) / error
+    gap = F.try_divide(share_t - share_c, error)  # null for a word of every text
     telling = seen.where(F.col("t") >= params.least_toxic).withColumn("gap", gap).where(F.col("gap") > params.errors)
     rows = telling.orderBy(F.desc("gap"), "word").limit(params.lexicon).toArrow()
     words = rows.column("word").to_numpy()
