@@ -3,8 +3,8 @@
 What a writer meant is taken to be plain letters sent through a channel that swaps letters for look-alikes (leetspeak),
 repeats them, and puts signs or spaces between them. Each token that is not plainly a word, and each run of lone
 characters, is a lattice: a character may stand for one of several letters, or for none. Viterbi decoding finds the best
-letters under a four-gram character model that is counted over the words of all documents. The score is a naive Bayes
-log-odds sum over restored words that tell the classes apart, calibrated by logistic regression.
+letters under a four-gram character model that is counted over the words of all documents. The score joins the log-odds of
+the restored words that tell the classes apart, calibrated by logistic regression.
 
 Edge cases: a null or empty text has no words and gets the score of a text without any telling word. Where there is no
 label, or one class only, the scores are the share of label 1, 0 if there is none. Several labels of one
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minutewise.llm.common import fold, held_out, read, saved, text_array, words_of
+from minutewise.llm.simhash import fingerprint
 
 
 @dataclass(frozen=True)
@@ -212,28 +213,34 @@ class ToxicityModel:
     offset: float
 
     def odds(self, restorer: Restorer, texts: pa.Array) -> np.ndarray:
-        """Sum of the weights of the distinct telling words of each text."""
+        """Root of the summed squares of the weights of the distinct telling words of each text.
+
+        Words of one text depend on each other, so a second one adds less than the first: a plain sum would learn from
+        texts with several that one is not enough.
+        """
         ids, of = restorer.hashes(texts)
         total = np.zeros(len(texts))
         if len(self.words):
             slot = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
             hit = self.words[slot] == ids
-            np.add.at(total, of[hit], self.weights[slot[hit]])
-        return total
+            np.add.at(total, of[hit], self.weights[slot[hit]] ** 2)
+        return np.sqrt(total)
 
     def scores(self, restorer: Restorer, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * self.odds(restorer, texts), -30, 30)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
-    """text, toxic of about params.labelled rows of docs whose id has a label that may be learned from; saved."""
+    """text, toxic of about params.labelled rows of docs whose id has a label that may be learned from, without near copies; saved."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(params.seed)), F.lit(1 << 20))
     chosen = known.where(place < int((1 << 20) * min(1.0, params.labelled / max(n, 1))))
     # The sample's size is bounded by params.labelled, so its ids are.
-    return saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Near copies count once, or any word of a much copied text would tell.
+    return saved(sample.select("text", "toxic", fingerprint(F.col("text")).alias("fp")).dropDuplicates(["fp", "toxic"]).drop("fp"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -279,14 +286,24 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
 
 def _calibrated(odds: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one number, a little regularised, by Newton's method."""
+    """Logistic regression on one number, a little regularised, by Newton's method with halved steps where needed."""
     x = np.stack([odds, np.ones(len(odds))], axis=1)
+    sign = np.where(label == 1, 1.0, -1.0)
+    ridge = np.array([0.02, 1e-4])
+
+    def loss(w):
+        return np.logaddexp(0, -sign * (x @ w)).sum() + 0.5 * (ridge * w**2).sum()
+
     w = np.array([0.0, np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5))])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (label - p) - 0.1 * np.array([w[0], 0])
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.1, 1e-6])
-        w = w + np.linalg.solve(curve, slope)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(curve, x.T @ (label - p) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
     return float(w[0]), float(w[1])
 
 

@@ -15,9 +15,11 @@ BAD = ["worthless", "pathetic", "idiot", "stupid"]
 
 def corpus(n=300):
     rng = random.Random(2)
+    syllables = "th er on ing the and re ti at en ha wh st ou".split()
+    clean = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(500)] + prose(1, 30).split()
     rows = []
     for k in range(n):
-        words = prose(k, 20 + k % 40).split()
+        words = [rng.choice(clean) for _ in range(20 + k % 40)]
         if k % 4 == 0:
             words[rng.randrange(len(words))] = rng.choice(BAD)
             words.append(rng.choice(BAD) + rng.choice(["", "!!", ".", "***"]))
