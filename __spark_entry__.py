@@ -42,7 +42,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 SIX_HOURS = Params(window_seconds=21600)
 MINUTE = Params()
 # Small bounds, so that test data takes the paths meant for very large groups.
-SPLIT = Params(window_seconds=21600, hot_rows=5, chunk_rows=40)
+SPLIT = Params(window_seconds=21600, hot_values=5, chunk_rows=40)
 JANUARY = (datetime(2024, 1, 1), datetime(2024, 2, 1))
 NOW = datetime(2024, 1, 31)
 SINCE = datetime(2024, 1, 15)
@@ -180,7 +180,15 @@ def services(spark, d):
 
 
 def service_detail(spark, d):
-    detail = sm.service_detail(_metrics(spark, d), "svc1", *JANUARY, params=SIX_HOURS)
+    return _detail(sm.service_detail(_metrics(spark, d), "svc1", *JANUARY, params=SIX_HOURS))
+
+
+def service_detail_minutes(spark, d):
+    """Sixty days by the minute: as long as a viewer may ask for."""
+    return _detail(sm.service_detail(_metrics(spark, d, MINUTE), "svc1", datetime(2023, 12, 15), datetime(2024, 2, 13)))
+
+
+def _detail(detail):
     point = F.transform(
         "series",
         lambda p: F.concat_ws(
@@ -234,12 +242,13 @@ def first_arrivals(spark, d):
 def message_metric_point(spark, d):
     points = live.with_sequence(_metrics(spark, d), 7)
     kinds = {"schema_version": "int", "type": "string", "sequence": "bigint", "service": "string", "endpoint": "string",
-             "minute_bucket": "string", "request_count": "bigint", "error_count": "bigint", "p95": "double"}
+             "minute_bucket": "string", "request_count": "bigint", "error_count": "bigint", "p50": "double",
+             "p95": "double", "p99": "double"}
     return _plain(_fields(points.select(msg.envelope(msg.metric_point()).alias("value")), "value", kinds))
 
 
 _FINDING_FIELDS = {"service": "string", "endpoint": "string", "minute_bucket": "string", "detector": "string",
-                   "score": "double"}
+                   "score": "double", "reason": "string"}
 
 
 def message_anomaly(spark, d):
@@ -279,9 +288,9 @@ def run_report(spark, d):
     )
     return _plain(
         one.select(
-            "scenario_name", "throughput_latency.count", "throughput_latency.p99_ms", "throughput_variance.maximum",
-            "live_latency.avg_ms", "detection.true_positives", "operational.peak_pending",
-            "processing.processed_per_sec",
+            "scenario_name", "run_timestamp", "throughput_duration_seconds", "throughput_latency.*",
+            "throughput_variance.*", F.col("live_latency.p95_ms").alias("live_p95_ms"), "detection.*", "operational.*",
+            "processing.*",
         )
     )
 
@@ -301,7 +310,10 @@ def upserted_metrics(spark, d):
     home = shared_folder(configure(spark))
     requests = _requests(spark, d)
     tables.write_metrics(rollup(requests.where("status_code <> 404"), SIX_HOURS), f"{home}/metrics")
-    tables.upsert_metrics(rollup(requests, SIX_HOURS).where("service >= 'svc2'"), f"{home}/metrics")
+    # Each bucket is updated twice, and the later update holds.
+    early = rollup(requests.where("status_code <> 404 OR event_id % 2 = 0"), SIX_HOURS).withColumn("batch_id", F.lit(1))
+    late = rollup(requests, SIX_HOURS).withColumn("batch_id", F.lit(2))
+    tables.upsert_metrics(early.unionByName(late).where("service >= 'svc2'"), f"{home}/metrics", order="batch_id")
     return _plain(tables.read_metrics(spark, f"{home}/none", f"{home}/metrics"))
 
 
@@ -341,12 +353,149 @@ def stream_detection(spark, d):
     return _plain(found.select("minute_bucket", "service", "endpoint", "detector", "signal", "score"))
 
 
+def stream_outbox(spark, d):
+    """What stream_detection leaves for the alert sender."""
+    home = shared_folder(configure(spark))
+    tables.write_batch(_metrics(spark, d), f"{home}/closed", 0)
+    _finish(
+        sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/tail", f"{home}/cp", SIX_HOURS,
+                             outbox_path=f"{home}/outbox", trigger=ONCE)
+    )
+    alerts = _fields(sdet.read_outbox(spark, f"{home}/outbox"), "payload", _FINDING_FIELDS)
+    return _plain(alerts.where("detector <> 'isolation_forest'"))
+
+
 def stream_backlog(spark, d):
+    """More batches than Spark keeps reports of, one file each, all of them in the log of reports."""
+    home = shared_folder(configure(spark))
+    _json_lines(spark, d).withColumnRenamed("raw", "value").repartition(105).write.text(f"{home}/raw")
+    log = progress.ProgressLog(spark, f"{home}/reports", every=50)
+    spark.streams.addListener(log)
+    try:
+        raw = src.stream_json(spark, f"{home}/raw", max_files=1)
+        query = ingest.start_ingest(raw, f"{home}/table", f"{home}/cp", trigger=ONCE)
+        _finish(query)
+        log.settle(query.runId)
+    finally:
+        spark.streams.removeListener(log)
+    return log.read().groupBy("name").agg(
+        F.sum("input_rows").alias("rows_in"), F.sum("dropped_rows").alias("dropped"),
+        (F.countDistinct("batch_id") > 100).alias("over_100_batches"),
+    )
+
+
+def _run_twice(spark, d, home, start):
+    """Run a query, and again after late events: the first file lacks some early ones and repeats others, the second has them."""
+    requests = _requests(spark, d)
+    late = F.expr("event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-10'")
+    first = requests.where("ts < TIMESTAMP '2024-01-20'").where(~late)
+    repeated = first.unionByName(first.where("event_id % 10 = 0"))
+    for part in (repeated, requests.where(late | F.expr("ts >= TIMESTAMP '2024-01-20'"))):
+        part.coalesce(1).write.mode("append").parquet(f"{home}/log")
+        _finish(start(src.stream_events(spark, f"{home}/log", with_id=True, max_files=1)))
+
+
+def stream_metrics_late(spark, d):
+    """Late and repeated events, and a restart in between."""
     home = shared_folder(configure(spark))
-    query = smet.start_metrics(_stream_requests(spark, d), f"{home}/closed", f"{home}/cp", SIX_HOURS, False, ONCE)
-    _finish(query)
-    reports = progress.progress_table(spark, query.recentProgress)
-    return reports.groupBy("name").agg(F.sum("input_rows").alias("rows_in"), F.sum("dropped_rows").alias("dropped"))
+    _run_twice(spark, d, home, lambda e: smet.start_metrics(e, f"{home}/closed", f"{home}/cp", SIX_HOURS, True, ONCE))
+    return _plain(tables.read_metrics(spark, f"{home}/closed"))
+
+
+def stream_live_late(spark, d):
+    """The last message of every bucket under the same input: late events change nothing, repeated ones count once."""
+    home = shared_folder(configure(spark))
+    _run_twice(spark, d, home, lambda e: live.start_live(e, f"{home}/v", f"{home}/feed", f"{home}/cp", SIX_HOURS, ONCE, dedupe=True))
+    kinds = {"type": "string", "service": "string", "endpoint": "string", "minute_bucket": "string", "sequence": "bigint",
+             "request_count": "bigint", "error_count": "bigint", "p95": "double"}
+    shown = _plain(_fields(spark.read.text(f"{home}/feed"), "value", kinds)).drop("keys", "type")
+    return latest_points(shown).drop("sequence")
+
+
+def metrics_range(spark, d):
+    """A range of a table of many batches; only the folders of its days are opened."""
+    return _plain(tables.read_metrics(spark, _daily_batches(spark, d), start=datetime(2024, 1, 10), end=datetime(2024, 1, 20, 12)))
+
+
+def compacted_metrics(spark, d):
+    """The same table after its first half went to day files."""
+    closed = _daily_batches(spark, d)
+    tables.compact_metrics(spark, closed, f"{closed}-daily", datetime(2024, 1, 16).date())
+    return _plain(tables.read_metrics(spark, closed, f"{closed}-daily"))
+
+
+def _daily_batches(spark, d):
+    home = shared_folder(configure(spark))
+    metrics = _stored_metrics(spark, d)
+    for batch in range(8):
+        part = metrics.where(F.pmod(F.dayofmonth("minute_bucket"), F.lit(8)) == batch)
+        tables.write_batch(part, f"{home}/closed", batch)
+    return f"{home}/closed"
+
+
+def _reports(spark, d):
+    """Progress reports of one query per service: an hour of the log is a batch, and its 404s are still to be read."""
+    return _requests(spark, d).groupBy(F.col("service").alias("name"), F.date_trunc("hour", F.col("ts")).alias("at")).agg(
+        F.count("*").alias("input_rows"), F.nullif(F.count_if(F.col("status_code") == 404) * 15, F.lit(0)).alias("lag")
+    ).withColumn("batch_id", F.unix_seconds("at"))
+
+
+def anomaly_feed(spark, d):
+    """The newest findings, where every other one arrived a second time a day later."""
+    place = F.expr(
+        "CAST(right(service, 1) AS INT) * 1000 + CAST(right(endpoint, 1) AS INT) * 100 + IF(detector = 'ewma', 10, 0) + IF(signal = 'p95', 1, 0)"
+    )
+    found = cut(_statistical(spark, d).withColumn("created_at", F.timestamp_micros(F.unix_micros("created_at") + place)))
+    again = found.where("day(minute_bucket) % 2 = 0")
+    repeated = again.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    feed = sm.anomaly_feed(found.unionByName(repeated))
+    return _plain(feed.select("minute_bucket", "service", "endpoint", "detector", "signal", "score", "created_at"))
+
+
+def anomaly_reasons(spark, d):
+    return _statistical(spark, d).select(F.col("minute_bucket").cast("timestamp_ntz").alias("minute_bucket"), "service", "endpoint", "detector", "signal", "reason")
+
+
+def forest_windows(spark, d):
+    """What each bucket's forest is grown on; flagged only where there is enough, with a score between -1 and 0."""
+    metrics = _stored_metrics(spark, d)
+    seen = det._with_history(metrics, SIX_HOURS, None, None, None)
+    total = F.aggregate(F.flatten("_forest_history"), F.lit(0.0), lambda a, x: a + x)
+    key = ["minute_bucket", "service", "endpoint"]
+    windows = seen.select(*key, F.size("_forest_history").alias("rows"), F.round(total, 3).alias("feature_sum"))
+    flags = windows.join(det.forest(metrics, SIX_HOURS), key, "left")
+    enough = F.col("rows") >= SIX_HOURS.forest_min_history
+    sound = F.col("score").isNull() | (enough & F.col("score").between(-1, 0))
+    return _plain(flags.select(*key, "rows", enough.alias("eligible"), "feature_sum", sound.alias("sound")))
+
+
+def fused_detectors(spark, d):
+    """All findings of the fused detectors but the forest's, which has no SQL; buckets it flags have a history."""
+    found = det.detect(_stored_metrics(spark, d), SIX_HOURS, created_at=F.lit(NOW))
+    return _plain(found.where("detector <> 'isolation_forest'").select("minute_bucket", "service", "endpoint", "detector", "signal", "score"))
+
+
+def stored_labels(spark, d):
+    """Incidents and labels written, read back and joined."""
+    home = shared_folder(configure(spark))
+    requests = _requests(spark, d)
+    _incidents(requests).write.parquet(f"{home}/incidents")
+    incidents = tables.read_incidents(spark, f"{home}/incidents")
+    label_keys(label_incidents(requests, incidents, SIX_HOURS.window_seconds)).write.json(f"{home}/labels")
+    return _plain(tables.read_labels(spark, f"{home}/labels", "json"))
+
+
+def page_bounds(spark, d):
+    """Which pages may be asked for, with the services that the accepted ones hold."""
+    totals = sm.service_totals(_metrics(spark, d), *JANUARY)
+    rows = []
+    for limit, offset in ((0, 0), (1, 0), (100, 0), (101, 0), (20, -1), (3, 4)):
+        try:
+            held, _ = sm.page(totals, ["service"], limit, offset)
+            rows.append((limit, offset, True, held.count()))
+        except ValueError:
+            rows.append((limit, offset, False, 0))
+    return spark.createDataFrame(rows, "page_limit int, page_offset int, accepted boolean, held bigint")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -420,7 +569,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "peak_backlog": lambda s, d: ev.peak_backlog(progress_samples(s, d)),
         "live_latest": live_latest,
         "first_arrivals": first_arrivals,
-        "anomaly_feed": lambda s, d: _plain(sm.anomaly_feed(_arrivals(s, d))),
+        "anomaly_feed": anomaly_feed,
         "message_metric_point": message_metric_point,
         "message_anomaly": message_anomaly,
         "message_lag": message_lag,
@@ -433,6 +582,19 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_live": stream_live,
         "stream_detection": stream_detection,
         "stream_backlog": stream_backlog,
+        "stream_outbox": stream_outbox,
+        "stream_metrics_late": stream_metrics_late,
+        "stream_live_late": stream_live_late,
+        "service_detail_minutes": service_detail_minutes,
+        "metrics_range": metrics_range,
+        "compacted_metrics": compacted_metrics,
+        "backlog_levels": lambda s, d: _plain(progress.backlog(_reports(s, d))),
+        "liveness": lambda s, d: progress.liveness(_reports(s, d), F.lit(NOW)),
+        "anomaly_reasons": anomaly_reasons,
+        "forest_windows": forest_windows,
+        "fused_detectors": fused_detectors,
+        "stored_labels": stored_labels,
+        "page_bounds": page_bounds,
     }
 
 
@@ -525,6 +687,9 @@ _BACKLOG = """hourly AS (SELECT date_trunc('hour', ts) AS at, count(*) AS stream
   count(*) FILTER (WHERE status_code >= 500) AS pending_count,
   nullif(count(*) FILTER (WHERE status_code = 404), 0) AS lag FROM req GROUP BY 1)"""
 
+_HOURLY = """hours AS (SELECT service AS name, date_trunc('hour', ts) AS "at", count(*) AS n,
+  nullif(count(*) FILTER (WHERE status_code = 404) * 15, 0) AS lag FROM req GROUP BY 1, 2)"""
+
 _JSON = """parts AS (SELECT *, event_id % 24 AS fault, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM req),
 j AS (SELECT '{"service": ' || CASE fault WHEN 4 THEN '5' WHEN 9 THEN '""' ELSE '"' || service || '"' END
   || CASE fault WHEN 5 THEN '' ELSE ', "endpoint": "' || endpoint || '"' END
@@ -551,6 +716,35 @@ verdict AS (SELECT reject_reason FROM judged WHERE reject_reason IS NOT NULL
   UNION ALL SELECT 'malformed' FROM j WHERE NOT json_valid(raw))"""
 
 
+_DETAIL = """SELECT e.*, s.* FROM (
+  SELECT service, endpoint, CAST(sum(request_count) AS BIGINT) AS request_count,
+    CAST(sum(error_count) AS BIGINT) AS error_count, round(sum(error_count) / sum(request_count), 6) AS error_rate,
+    string_agg(concat_ws('|', strftime(minute_bucket, '%Y-%m-%d %H:%M'), request_count, error_count,
+      CAST(round(p95 * 10000) AS BIGINT)), ';' ORDER BY minute_bucket) AS series
+  FROM m WHERE service = 'svc1' GROUP BY service, endpoint) e,
+  (SELECT CAST(sum(request_count) AS BIGINT) AS service_request_count,
+    CAST(sum(error_count) AS BIGINT) AS service_error_count,
+    round(sum(error_count) / sum(request_count), 6) AS service_error_rate FROM m WHERE service = 'svc1') s"""
+
+
+def _reason(detector: str, signal: str) -> str:
+    """The reason text, decimals rounded half up as written."""
+    baseline = "the 10-bucket baseline" if detector == "zscore" else "the EWMA baseline (alpha=0.3)"
+    value, digits = ("p95 latency ' || {} || 'ms", 1) if signal == "p95" else ("error rate ' || {} || '", 3)
+    shown = value.format(f"CAST(CAST(CAST({signal} AS VARCHAR) AS DECIMAL(18, {digits})) AS VARCHAR)")
+    score = "CAST(CAST(CAST(s.score AS VARCHAR) AS DECIMAL(18, 2)) AS VARCHAR)"
+    return f"'{shown} is ' || {score} || ' std devs from {baseline}'"
+
+
+_REASONS = "reasons AS (SELECT s.*, CASE " + " ".join(
+    f"WHEN s.detector = '{k}' AND s.signal = '{x}' THEN {_reason(k, x)}" for k in ("zscore", "ewma") for x in ("p95", "error_rate")
+) + """ END AS reason FROM stat s JOIN r ON s.minute_bucket = r.minute_bucket AND s.service = r.service
+  AND s.endpoint = r.endpoint)"""
+
+# The log without the events that come late, for the queries whose input has some.
+_ON_TIME = "ontime AS (SELECT * FROM req WHERE NOT (event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-10'))"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -574,7 +768,10 @@ def _telemetry_sql() -> dict[str, str]:
                (SELECT count(*) FROM (SELECT * FROM truth EXCEPT SELECT * FROM flagged)) AS fn)"""
     processed = """SELECT CAST(coalesce(sum(request_count), 0) AS BIGINT) AS processed FROM m WHERE service = 'svc1'
   AND endpoint = '/api/1' AND minute_bucket >= TIMESTAMP '2024-01-14 23:59:00'"""
+    reasons = _with(_REQ, _m(), _hist(), _REASONS)
     finding_fields = f"service, endpoint, {iso}, detector, round(score, 6) AS score"
+    outbox = f"""SELECT 'id,minute_bucket,service,endpoint,detector,score,reason' AS keys, {finding_fields}, reason
+  FROM reasons"""
     return {
         "rollup_6h": m + f"SELECT {_METRIC_OUT} FROM m",
         "rollup_1m": m1 + f"SELECT {_METRIC_OUT} FROM m",
@@ -598,15 +795,8 @@ def _telemetry_sql() -> dict[str, str]:
         "services_page": m + f"SELECT service, {_TOTALS} FROM m GROUP BY service ORDER BY service LIMIT 2 OFFSET 1",
         "services_total": m + "SELECT count(DISTINCT service) AS total FROM m",
         "service_points": m + f"SELECT {_METRIC_OUT} FROM m WHERE service = 'svc1'",
-        "service_detail": m + """SELECT e.*, s.* FROM (
-  SELECT service, endpoint, CAST(sum(request_count) AS BIGINT) AS request_count,
-    CAST(sum(error_count) AS BIGINT) AS error_count, round(sum(error_count) / sum(request_count), 6) AS error_rate,
-    string_agg(concat_ws('|', strftime(minute_bucket, '%Y-%m-%d %H:%M'), request_count, error_count,
-      CAST(round(p95 * 10000) AS BIGINT)), ';' ORDER BY minute_bucket) AS series
-  FROM m WHERE service = 'svc1' GROUP BY service, endpoint) e,
-  (SELECT CAST(sum(request_count) AS BIGINT) AS service_request_count,
-    CAST(sum(error_count) AS BIGINT) AS service_error_count,
-    round(sum(error_count) / sum(request_count), 6) AS service_error_rate FROM m WHERE service = 'svc1') s""",
+        "service_detail": m + _DETAIL,
+        "service_detail_minutes": m1 + _DETAIL,
         "snapshot": m1 + f"""SELECT 'snapshot' AS type, service, CAST(sum(request_count) AS BIGINT) AS request_count,
   CAST(sum(error_count) AS BIGINT) AS error_count, round(sum(error_count) / sum(request_count), 6) AS error_rate,
   strftime(max(minute_bucket), '%Y-%m-%dT%H:%M:%S+00:00') AS last_seen
@@ -645,26 +835,53 @@ def _telemetry_sql() -> dict[str, str]:
         "first_arrivals": _with(_REQ) + """SELECT CAST(trunc(latency_ms * 100) AS BIGINT) AS id, event_id, service,
   ts AS created_at FROM req QUALIFY row_number() OVER (PARTITION BY CAST(trunc(latency_ms * 100) AS BIGINT)
   ORDER BY ts, event_id) = 1""",
-        "anomaly_feed": _with(_REQ) + """SELECT event_id AS id, service, endpoint, latency_ms, ts AS created_at FROM req
-  WHERE status_code >= 500 ORDER BY ts DESC, event_id LIMIT 50""",
+        "anomaly_feed": hist + f"""SELECT {key}, detector, signal, round(score, 6) AS score, to_timestamp_us AS created_at
+  FROM (SELECT *, minute_bucket + INTERVAL 6 HOUR + to_microseconds(CAST(right(service, 1) AS INT) * 1000
+    + CAST(right(endpoint, 1) AS INT) * 100 + CASE detector WHEN 'ewma' THEN 10 ELSE 0 END
+    + CASE signal WHEN 'p95' THEN 1 ELSE 0 END) AS to_timestamp_us FROM stat)
+  ORDER BY created_at DESC LIMIT 50""",
         "message_metric_point": m + f"""SELECT
   'schema_version,type,sequence,service,endpoint,minute_bucket,request_count,error_count,p50,p95,p99' AS keys,
   1 AS schema_version, 'metric_point' AS type, 7 * 4294967296 + row_number() OVER
   (PARTITION BY service, endpoint ORDER BY m.minute_bucket) AS sequence, service, endpoint, {iso}, request_count,
-  error_count, round(p95, 6) AS p95 FROM m""",
-        "message_anomaly": hist + f"""SELECT
+  error_count, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM m""",
+        "message_anomaly": reasons + f"""SELECT
   'schema_version,type,id,service,endpoint,minute_bucket,detector,score,reason,created_at' AS keys,
-  1 AS schema_version, 'anomaly' AS type, {finding_fields},
-  strftime(stat.minute_bucket + INTERVAL 6 HOUR, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM stat""",
-        "alert_outbox": hist + f"""SELECT 'id,minute_bucket,service,endpoint,detector,score,reason' AS keys,
-  {finding_fields} FROM stat""",
+  1 AS schema_version, 'anomaly' AS type, {finding_fields}, reason,
+  strftime(reasons.minute_bucket + INTERVAL 6 HOUR, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM reasons""",
+        "alert_outbox": reasons + outbox,
+        "stream_outbox": reasons + outbox,
+        "anomaly_reasons": reasons + f"SELECT {key}, detector, signal, reason FROM reasons",
+        "fused_detectors": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
+        "forest_windows": hist + f"""SELECT {key}, CAST(n30 AS INTEGER) AS rows, n30 >= 30 AS eligible,
+  round(coalesce(total, 0), 3) AS feature_sum, true AS sound FROM (SELECT *, count(*) OVER w AS n30,
+    sum(request_count + error_rate + p50 + p95 + p99) OVER w AS total FROM r
+    WINDOW w AS (PARTITION BY service, endpoint ORDER BY minute_bucket ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))""",
+        "stored_labels": _with(_REQ, _INC) + "SELECT * FROM truth",
+        "page_bounds": m + """SELECT CAST(a AS INTEGER) AS page_limit, CAST(b AS INTEGER) AS page_offset, ok AS accepted,
+  CASE WHEN ok THEN greatest(least(n - b, a), 0) ELSE 0 END AS held
+  FROM (VALUES (0, 0, false), (1, 0, true), (100, 0, true), (101, 0, false), (20, -1, false), (3, 4, true)) v(a, b, ok),
+  (SELECT count(DISTINCT service) AS n FROM m)""",
+        "metrics_range": m + f"""SELECT {_METRIC_OUT} FROM m
+  WHERE minute_bucket >= TIMESTAMP '2024-01-10' AND minute_bucket < TIMESTAMP '2024-01-20 12:00:00'""",
+        "compacted_metrics": m + f"SELECT {_METRIC_OUT} FROM m",
+        "stream_metrics_late": _with(_REQ, _ON_TIME, _m("ontime")) + f"""SELECT {_METRIC_OUT} FROM m
+  WHERE minute_bucket + INTERVAL 6 HOUR <= (SELECT max(ts) FROM req) - INTERVAL 120 SECOND""",
+        "stream_live_late": _with(_REQ, _ON_TIME, _m("ontime")) + f"""SELECT service, endpoint, {iso}, request_count,
+  error_count, round(p95, 6) AS p95 FROM m""",
+        "backlog_levels": _with(_REQ, _HOURLY) + """SELECT "at", name,
+  CAST(sum(n) OVER (PARTITION BY name ORDER BY "at") AS BIGINT) AS stream_length, coalesce(lag, 0) AS pending_count, lag,
+  CASE WHEN coalesce(lag, 0) > 100 THEN 'error' WHEN coalesce(lag, 0) > 20 THEN 'warn' END AS backlog FROM hours""",
+        "liveness": _with(_REQ, _HOURLY) + """SELECT name,
+  (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max("at"))) // 1000 AS idle_ms FROM hours GROUP BY name""",
         "message_lag": _with(_REQ, _BACKLOG) + """SELECT 'schema_version,type,stream_length,pending_count,lag' AS keys,
   1 AS schema_version, 'lag' AS type, stream_length, pending_count, lag FROM hourly""",
         "run_report": _with(_REQ, _m(), _hist(), _INC, _SAMPLES, _SERIES, _stats(""), _BACKLOG,
-                            f"pr AS ({pr})", f"pc AS ({processed})") + """SELECT 'january' AS scenario_name, s.count,
-  s.p99_ms, (SELECT max(sent) FROM series) AS maximum, s.avg_ms, pr.true_positives,
-  (SELECT max(pending_count) FROM hourly) AS peak_pending, round(pc.processed / 720.0::DOUBLE, 6) AS processed_per_sec
-  FROM stats s, pr, pc""",
+                            f"pr AS ({pr})", f"pc AS ({processed})") + """SELECT 'january' AS scenario_name, '2024-01-31T00:00:00+00:00' AS run_timestamp,
+  720.0::DOUBLE AS throughput_duration_seconds, s.*, s.p95_ms AS live_p95_ms, v.*, pr.*, h.*, pc.processed,
+  round(pc.processed / 720.0::DOUBLE, 6) AS processed_per_sec
+  FROM stats s, pr, pc, (SELECT round(avg(sent), 6) AS mean, round(stddev_pop(sent), 6) AS stddev, min(sent) AS minimum,
+  max(sent) AS maximum FROM series) v, (SELECT max(pending_count) AS peak_pending, max(lag) AS peak_lag FROM hourly) h""",
         "repaired_metrics": _with(_REQ, "part AS (SELECT * FROM req WHERE status_code <> 404)", _m(),
                                   _m("part", name="p")) + f"""
   SELECT {_METRIC_OUT} FROM m WHERE minute_bucket >= TIMESTAMP '2024-01-16'
@@ -679,5 +896,6 @@ def _telemetry_sql() -> dict[str, str]:
         "stream_live": m + f"""SELECT 'metric_point' AS type, service, endpoint, {iso}, request_count, error_count,
   round(p95, 6) AS p95 FROM m""",
         "stream_detection": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
-        "stream_backlog": "SELECT 'metrics' AS name, count(*) AS rows_in, CAST(0 AS BIGINT) AS dropped FROM events",
+        "stream_backlog": """SELECT 'ingest' AS name, count(*) AS rows_in, CAST(0 AS BIGINT) AS dropped,
+  true AS over_100_batches FROM events""",
     }

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-# The usual defaults of the method.
+# The usual defaults of the method, which grows a tree on a subsample of that size at most.
 TREES = 100
 MAX_SAMPLE = 256
 SEED = 42

@@ -18,6 +18,11 @@ def latest_points(points: DataFrame) -> DataFrame:
     return _pick(points, BUCKET_KEY, F.max_by, "sequence")
 
 
+def fullest(metrics: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per bucket: the highest in `order`, or the one with most requests."""
+    return _pick(metrics, BUCKET_KEY, F.max_by, order or "request_count")
+
+
 def _pick(df: DataFrame, keys: list[str], choose, order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     # Ties are broken by content, so a rerun picks the same row.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.forest import forest_column
 from ..functions.scalar import error_rate, features, instant
 from ..params import Params
-from ..schemas import ANOMALY, BUCKET_KEY, FINDING_KEY, METRIC
+from ..schemas import ANOMALY, BUCKET_KEY, FINDING_KEY, METRIC, SERIES
 from .history import CHUNK, chunked, history, latest_rows, previous
 
 SIGNALS = ("p95", "error_rate")
@@ -99,9 +99,12 @@ def _with_history(metrics: DataFrame, params: Params, since: datetime | None,
     rows = metrics.select(*METRIC.fieldNames())
     if since is not None:
         # A time filter can't pass below a frame that counts rows, so fetch just what the frames need.
-        older = latest_rows(rows, params.longest_history, instant(since))
+        wanted = rows.where(F.col("minute_bucket") >= instant(since))
+        # Series without a new bucket need no past.
+        theirs = rows.join(wanted.select(*SERIES).distinct(), SERIES, "left_semi")
+        older = latest_rows(theirs, params.longest_history, instant(since))
         earlier = older if earlier is None else earlier.select(*METRIC.fieldNames()).unionByName(older)
-        rows = rows.where(F.col("minute_bucket") >= instant(since))
+        rows = wanted
     rows = rows.withColumn("_wanted", F.lit(True))
     if earlier is not None:
         rows = rows.unionByName(earlier.select(*METRIC.fieldNames(), F.lit(False).alias("_wanted")))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..session import cut
+from ..session import cut, small
 
 LOG_STEPS = 4096
 LINEAR_SLICES = 65536
@@ -28,27 +28,28 @@ def select_ranks(values: DataFrame, targets: DataFrame, keys: list[str], value:
     """The value at each wanted 0-based rank: one row (keys, rank, value) per rank.
 
     values: keys, a non-negative double, and how often it occurred.
-    targets: one row per group, keys and ranks array<bigint>. It is broadcast, so the caller bounds it;
-    the two tables derived from it have at most one row per wanted rank. Both are computed on the spot
-    and kept in the shared checkpoint folder, so each pass over values is made once.
+    targets: one row per group, keys and ranks array<bigint>; the two tables derived from it have at most
+    one row per wanted rank. All are kept in the shared checkpoint folder, and broadcast if they are small.
+    values is passed over three times, so it should be stored counts.
     """
+    targets = cut(targets)
     ranged = values.select(*keys, F.col(value).alias("_x"), F.col(weight).alias("_w"), _log_range(value).alias("_a"))
 
     by_range = (
-        ranged.join(F.broadcast(targets.select(*keys)), keys)
+        ranged.join(small(targets.select(*keys)), keys)
         .groupBy(*keys, "_a")
         .agg(F.sum("_w").alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        .join(F.broadcast(targets.select(*keys, F.transform("ranks", _wanted).alias("_want"))), keys)
+        .join(small(targets.select(*keys, F.transform("ranks", _wanted).alias("_want"))), keys)
     )
     ranges = cut(_holding(by_range, keys, "_a").select(*keys, "_a", "_lo", "_hi", "_want"))
 
-    sliced = ranged.join(F.broadcast(ranges), [*keys, "_a"]).withColumn("_b", _slice())
+    sliced = ranged.join(small(ranges), [*keys, "_a"]).withColumn("_b", _slice())
     by_slice = sliced.groupBy(*keys, "_a", "_b").agg(F.sum("_w").alias("_m"), F.any_value("_want").alias("_want"))
     slices = cut(_holding(by_slice, [*keys, "_a"], "_b").select(*keys, "_a", "_b", "_want"))
 
     by_value = (
         sliced.drop("_want")
-        .join(F.broadcast(slices), [*keys, "_a", "_b"])
+        .join(small(slices), [*keys, "_a", "_b"])
         .groupBy(*keys, "_a", "_b", "_x")
         .agg(F.sum("_w").alias("_m"), F.any_value("_want").alias("_want"))
     )
@@ -60,22 +61,24 @@ def select_ranks(values: DataFrame, targets: DataFrame, keys: list[str], value:
 def exact_ranks(samples: DataFrame, keys: list[str], value: str, ranks, params: Params) -> DataFrame:
     """One row (keys, n, mean, at) per group; `at` maps each rank that ranks(n) names to its value.
 
-    Groups up to hot_rows rows are numbered by a window, one group per task at a time; larger ones go
-    through select_ranks. As in the rollup, at most hot_groups of them do.
+    The samples are read once and counted by value. A group of up to hot_values distinct values is then ranked by
+    a running sum in one task; larger ones go through select_ranks.
     """
-    rows = samples.select(*keys, F.col(value).cast("double").alias("_x"), F.lit(1).cast("bigint").alias("_w"))
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
+    counted = cut(samples.groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_w")))
+    totals = counted.groupBy(*keys).agg(
+        F.sum("_w").alias("n"), (F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("mean"), F.count("*").alias("_distinct")
+    )
     sizes = cut(totals.withColumn("ranks", ranks(F.col("n"))))
-    large = sizes.where(F.col("n") > params.hot_rows).orderBy(F.desc("n"), *keys).limit(params.hot_groups)
-    hot = F.broadcast(large.select(*keys))
+    large = sizes.where(F.col("_distinct") > params.hot_values).select(*keys, "ranks")
+    usual = sizes.where(F.col("_distinct") <= params.hot_values).select(*keys, F.transform("ranks", _wanted).alias("_want"))
 
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("_x")) - 1
-    numbered = rows.join(hot, keys, "left_anti").withColumn("rank", number.cast("bigint")).join(sizes.drop("n", "mean"), keys)
-    found = numbered.where(F.array_contains("ranks", F.col("rank"))).select(*keys, "rank", F.col("_x").alias("value"))
+    found = _holding(counted.withColumnRenamed("_w", "_m").join(usual, keys), keys, "_x").select(
+        *keys, F.explode("_want.rank").alias("rank"), F.col("_x").alias("value")
+    )
     if not large.isEmpty():
-        found = found.unionByName(select_ranks(rows, large.select(*keys, "ranks"), keys, "_x", "_w"))
+        found = found.unionByName(select_ranks(counted, large, keys, "_x", "_w"))
     at = F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
-    return found.groupBy(*keys).agg(at).join(sizes.drop("ranks"), keys)
+    return found.groupBy(*keys).agg(at).join(sizes.drop("ranks", "_distinct"), keys)
 
 
 def interpolate(at_rank: Column, rows: Column, p: float) -> Column:

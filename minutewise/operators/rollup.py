@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import bucket_start, is_error
 from ..params import Params
 from ..schemas import BUCKET_KEY, METRIC
-from ..session import cut
+from ..session import cut, small
 from .ranks import interpolate, interpolation_ranks, select_ranks
 
 PERCENTILES = [0.5, 0.95, 0.99]
@@ -40,22 +40,25 @@ def rollup_values(values: DataFrame, params: Params = Params()) -> DataFrame:
     """METRIC rows from value counts.
 
     Ordinary buckets use the built-in percentile, which combines on the map side and then holds one
-    bucket's sample in one task. A first job, reading the keys only, looks for buckets of more than
-    hot_rows rows; those use select_ranks instead. At most the hot_groups largest do, which bounds the
-    list and every broadcast; any beyond that hold under 1/hot_groups of the table and stay exact.
+    bucket's distinct values in one task. A first job looks for buckets with more than hot_values of them. Those
+    are counted by value once, and all that select_ranks does starts from these counts.
     """
-    found = hot_buckets(values, params).withColumn("minute_bucket", F.unix_micros("minute_bucket")).collect()
-    if not found:
+    hot = cut(hot_buckets(values, params))
+    if hot.isEmpty():
         return _ordinary(values)
-    keys = values.sparkSession.createDataFrame(found, "minute_bucket bigint, service string, endpoint string")
-    hot = F.broadcast(keys.withColumn("minute_bucket", F.timestamp_micros("minute_bucket")))
-    return _ordinary(values.join(hot, BUCKET_KEY, "left_anti")).unionByName(_hot(values.join(hot, BUCKET_KEY)))
+    keys = small(hot.select(*BUCKET_KEY))
+    counted = cut(count_values(values.join(keys, BUCKET_KEY, "left_semi")))
+    return _ordinary(values.join(keys, BUCKET_KEY, "left_anti")).unionByName(_hot(counted, hot))
 
 
 def hot_buckets(values: DataFrame, params: Params) -> DataFrame:
-    """Keys of the largest buckets with more than hot_rows rows; never more than hot_groups keys."""
-    rows = values.groupBy(*BUCKET_KEY).agg(F.count("*").alias("_rows")).where(F.col("_rows") > params.hot_rows)
-    return rows.orderBy(F.desc("_rows"), *BUCKET_KEY).limit(params.hot_groups).select(*BUCKET_KEY)
+    """Key and totals of the buckets with more than about hot_values distinct latencies."""
+    totals = values.groupBy(*BUCKET_KEY).agg(
+        F.sum("n").alias("request_count"),
+        F.sum("errors").alias("error_count"),
+        F.approx_count_distinct("latency_ms").alias("_distinct"),
+    )
+    return totals.where(F.col("_distinct") > params.hot_values).drop("_distinct")
 
 
 def _ordinary(values: DataFrame) -> DataFrame:
@@ -67,10 +70,7 @@ def _ordinary(values: DataFrame) -> DataFrame:
     )
 
 
-def _hot(values: DataFrame) -> DataFrame:
-    sizes = cut(
-        values.groupBy(*BUCKET_KEY).agg(F.sum("n").alias("request_count"), F.sum("errors").alias("error_count"))
-    )
+def _hot(values: DataFrame, sizes: DataFrame) -> DataFrame:
     targets = sizes.select(*BUCKET_KEY, interpolation_ranks(F.col("request_count"), PERCENTILES).alias("ranks"))
     found = select_ranks(values, targets, BUCKET_KEY, "latency_ms", "n")
     # At most two ranks per percentile and bucket.

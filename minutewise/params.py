@@ -23,16 +23,12 @@ class Params:
     max_future_skew_seconds: int = 60
     default_range_minutes: int = 60
 
-    # A bucket with more rows than this takes the distributed percentile path.
-    hot_rows: int = 250_000
-    # At most this many buckets (the largest) take it; it also bounds what is broadcast.
-    hot_groups: int = 100_000
+    # A bucket with more distinct latencies than this, about, takes the distributed percentile path.
+    hot_values: int = 250_000
     # One series' buckets go to tasks in runs of this many, each with its history copied along.
     chunk_rows: int = 500
     # Tasks for detection with the forest; 0 means spark.sql.shuffle.partitions.
     forest_partitions: int = 0
-    # Longest series nested into one row by service_detail.
-    max_nested_points: int = 50_000
 
     def __post_init__(self) -> None:
         if self.window_seconds < 1 or self.watermark_seconds < 0:
@@ -45,8 +41,8 @@ class Params:
             raise ValueError("contamination must be in (0, 0.5]")
         if self.zscore_threshold < 0:
             raise ValueError("zscore_threshold must be >= 0")
-        if self.hot_rows < 1 or self.hot_groups < 1:
-            raise ValueError("hot_rows and hot_groups must be >= 1")
+        if self.hot_values < 1:
+            raise ValueError("hot_values must be >= 1")
         if self.chunk_rows <= self.longest_history:
             raise ValueError("chunk_rows must exceed the history length")
 

@@ -12,6 +12,7 @@ from ..functions.scalar import error_rate, health_class, instant, iso_utc, perce
 from ..operators.dedupe import first_by_id
 from ..params import Params
 from ..schemas import METRIC
+from ..session import cut
 
 # The filter's choices and the sizes of a page, the snapshot and the feed.
 STATUS_CLASSES = ("all", "healthy", "error")
@@ -48,7 +49,8 @@ def page(df: DataFrame, order: list[str], limit: int = 20, offset: int = 0) -> t
         raise ValueError(f"limit must be in 1..{MAX_PAGE}")
     if offset < 0:
         raise ValueError("offset must be >= 0")
-    return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count("*").alias("total"))
+    base = cut(df)
+    return base.orderBy(*order).offset(offset).limit(limit), base.agg(F.count("*").alias("total"))
 
 
 def service_totals(metrics: DataFrame, start: datetime | None = None, end: datetime | None = None,
@@ -93,12 +95,10 @@ def service_detail(metrics: DataFrame, service: str, start: datetime | None = No
                    now: datetime | None = None, params: Params = Params()) -> DataFrame:
     """One row per endpoint of a service: its totals, the service's totals, and its series as an array.
 
-    An array holds one point per bucket of the range, so the range is checked; service_points gives the
-    same points as plain rows for any range.
+    An array holds every bucket of the range; service_points gives the same points as plain rows, which
+    suits very long ranges better.
     """
     first, until = bounds(start, end, now, params)
-    if (until - first).total_seconds() / params.window_seconds > params.max_nested_points:
-        raise ValueError("range too long to nest; use service_points")
     rows = in_range(metrics, first, until).where(F.col("service") == service)
     point = F.struct("minute_bucket", "request_count", "error_count", "p50", "p95", "p99")
     per_endpoint = rows.groupBy("service", "endpoint").agg(
@@ -130,8 +130,22 @@ def snapshot(metrics: DataFrame, now: datetime | None = None) -> DataFrame:
 
 
 def anomaly_feed(anomalies: DataFrame, rows: int = FEED_ROWS) -> DataFrame:
-    """The newest findings, each id once."""
-    return first_by_id(anomalies).orderBy(F.desc("created_at"), "id").limit(rows)
+    """The newest findings, each id once as it first arrived.
+
+    Looks at the newest rows first, and at more only while they hold too few ids: whatever has its last row
+    before all rows looked at, arrived before them too.
+    """
+    look = 4 * rows
+    while True:
+        newest = cut(anomalies.orderBy(F.desc("created_at"), "id").limit(look))
+        seen, oldest = newest.agg(F.count("*"), F.min(F.unix_micros("created_at"))).first()
+        # At most `look` ids, which grows with the rows asked for and not with the table.
+        firsts = first_by_id(anomalies.join(F.broadcast(newest.select("id").distinct()), "id", "left_semi"))
+        feed = cut(firsts.orderBy(F.desc("created_at"), "id").limit(rows))
+        count, last = feed.agg(F.count("*"), F.min(F.unix_micros("created_at"))).first()
+        if seen < look or (count == rows and last > oldest):
+            return feed.orderBy(F.desc("created_at"), "id")
+        look *= 8
 
 
 def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings this library relies on. Safe to apply to any session: all are runtime SQL settings.
 SQL_SETTINGS = {
@@ -20,7 +22,7 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the library's SQL settings to an existing session."""
+    """Apply the library's SQL settings (time zone, adaptive execution, state store) to an existing session, for all it runs."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -32,7 +34,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "minu
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "10g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in SQL_SETTINGS.items():
@@ -43,14 +45,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "minu
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach, under the cluster's spark.checkpoint.dir.
+    """A new folder every executor can reach: under spark.checkpoint.dir, or where setCheckpointDir points.
 
-    Only where that setting is absent (a test on one machine) is a local folder made.
+    A local folder is made only where neither is set and there are no other machines; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="minutewise-")
-    run = spark.sparkContext.applicationId
+    run = context.applicationId
     stamp = spark._jvm.java.util.UUID.randomUUID().toString()
     return f"{base.rstrip('/')}/minutewise/{run}/{stamp}"
 
@@ -58,9 +63,15 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute df now and keep it in the shared checkpoint folder, so later steps don't repeat it.
 
-    For tables far smaller than the events, such as rollups and rank targets. The files are reliable storage: losing executors loses nothing.
+    For tables far smaller than the events, such as rollups and rank targets. The files are reliable storage: losing
+    executors loses nothing.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A cut frame of short rows, marked for broadcast if it has few; otherwise the join shuffles as Spark decides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

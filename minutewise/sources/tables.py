@@ -10,28 +10,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import bucket_start, instant, utc
+from ..operators.dedupe import fullest
 from ..operators.rollup import rollup
 from ..params import Params
 from ..schemas import ANOMALY, BUCKET_KEY, INCIDENT, LABEL, METRIC, SERIES
 from ..session import cut
+from .versions import children, delete
 
 
 _DATED_METRIC = T.StructType([*METRIC.fields, T.StructField("bucket_date", T.DateType())])
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch as its own directory; running the batch again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """Write one micro-batch of a table; running the batch again replaces its rows.
 
+    Tables by bucket lie in bucket_date=/batch_id= folders, so that a range of time opens the days it needs.
+    """
+    if "minute_bucket" not in df.columns:
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return
+    dated = df.withColumns({"bucket_date": F.to_date("minute_bucket"), "batch_id": F.lit(batch_id).cast("bigint")})
+    (
+        dated.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket_date", "batch_id")
+        .parquet(path)
+    )
+
+
+def read_batches(spark: SparkSession, path: str, schema, start: datetime | None = None, end: datetime | None = None,
+                 batch_id: int | None = None) -> DataFrame:
+    """A table written by write_batch, or one of its batches; empty before the first one is written.
 
-def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All batch directories of a table; empty before the first one is written."""
+    With start or end (start <= minute_bucket < end) only the days between them are opened.
+    """
+    dated = "minute_bucket" in schema.fieldNames()
+    folders = [T.StructField("bucket_date", T.DateType())] if dated and "bucket_date" not in schema.fieldNames() else []
+    whole = T.StructType([*schema.fields, *folders, T.StructField("batch_id", T.LongType())])
     try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
+        rows = spark.read.schema(whole).option("basePath", path).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    if batch_id is not None:
+        rows = rows.where(F.col("batch_id") == batch_id)
+    if dated:
+        rows = _days_between(rows, start, end)
+    return rows.select(*schema.fieldNames())
+
+
+def _days_between(rows: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Rows of start <= minute_bucket < end, by day first: that reaches the folders."""
+    if start is not None:
+        rows = rows.where(F.col("bucket_date") >= F.lit(utc(start).astimezone(timezone.utc).date()))
+    if end is not None:
+        rows = rows.where(F.col("bucket_date") <= F.lit(utc(end).astimezone(timezone.utc).date()))
+    return _between(rows, start, end)
 
 
 def ensure_table(spark: SparkSession, path: str, schema) -> None:
@@ -44,8 +79,8 @@ def ensure_table(spark: SparkSession, path: str, schema) -> None:
         write_batch(spark.createDataFrame([], schema), path, -1)
 
 
-def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
-    return read_batches(spark, path, ANOMALY)
+def read_anomalies(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    return read_batches(spark, path, ANOMALY, start, end)
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -63,26 +98,22 @@ def read_metrics(spark: SparkSession, closed: str, repaired: str | None = None,
     Only days that have a repair pay for the key comparison; all others are read as they are. With start or
     end (start <= minute_bucket < end), repaired days outside the range aren't opened.
     """
-    live = _between(read_batches(spark, closed, METRIC), start, end)
+    live = read_batches(spark, closed, _DATED_METRIC, start, end)
     if repaired is None:
-        return live
+        return live.select(*METRIC.fieldNames())
     try:
         fixed = spark.read.schema(_DATED_METRIC).parquet(repaired)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return live
-    if start is not None:
-        fixed = fixed.where(F.col("bucket_date") >= F.lit(utc(start).astimezone(timezone.utc).date()))
-    if end is not None:
-        fixed = fixed.where(F.col("bucket_date") <= F.lit(utc(end).astimezone(timezone.utc).date()))
+        return live.select(*METRIC.fieldNames())
+    fixed = _days_between(fixed, start, end)
     # One value per day directory.
     days = [row.bucket_date for row in fixed.select("bucket_date").distinct().collect()]
-    day = F.to_date("minute_bucket")
-    fixed = _between(fixed.select(*METRIC.fieldNames()), start, end)
+    day = F.col("bucket_date")
     untouched = live.where(~day.isin(days))
     superseded = live.where(day.isin(days)).join(fixed.select(*BUCKET_KEY), BUCKET_KEY, "left_anti")
-    return untouched.unionByName(superseded).unionByName(fixed)
+    return untouched.unionByName(superseded).unionByName(fixed).select(*METRIC.fieldNames())
 
 
 def _between(metrics: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
@@ -109,14 +140,15 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     )
 
 
-def upsert_metrics(updates: DataFrame, path: str) -> None:
+def upsert_metrics(updates: DataFrame, path: str, order: str | None = None) -> None:
     """Put updates into a table kept by write_metrics: a bucket that is there already is replaced, not added to.
 
-    Of duplicate updates of a bucket one is kept. Only the days touched are read and rewritten, and the new rows
-    are complete in the checkpoint folder before the first old one goes.
+    Of duplicate updates of a bucket the one with most requests is kept, as a count never shrinks; with `order`, a
+    column of updates such as a batch number, the one highest in it. Only the days touched are read and rewritten, and
+    the new rows are complete in the checkpoint folder before the first old one goes.
     """
     spark = updates.sparkSession
-    new = cut(updates.select(*METRIC.fieldNames()).dropDuplicates(BUCKET_KEY))
+    new = cut(fullest(updates, order).select(*METRIC.fieldNames()))
     # One value per day touched.
     days = [row.day for row in new.select(F.to_date("minute_bucket").alias("day")).distinct().collect()]
     try:
@@ -130,16 +162,46 @@ def upsert_metrics(updates: DataFrame, path: str) -> None:
     write_metrics(cut(kept.unionByName(new)), path)
 
 
+def compact_metrics(spark: SparkSession, closed: str, daily: str, before: date) -> list[date]:
+    """Move the days before a date from the live table's batch folders into the day files of write_metrics.
+
+    A bucket the daily table has already (from a repair) stays as it is there. Folders go after their rows are in
+    place; a run that breaks off between leaves rows in both, which read_metrics(closed, daily) sees once.
+    """
+    listed = [date.fromisoformat(d) for d in children(spark, closed, "bucket_date")]
+    days = [d for d in listed if d < before]
+    if days:
+        until = datetime.combine(max(days), time(), timezone.utc) + timedelta(days=1)
+        begin = datetime.combine(min(days), time(), timezone.utc)
+        write_metrics(cut(read_metrics(spark, closed, daily, begin, until)), daily)
+        for day in days:
+            delete(spark, f"{closed}/bucket_date={day.isoformat()}")
+    return days
+
+
+def _spans(days: list[date]) -> list[tuple[date, date]]:
+    """Runs of consecutive days, as first and last."""
+    spans: list[tuple[date, date]] = []
+    for day in sorted(set(days)):
+        if spans and day - spans[-1][1] == timedelta(days=1):
+            spans[-1] = (spans[-1][0], day)
+        else:
+            spans.append((day, day))
+    return spans
+
+
 def repair(events: DataFrame, path: str, days: list[date], params: Params = Params()) -> None:
     """Recompute whole days from raw events, late ones included, and replace them in the repaired table.
 
-    The range on ts reaches the scan of the events. A stored count can't shrink: every event of the day's
-    buckets is read again.
+    The ranges on ts, one for each run of days, reach the scan of the events. A stored count can't shrink: every event
+    of the day's buckets is read again.
     """
     if not days:
         return
-    first = datetime.combine(min(days), time(), timezone.utc)
-    until = datetime.combine(max(days), time(), timezone.utc) + timedelta(days=1, seconds=params.window_seconds)
-    nearby = events.where((F.col("ts") >= instant(first)) & (F.col("ts") < instant(until)))
-    of_days = nearby.where(F.to_date(bucket_start("ts", params.window_seconds)).isin(days))
+    wide = timedelta(days=1, seconds=params.window_seconds)
+    nearby = F.lit(False)
+    for first, last in _spans(days):
+        start, until = (datetime.combine(d, time(), timezone.utc) for d in (first, last))
+        nearby = nearby | ((F.col("ts") >= instant(start)) & (F.col("ts") < instant(until + wide)))
+    of_days = events.where(nearby).where(F.to_date(bucket_start("ts", params.window_seconds)).isin(days))
     write_metrics(rollup(of_days, params), path)

@@ -1,0 +1,66 @@
+"""State kept in folders <path>/<name>=<key>/batch_id=<n>: a batch reads the newest one before it and adds its own.
+
+A replayed batch finds what it found the first time, because the version before it stays until a later batch retires it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+
+_MARK = T.StructType([T.StructField("value", T.LongType())])
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def children(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The values x of the folders <name>=x under path."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()]
+    return sorted(f.partition("=")[2] for f in found if f.startswith(f"{name}="))
+
+
+def versions(spark: SparkSession, path: str, name: str, key: str) -> list[int]:
+    return sorted(int(b) for b in children(spark, f"{path}/{name}={key}", "batch_id"))
+
+
+def before(spark: SparkSession, path: str, name: str, keys: Iterable[str], batch_id: int) -> list[str]:
+    """The folder of each key's newest version before a batch, where there is one."""
+    found = []
+    for key in keys:
+        older = [b for b in versions(spark, path, name, key) if b < batch_id]
+        found += [f"{path}/{name}={key}/batch_id={older[-1]}"] if older else []
+    return found
+
+
+def retire(spark: SparkSession, path: str, name: str, keys: Iterable[str], batch_id: int) -> None:
+    """Delete the versions of each key that are older than the one a replay of batch_id would read."""
+    for key in keys:
+        for old in [b for b in versions(spark, path, name, key) if b < batch_id][:-1]:
+            delete(spark, f"{path}/{name}={key}/batch_id={old}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library wrote."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def read_mark(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    """The number that the batches before one left."""
+    marks = before(spark, path, "mark", ["0"], batch_id)
+    return spark.read.schema(_MARK).parquet(*marks).first().value if marks else None
+
+
+def write_mark(spark: SparkSession, path: str, batch_id: int, value: int) -> None:
+    """Leave a number for the batches after this one."""
+    row = spark.createDataFrame([(value,)], _MARK).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{path}/mark=0/batch_id={batch_id}")
+    retire(spark, path, "mark", ["0"], batch_id)

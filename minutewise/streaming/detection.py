@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.messages import alert, anomaly, as_json, envelope
+from ..operators.dedupe import fullest
 from ..operators.detect import detect
 from ..operators.history import latest_rows
 from ..params import Params
-from ..schemas import ANOMALY, BUCKET_KEY, METRIC, OUTBOX, SERIES
+from ..schemas import ANOMALY, METRIC, OUTBOX, SERIES
 from ..sources.tables import ensure_table, read_batches, write_batch
+from ..sources.versions import before, retire
 from .ingest import EVERY_5_SECONDS
 
+# Parts of the table of last buckets. Fixed, as the place of a series must not change between runs.
+TAIL_PARTS = 64
+
 
 def alert_outbox(anomalies: DataFrame) -> DataFrame:
     """id and payload of each finding, for whatever delivers alerts."""
@@ -30,45 +35,55 @@ def start_detection(spark: SparkSession, metrics_path: str, anomalies_path: str,
                     feed_path: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Follow the closed-bucket table and write ANOMALY rows, one directory per batch.
 
-    Each series' last buckets are carried from batch to batch in a small table of two alternating slots
-    (tail_path), so a batch never scans the metrics table. A replayed batch reads the slot it read before.
-    `history` (for instance a backfill) gives the first batch its past. Alerts and feed messages are
-    made from the stored findings, after they are stored; each is off unless given a path.
+    Each series' last buckets are carried from batch to batch in a small table (tail_path) in TAIL_PARTS parts by
+    series. A batch reads, and writes anew, the parts of the series it brings, and only these series go through the
+    detectors; it never scans the metrics table. A replayed batch reads the versions it read before.
+    `history` (for instance a backfill) gives each series its past when it first shows up. Alerts and feed
+    messages are made from the stored findings, after they are stored; each is off unless given a path.
     """
     n = params.longest_history
+    known = None if history is None else latest_rows(history.select(*METRIC.fieldNames()), n)
+    part = F.pmod(F.hash(*SERIES), F.lit(TAIL_PARTS))
 
-    def slot(batch_id: int) -> str:
-        return f"{tail_path}/slot={batch_id % 2}"
-
-    def past(session: SparkSession, batch_id: int) -> DataFrame:
-        if batch_id > 0:
-            return session.read.schema(METRIC).parquet(slot(batch_id - 1))
-        if history is not None:
-            return latest_rows(history.select(*METRIC.fieldNames()), n)
-        return session.createDataFrame([], METRIC)
+    def past(session: SparkSession, parts: list[str], batch_id: int) -> DataFrame:
+        folders = before(session, tail_path, "part", parts, batch_id)
+        stored = session.read.schema(METRIC).parquet(*folders) if folders else session.createDataFrame([], METRIC)
+        if known is None:
+            return stored
+        fresh_parts = [p for p in parts if not any(f"/part={p}/" in f for f in folders)]
+        return stored.unionByName(known.where(part.cast("string").isin(fresh_parts)))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        tail = past(session, batch_id)
+        rows = fullest(batch.select(*METRIC.fieldNames())).withColumn("part", part).persist()
+        # At most TAIL_PARTS numbers.
+        parts = [str(r.part) for r in rows.select("part").distinct().orderBy("part").collect()]
+        tail = past(session, parts, batch_id)
         # Buckets of a series arrive in order, so anything not newer was seen in an earlier run.
         newest = tail.groupBy(*SERIES).agg(F.max("minute_bucket").alias("_newest"))
         fresh = (
-            batch.select(*METRIC.fieldNames())
-            .dropDuplicates(BUCKET_KEY)
+            rows.drop("part")
             .join(newest, SERIES, "left")
             .where(F.col("_newest").isNull() | (F.col("minute_bucket") > F.col("_newest")))
             .drop("_newest")
             .persist()
         )
-        write_batch(detect(fresh, params, earlier=tail), anomalies_path, batch_id)
+        touched = tail.join(fresh.select(*SERIES).distinct(), SERIES, "left_semi")
+        write_batch(detect(fresh, params, earlier=touched), anomalies_path, batch_id)
         if outbox_path or feed_path:
-            stored = session.read.schema(ANOMALY).parquet(f"{anomalies_path}/batch_id={batch_id}")
+            stored = read_batches(session, anomalies_path, ANOMALY, batch_id=batch_id)
             if outbox_path:
                 write_batch(alert_outbox(stored), outbox_path, batch_id)
             if feed_path:
                 anomaly_messages(stored).write.mode("overwrite").text(f"{feed_path}/batch_id={batch_id}")
-        latest_rows(tail.unionByName(fresh), n).write.mode("overwrite").parquet(slot(batch_id))
+        latest = latest_rows(tail.unionByName(fresh), n).withColumns({"part": part, "batch_id": F.lit(batch_id)})
+        (
+            latest.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("part", "batch_id").parquet(tail_path)
+        )
+        retire(session, tail_path, "part", parts, batch_id)
         fresh.unpersist()
+        rows.unpersist()
 
     ensure_table(spark, metrics_path, METRIC)
     closed = spark.readStream.schema(METRIC).option("ignoreMissingFiles", "true").parquet(metrics_path)

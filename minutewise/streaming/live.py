@@ -4,23 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.messages import envelope, metric_point
 from ..operators.rollup import count_values, rollup_values, to_values
 from ..params import Params
-from ..schemas import BUCKET_KEY, SERIES, VALUE_COUNT
+from ..schemas import SERIES, VALUE_COUNT
+from ..sources.versions import before, children, delete, read_mark, retire, write_mark
 from .ingest import EVERY_5_SECONDS
 
 # Batches can't overlap in sequence while one series has fewer touched buckets than this.
 SEQUENCE_STEP = 2**32
 
-_STORED = T.StructType(
-    [*VALUE_COUNT.fields, T.StructField("bucket_hour", T.StringType()), T.StructField("batch_id", T.LongType())]
-)
-
-
 def with_sequence(points: DataFrame, batch_id: int) -> DataFrame:
     """A number that rises per series over batches and restarts; the same again if a batch is replayed."""
     nth = F.row_number().over(W.partitionBy(*SERIES).orderBy("minute_bucket"))
@@ -28,43 +23,64 @@ def with_sequence(points: DataFrame, batch_id: int) -> DataFrame:
 
 
 def start_live(events: DataFrame, values_path: str, feed_path: str, checkpoint: str, params: Params = Params(),
-               trigger: dict | None = None) -> StreamingQuery:
+               trigger: dict | None = None, dedupe: bool = False) -> StreamingQuery:
     """Publish metric_point messages as JSON lines, one directory per batch.
 
-    Each batch adds its value counts to a table laid out by hour, then rolls up its touched buckets from the
-    hours they lie in. So in-progress buckets are exact at any age, with no state to lose, and hours
-    that are over can be deleted.
+    The value counts of each open bucket are kept in a folder of the bucket's own, a new version with every batch that
+    touches it; a batch reads those of its buckets and nothing else. The same rules hold as for closed buckets: an
+    event whose bucket ended before the watermark (the newest time of earlier batches, less watermark_seconds) is
+    dropped, and with dedupe a repeated event_id within the watermark counts once. Folders of buckets that ended
+    before it can't be needed again and are deleted.
     """
+    rows = events
+    if dedupe:
+        rows = events.withWatermark("ts", f"{params.watermark_seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])
+    width = params.window_seconds * 1_000_000
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        hour = F.date_format("minute_bucket", "yyyyMMddHH").alias("bucket_hour")
-        counts = count_values(to_values(batch, params.window_seconds))
-        added = counts.select("*", hour, F.lit(batch_id).cast("bigint").alias("batch_id")).persist()
-        (
-            # About one file per hour, more only where an hour is large.
-            added.hint("rebalance", "bucket_hour")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket_hour", "batch_id")
-            .parquet(values_path)
-        )
-        # One short text per hour touched.
-        hours = [row.bucket_hour for row in added.select("bucket_hour").distinct().collect()]
-        if hours:
-            folders = [f"{values_path}/bucket_hour={h}" for h in hours]
-            stored = spark.read.schema(_STORED).option("basePath", values_path).parquet(*folders)
-            stored = stored.where(F.col("batch_id") <= batch_id)
-            touched = added.select(*BUCKET_KEY).distinct()
-            points = rollup_values(stored.join(touched, BUCKET_KEY, "left_semi"), params)
+        batch.persist()
+        newest = read_mark(spark, f"{values_path}/newest", batch_id)
+        watermark = None if newest is None else newest - params.watermark_seconds * 1_000_000
+        # Whole microseconds name a bucket's folder.
+        values = count_values(to_values(batch, params.window_seconds)).withColumn("bucket", F.unix_micros("minute_bucket"))
+        if watermark is not None:
+            values = values.where(F.col("bucket") + width > watermark)
+        values.persist()
+        # One number per bucket start that is still open and was touched.
+        touched = [str(r.bucket) for r in values.select("bucket").distinct().collect()]
+        if touched:
+            folders = before(spark, f"{values_path}/open", "bucket", touched, batch_id)
+            counts = values.drop("bucket")
+            if folders:
+                counts = count_values(counts.unionByName(spark.read.schema(VALUE_COUNT).parquet(*folders)))
+            versioned = counts.withColumns({"bucket": F.unix_micros("minute_bucket"), "batch_id": F.lit(batch_id)})
+            (
+                versioned.hint("rebalance", "bucket").write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id")
+                .parquet(f"{values_path}/open")
+            )
+            written = [f"{values_path}/open/bucket={b}/batch_id={batch_id}" for b in touched]
+            points = rollup_values(spark.read.schema(VALUE_COUNT).parquet(*written), params)
             messages = with_sequence(points, batch_id).select(envelope(metric_point()).alias("value"))
             messages.write.mode("overwrite").text(f"{feed_path}/batch_id={batch_id}")
-        added.unpersist()
+            retire(spark, f"{values_path}/open", "bucket", touched, batch_id)
+        here = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+        known = [t for t in (here, newest) if t is not None]
+        if known:
+            write_mark(spark, f"{values_path}/newest", batch_id, max(known))
+        if watermark is not None:
+            for b in children(spark, f"{values_path}/open", "bucket"):
+                if int(b) + width <= watermark:
+                    delete(spark, f"{values_path}/open/bucket={b}")
+        values.unpersist()
+        batch.unpersist()
 
     return (
-        events.writeStream.queryName("live")
+        rows.writeStream.queryName("live")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or EVERY_5_SECONDS))
         .foreachBatch(publish)
         .start()
     )
+

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from threading import Event, Lock
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.messages import envelope, lag
 from ..functions.scalar import backlog_class
@@ -19,8 +22,65 @@ _REPORT = (
 )
 
 
+class ProgressLog(StreamingQueryListener):
+    """Appends every progress report of the session's queries to a table of JSON lines, `every` reports a file.
+
+    Spark itself keeps the last hundred reports of a query only. What is held back is written when a query
+    ends, or by flush().
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 20):
+        self._spark, self._path, self._every = spark, path, every
+        self._held: list[str] = []
+        self._ended: dict[str, Event] = {}
+        self._lock = Lock()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        with self._lock:
+            self._held.append(event.progress.json)
+        if len(self._held) >= self._every:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.flush()
+        self._end(str(event.runId)).set()
+
+    def settle(self, run_id: str, seconds: float = 60.0) -> None:
+        """Wait until all reports of a query that has ended are in; they arrive a little later than its end."""
+        if not self._end(str(run_id)).wait(seconds):
+            raise TimeoutError(f"no end of query run {run_id} was reported")
+
+    def _end(self, run_id: str) -> Event:
+        with self._lock:
+            return self._ended.setdefault(run_id, Event())
+
+    def flush(self) -> None:
+        with self._lock:
+            if self._held:
+                lines = self._spark.createDataFrame([(" ".join(x.split()),) for x in self._held], "value string")
+                lines.coalesce(1).write.mode("append").text(self._path)
+                self._held = []
+
+    def read(self) -> DataFrame:
+        """PROGRESS rows of all reports so far, of earlier runs too."""
+        self.flush()
+        try:
+            lines = self._spark.read.text(self._path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            lines = self._spark.createDataFrame([], "value string")
+        return parse_progress(lines)
+
+
 def progress_table(spark: SparkSession, reports: Iterable) -> DataFrame:
-    """PROGRESS rows from progress reports (objects or their JSON text), such as query.recentProgress.
+    """PROGRESS rows from progress reports (objects or their JSON text) at hand; ProgressLog keeps all of them.
 
     lag is what the source says is still to be read (offsets or files); null if it doesn't say.
     """

@@ -78,9 +78,9 @@ def floor_rank(values):
     return [s[min(int(n * p), n - 1)] for p in (0.5, 0.95, 0.99)]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
-def test_latency_stats(spark, hot_rows):
-    params = Params(hot_rows=hot_rows)
+@pytest.mark.parametrize("hot_values", [1_000_000, 10])
+def test_latency_stats(spark, hot_values):
+    params = Params(hot_values=hot_values)
     assert tuple(ev.latency_stats(samples(spark, range(1, 101)), params=params).first()) == (100, 50.5, 51.0, 96.0, 100.0)
     assert tuple(ev.latency_stats(samples(spark, [7]), params=params).first()) == (1, 7.0, 7.0, 7.0, 7.0)
     assert tuple(ev.latency_stats(samples(spark, []), params=params).first()) == (0, 0.0, 0.0, 0.0, 0.0)

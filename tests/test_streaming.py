@@ -102,7 +102,7 @@ def random_log(seed, n=600):
     return rows
 
 
-@pytest.mark.parametrize("params", [Params(), Params(hot_rows=3)])
+@pytest.mark.parametrize("params", [Params(), Params(hot_values=3)])
 def test_stream_equals_batch(spark, tmp_path, params):
     run, rows = Run(spark, tmp_path, params), random_log(1)
     for start in range(0, len(rows), 150):

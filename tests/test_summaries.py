@@ -89,9 +89,20 @@ def test_detail(metrics):
     assert [(p.endpoint, p.p95) for p in points] == [("/cart", 70.0), ("/pay", 90.0), ("/pay", 92.0)]
 
 
-def test_detail_refuses_to_nest_without_bound(metrics):
-    with pytest.raises(ValueError):
-        sm.service_detail(metrics, "checkout", at("00:00"), at("12:00"), params=Params(max_nested_points=700))
+def test_detail_of_any_range(metrics):
+    long = {"start": at("00:00") - timedelta(days=400), "end": at("12:00")}
+    assert sm.service_detail(metrics, "checkout", **long).count() == 2
+
+
+def test_feed_shows_each_id_once_as_it_first_arrived(spark):
+    rows = [(i, minute(i), "a", "/x", "zscore", "p95", 3.0, "r", minute(i)) for i in range(100)]
+    # The newest rows are repeats of one old finding, more of them than the feed first looks at.
+    rows += [(3, minute(3), "a", "/x", "zscore", "p95", 3.0, "r", minute(200 + k)) for k in range(30)]
+    feed = sm.anomaly_feed(spark.createDataFrame(rows, ANOMALY), 5).collect()
+    assert [r.id for r in feed] == [99, 98, 97, 96, 95]
+    few = sm.anomaly_feed(spark.createDataFrame(rows[:2] + rows[-3:], ANOMALY), 5).collect()
+    assert [(r.id, r.created_at.minute) for r in few] == [(3, 47), (1, 1), (0, 0)]
+    assert sm.anomaly_feed(spark.createDataFrame([], ANOMALY)).collect() == []
 
 
 def test_time_filter_reaches_the_scan(spark, metrics, tmp_path, capsys):
