@@ -65,13 +65,13 @@ def ngrams(texts: pa.Array, params: LanguageParams) -> tuple[np.ndarray, np.ndar
     """
     raw, lengths = utf8_bytes(pc.utf8_lower(texts))
     ends = np.cumsum(lengths)
-    code = _KEEP[raw]
+    code = np.concatenate([_KEEP[raw], np.zeros(max(params.orders), dtype=np.uint32)])
     left = np.repeat(ends, lengths) - np.arange(len(raw))  # bytes from here to the end of the text
     grams = np.empty((len(params.orders), len(raw)), dtype=np.int32)
     for k, order in enumerate(params.orders):
         h = np.full(len(raw), 2166136261 + order, dtype=np.uint32)
         for j in range(order):
-            h[: len(raw) - j or None] ^= code[j:]
+            h ^= code[j : j + len(raw)]
             h *= np.uint32(16777619)
         h ^= h >> np.uint32(15)
         grams[k] = h % np.uint32(params.buckets)
