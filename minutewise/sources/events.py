@@ -15,6 +15,7 @@ FIELDS = EVENT.fieldNames()
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
+_USUAL_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
 # What a shorter form leaves out: the time of day, the seconds, the zone.
 _FILL_IN = [
     (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"),
@@ -179,10 +180,14 @@ def _finish(typed: DataFrame, reason: Column, keep: list[str]) -> DataFrame:
 
 def _iso_instant(text: Column) -> Column:
     """ISO-8601 text as an instant; without an offset it is UTC, whatever the session's zone."""
+    # The usual form is cast as it is; only others are filled in.
+    usual = F.regexp_like(text, F.lit(_USUAL_TIME))
+    zoned = F.when(F.substr(text, F.length(text) - 5, F.lit(1)).isin("+", "-") | F.endswith(text, F.lit("Z")), text)
+    direct = F.coalesce(zoned, F.concat(text, F.lit("Z"))).try_cast("timestamp")
     full = F.regexp_replace(F.upper(text), ",", ".")
     for pattern, replacement in _FILL_IN:
         full = F.regexp_replace(full, pattern, replacement)
-    return F.when(F.regexp_like(text, F.lit(_ISO_TIME)), full.try_cast("timestamp"))
+    return F.when(usual, direct).when(F.regexp_like(text, F.lit(_ISO_TIME)), full.try_cast("timestamp"))
 
 
 def _epoch_instant(seconds: Column) -> Column:

@@ -12,7 +12,7 @@ from minutewise.operators.history import latest_rows
 from minutewise.params import Params
 from minutewise.schemas import METRIC
 
-STABLE = [100, 102, 98, 101, 99, 100, 103, 97, 100, 101]
+STABLE = [61, 64, 58, 63, 60, 59, 62, 65, 57, 61]  # mean 61, deviation about 2.6
 
 
 def series(spark, p95s, name="a"):
@@ -32,7 +32,7 @@ def test_short_history(spark):
 
 
 def test_normal_value(spark):
-    assert last(spark, "zscore", STABLE, 101.5) is None and last(spark, "ewma", STABLE, 101.5) is None
+    assert last(spark, "zscore", STABLE, 66) is None and last(spark, "ewma", STABLE, 62) is None
 
 
 def test_high_and_low_values(spark):
@@ -46,8 +46,8 @@ def test_constant_history(spark):
 
 def test_ewma_forgets_an_old_outlier(spark):
     params = Params(min_history=26, zscore_threshold=0.0)
-    history = [100] * 5 + [500] + [100] * 20
-    assert abs(last(spark, "ewma", history, 160, params)) > abs(last(spark, "zscore", history, 160, params))
+    history = [40] * 7 + [300] + [40] * 18
+    assert abs(last(spark, "ewma", history, 75, params)) > abs(last(spark, "zscore", history, 75, params))
 
 
 def twin_zscore(current, history, threshold=3.0):
@@ -131,10 +131,11 @@ def test_earlier_rows_are_history_only(spark):
 
 
 def sample(i):
-    return (100 + i % 5, 2 + i % 2, 50.0 + i % 3, 90.0 + i % 4, 110.0 + i % 3)
+    """A quiet series, different in every bucket."""
+    return (240 + 7 * i % 11, 1 + 3 * i % 4, 12.0 + i * i % 5, 31.0 + 5 * i % 9, 44.0 + i % 6)
 
 
-SPIKE = (100, 90, 800.0, 2000.0, 3000.0)
+SPIKE = (255, 130, 410.0, 1200.0, 1750.0)
 
 
 def bucket_rows(spark, points):
@@ -151,10 +152,10 @@ def found_at_end(spark, points, params=Params()):
 def test_forest_on_few_rows(spark):
     points = [sample(i) for i in range(15)]
     params = Params(forest_min_history=10)
-    for current, history in (((102, 2, 51.0, 91.0, 111.0), points), (SPIKE, points[:5])):
+    for current, history in ((sample(4), points), (SPIKE, points[:5])):
         rows = det.forest(bucket_rows(spark, [*history, current]), params, since=minute(len(history))).collect()
         assert rows == []
-    out = [det.forest(bucket_rows(spark, [*points, (100, 80, 500.0, 900.0, 1200.0)]), params, since=minute(15)).collect()
+    out = [det.forest(bucket_rows(spark, [*points, (249, 90, 300.0, 700.0, 960.0)]), params, since=minute(15)).collect()
            for _ in range(2)]
     assert out[0] == out[1] and len(out[0]) == 1 and out[0][0].score < 0
 
@@ -174,7 +175,7 @@ def test_finding_ids_and_reasons(spark):
     again = found_at_end(spark, [*points, SPIKE])
     assert sorted(r.id for r in rows) == sorted(r.id for r in again) and len({r.id for r in rows}) == len(rows)
     texts = {(r.detector, r.signal): r.reason for r in rows}
-    assert texts["zscore", "p95"].startswith("p95 latency 2000.0ms is ")
+    assert texts["zscore", "p95"].startswith("p95 latency 1200.0ms is ")
     assert texts["zscore", "p95"].endswith(" std devs from the 10-bucket baseline")
     assert texts["ewma", "error_rate"].endswith(" std devs from the EWMA baseline (alpha=0.3)")
     assert "lower = more anomalous" in texts["isolation_forest", "multivariate"]

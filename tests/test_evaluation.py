@@ -11,9 +11,8 @@ from minutewise.params import Params
 from minutewise.plans import evaluation as ev
 from minutewise.schemas import ANOMALY, EVENT, INCIDENT, LABEL, METRIC
 
-A = (minute(0), "checkout", "/pay")
-B = (minute(1), "auth", "/login")
-C = (minute(2), "search", "/query")
+# Five buckets of a ward's monitors, worked through by hand below.
+WARD = [(minute(7 * k), f"bed{k}", "/pulse") for k in range(5)]
 
 
 def keys(spark, rows):
@@ -23,17 +22,17 @@ def keys(spark, rows):
 @pytest.mark.parametrize(
     "truth, detected, expected",
     [
-        ([A, B], [A, B], (2, 0, 0, 1.0, 1.0)),
-        ([A, B], [A], (1, 0, 1, 1.0, 0.5)),
-        ([A], [A, C], (1, 1, 0, 0.5, 1.0)),
-        ([], [], (0, 0, 0, 0.0, 0.0)),
-        ([A], [], (0, 0, 1, 0.0, 0.0)),
-        ([A, A], [A, A, C], (1, 1, 0, 0.5, 1.0)),
+        (WARD[:4], WARD[1:], (3, 1, 1, 0.75, 0.75)),
+        (WARD, WARD[2:4], (2, 0, 3, 1.0, 0.4)),
+        (WARD[4:], WARD, (1, 4, 0, 0.2, 1.0)),
+        (WARD[:2], WARD[3:], (0, 2, 2, 0.0, 0.0)),
+        ([], WARD[:1], (0, 1, 0, 0.0, 0.0)),
+        (WARD[:3] * 2, WARD[2:4] * 3, (1, 1, 2, 0.5, 1 / 3)),
     ],
 )
 def test_precision_recall(spark, truth, detected, expected):
     t, d = keys(spark, truth), keys(spark, detected)
-    assert tuple(ev.precision_recall(t, d).first()) == expected
+    assert tuple(ev.precision_recall(t, d).first()) == pytest.approx(expected)
     sets = (ev.true_positives(t, d), ev.false_positives(t, d), ev.false_negatives(t, d))
     assert tuple(s.count() for s in sets) == expected[:3]
     assert ev.confusion(t, d).count() == sum(expected[:3])
@@ -54,8 +53,8 @@ def sends(spark, offsets):
 @pytest.mark.parametrize(
     "offsets, seconds, expected",
     [
-        ([s + 0.09 * i for s in range(3) for i in range(10)], 3, [10, 10, 10]),
-        ([0.04 * i for i in range(20)] + [2 + 0.05 * i for i in range(10)], 3, [20, 0, 10]),
+        ([0.25, 0.5, 1.75, 3.0, 3.125, 3.875], 4, [2, 1, 0, 3]),
+        ([k / 8 for k in range(36)], 5, [8, 8, 8, 8, 4]),
         ([], 5, [0] * 5),
         ([-0.5, -1.0, -7.0, 2.5, 99.0], 3.9, [1, 0, 2]),
         ([0.1], 0.4, [1]),
@@ -148,7 +147,7 @@ def test_incidents_across_wide_buckets(spark):
 
 
 def test_report(spark, tmp_path):
-    t, d = keys(spark, [A, B]), keys(spark, [A])
+    t, d = keys(spark, WARD[:2]), keys(spark, WARD[:1])
     stats = ev.latency_stats(samples(spark, range(1, 101)))
     backlog = ev.peak_backlog(spark.createDataFrame([(3, None)], "pending_count bigint, lag bigint"))
     processed = spark.createDataFrame([(30,)], "processed bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from minutewise.sources.events import parse_json_events, parse_wire_events, split_valid, to_wire, to_wire_json
 
 NOW = datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
-GOOD = {"service": "checkout", "endpoint": "/api/pay", "status_code": 200, "latency_ms": 42.5,
+GOOD = {"service": "ledger", "endpoint": "/v2/entries", "status_code": 204, "latency_ms": 17.25,
         "ts": "2026-01-01T12:00:00Z"}
 
 
@@ -24,7 +24,7 @@ def with_(**changes):
 def test_valid_event(spark):
     row = verdicts(spark, [with_()])[0]
     assert row.reject_reason is None
-    assert (row.service, row.endpoint, row.status_code, row.latency_ms) == ("checkout", "/api/pay", 200, 42.5)
+    assert (row.service, row.endpoint, row.status_code, row.latency_ms) == ("ledger", "/v2/entries", 204, 17.25)
     assert row.us == int(NOW.timestamp() * 1e6)
 
 
@@ -38,11 +38,11 @@ REJECTED = {
     "blank service": [with_(service="")],
     "blank endpoint": [with_(endpoint="")],
     "type latency_ms": [with_(latency_ms="42"), with_(latency_ms=True)],
-    "range latency_ms": [with_(latency_ms=-1), with_().replace("42.5", "1e400"), with_(latency_ms=-0.001)],
+    "range latency_ms": [with_(latency_ms=-1), with_().replace("17.25", "1e400"), with_(latency_ms=-0.001)],
     "type ts": [with_(ts="not-a-timestamp"), with_(ts="12:00"), with_(ts="2026"), with_(ts=True), with_(ts=1.5),
                 with_(ts="2026-13-01T00:00:00"), with_(ts=10**18)],
     "future ts": [with_(ts="2026-01-01T13:00:00Z"), with_(ts="2026-01-01T12:01:00.000001Z")],
-    "malformed": ["{", "", "null", "[1]", "5", with_().replace("42.5", "NaN"), with_()[:-3]],
+    "malformed": ["{", "", "null", "[1]", "5", with_().replace("17.25", "NaN"), with_()[:-3]],
 }
 
 
@@ -131,7 +131,7 @@ def test_wire_round_trip(spark):
     assert wire.first().ts == "2026-01-01T11:59:59.250000+00:00"
     again, _ = split_valid(parse_wire_events(wire, as_of=F.lit(NOW)))
     assert again.collect() == valid.collect()
-    assert json.loads(to_wire_json(valid).first().value)["status_code"] == "200"
+    assert json.loads(to_wire_json(valid).first().value)["status_code"] == "204"
 
 
 def test_default_clock(spark):

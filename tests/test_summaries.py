@@ -19,10 +19,11 @@ RANGE = {"start": at("11:50"), "end": at("12:01")}
 def metrics(spark):
     return spark.createDataFrame(
         [
-            (at("11:58"), "checkout", "/pay", 100, 5, 50.0, 90.0, 95.0),
-            (at("11:59"), "checkout", "/pay", 120, 0, 55.0, 92.0, 97.0),
-            (at("11:59"), "checkout", "/cart", 80, 10, 40.0, 70.0, 80.0),
-            (at("11:59"), "auth", "/login", 50, 0, 20.0, 30.0, 35.0),
+            (at("11:56"), "tides", "/gauge", 64, 3, 8.0, 19.0, 23.0),
+            (at("11:56"), "tides", "/chart", 16, 0, 31.0, 44.0, 52.0),
+            (at("11:59"), "tides", "/gauge", 32, 1, 9.0, 21.0, 22.0),
+            (at("11:57"), "tides", "/gauge", 48, 4, 7.0, 18.0, 27.0),
+            (at("11:59"), "buoys", "/fix", 90, 0, 3.0, 5.0, 6.0),
         ],
         METRIC,
     )
@@ -31,12 +32,12 @@ def metrics(spark):
 def test_services(metrics):
     rows, total = sm.services(metrics, **RANGE)
     got = [(r.service, r.request_count, r.error_count, r.error_rate) for r in rows.collect()]
-    assert got == [("auth", 50, 0, 0.0), ("checkout", 300, 15, 0.05)] and total.first().total == 2
+    assert got == [("buoys", 90, 0, 0.0), ("tides", 160, 8, 0.05)] and total.first().total == 2
     assert not {"p50", "p95", "p99"} & set(rows.columns)
     assert rows.collect()[1].last_seen == datetime(2026, 1, 1, 11, 59)
 
 
-@pytest.mark.parametrize("status, expected", [("error", ["checkout"]), ("healthy", ["auth"]), ("all", ["auth", "checkout"])])
+@pytest.mark.parametrize("status, expected", [("error", ["tides"]), ("healthy", ["buoys"]), ("all", ["buoys", "tides"])])
 def test_status_class(metrics, status, expected):
     rows, total = sm.services(metrics, **RANGE, status=status)
     assert [r.service for r in rows.collect()] == expected and total.first().total == len(expected)
@@ -44,7 +45,7 @@ def test_status_class(metrics, status, expected):
 
 def test_pages(metrics):
     pages = [sm.services(metrics, **RANGE, limit=1, offset=o) for o in (0, 1, 5)]
-    assert [[r.service for r in rows.collect()] for rows, _ in pages] == [["auth"], ["checkout"], []]
+    assert [[r.service for r in rows.collect()] for rows, _ in pages] == [["buoys"], ["tides"], []]
     assert [total.first().total for _, total in pages] == [2, 2, 2]
 
 
@@ -56,17 +57,18 @@ def test_parameters_are_checked(metrics, bad):
 
 def test_endpoints(metrics):
     rows, total = sm.endpoints(metrics, **RANGE)
-    assert [(r.service, r.endpoint) for r in rows.collect()] == [("auth", "/login"), ("checkout", "/cart"), ("checkout", "/pay")]
+    assert [(r.service, r.endpoint) for r in rows.collect()] == [("buoys", "/fix"), ("tides", "/chart"), ("tides", "/gauge")]
     assert total.first().total == 3
-    assert sm.endpoints(metrics, "checkout", **RANGE)[1].first().total == 2
+    assert sm.endpoints(metrics, "tides", **RANGE)[1].first().total == 2
 
 
 def test_range_is_half_open(metrics):
     def names(start, end):
         return {r.service for r in sm.services(metrics, at(start), at(end))[0].collect()}
 
-    assert names("11:59", "12:00") == {"auth", "checkout"}
-    assert names("11:58", "11:59") == {"checkout"}
+    assert names("11:59", "12:00") == {"buoys", "tides"}
+    assert names("11:57", "11:59") == {"tides"}
+    assert names("11:58", "11:59") == set()
     assert names("12:00", "11:00") == set()
 
 
@@ -80,18 +82,18 @@ def test_default_bounds():
 
 
 def test_detail(metrics):
-    rows = {r.endpoint: r for r in sm.service_detail(metrics, "checkout", **RANGE).collect()}
-    assert rows["/pay"].request_count == 220 and rows["/cart"].request_count == 80
-    assert [p.p95 for p in rows["/pay"].series] == [90.0, 92.0] and [p.p95 for p in rows["/cart"].series] == [70.0]
-    assert {(r.service_request_count, r.service_error_count, r.service_error_rate) for r in rows.values()} == {(300, 15, 0.05)}
+    rows = {r.endpoint: r for r in sm.service_detail(metrics, "tides", **RANGE).collect()}
+    assert rows["/gauge"].request_count == 144 and rows["/chart"].request_count == 16
+    assert [p.p95 for p in rows["/gauge"].series] == [19.0, 18.0, 21.0] and [p.p95 for p in rows["/chart"].series] == [44.0]
+    assert {(r.service_request_count, r.service_error_count, r.service_error_rate) for r in rows.values()} == {(160, 8, 0.05)}
     assert sm.service_detail(metrics, "nobody", **RANGE).count() == 0
-    points = sm.service_points(metrics, "checkout", **RANGE).collect()
-    assert [(p.endpoint, p.p95) for p in points] == [("/cart", 70.0), ("/pay", 90.0), ("/pay", 92.0)]
+    points = sm.service_points(metrics, "tides", **RANGE).collect()
+    assert [(p.endpoint, p.p95) for p in points] == [("/chart", 44.0), ("/gauge", 19.0), ("/gauge", 18.0), ("/gauge", 21.0)]
 
 
 def test_detail_of_any_range(metrics):
     long = {"start": at("00:00") - timedelta(days=400), "end": at("12:00")}
-    assert sm.service_detail(metrics, "checkout", **long).count() == 2
+    assert sm.service_detail(metrics, "tides", **long).count() == 2
 
 
 def test_feed_shows_each_id_once_as_it_first_arrived(spark):
@@ -117,14 +119,14 @@ def test_time_filter_reaches_the_scan(spark, metrics, tmp_path, capsys):
 def test_snapshot(metrics):
     message = json.loads(sm.snapshot(metrics, NOW).first().message)
     assert (message["type"], message["schema_version"]) == ("snapshot", 1)
-    assert message["services"][1] == {"service": "checkout", "request_count": 300, "error_count": 15, "error_rate": 0.05,
+    assert message["services"][1] == {"service": "tides", "request_count": 160, "error_count": 8, "error_rate": 0.05,
                                       "last_seen": "2026-01-01T11:59:00+00:00"}
     assert json.loads(sm.snapshot(metrics, at("03:00")).first().message)["services"] == []
 
 
 def test_tiles_and_classes(spark, metrics):
     tiles = {r.service: r for r in sm.tiles(sm.service_totals(metrics, **RANGE)).collect()}
-    assert (tiles["checkout"].health, tiles["checkout"].error_percent) == ("warn", "5.0%")
+    assert (tiles["tides"].health, tiles["tides"].error_percent) == ("warn", "5.0%")
     rates = spark.createDataFrame([(0.1,), (0.0999,), (0.02,), (0.0199,)], "r double")
     assert [r[0] for r in rates.select(health_class("r")).collect()] == ["error", "warn", "warn", "healthy"]
     assert rates.select(percent_text("r")).first()[0] == "10.0%"
