@@ -123,6 +123,72 @@ def test_replayed_batch_replaces_its_rows(spark, tmp_path):
     assert tables.read_anomalies(spark, str(tmp_path / "none")).count() == 0
 
 
+def dated(spark, path, batches):
+    for batch, days in enumerate(batches):
+        rows = [(minute(1440 * d + 5), "a", "/x", 10 + batch, 0, 1.0, 1.0, 1.0) for d in days]
+        tables.write_batch(spark.createDataFrame(rows, METRIC), path, batch)
+
+
+def test_a_range_opens_its_days_only(spark, tmp_path):
+    path = str(tmp_path / "m")
+    dated(spark, path, [range(0, 4), range(2, 9), [20]])
+    some = tables.read_metrics(spark, path, start=minute(1440 * 3), end=minute(1440 * 5))
+    assert sorted(r.minute_bucket.day for r in some.collect()) == [4, 4, 5]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket_date" in plan
+
+
+def test_compaction_moves_days_and_keeps_repairs(spark, tmp_path):
+    live, daily = str(tmp_path / "m"), str(tmp_path / "d")
+    dated(spark, live, [range(0, 3), [2], [6]])
+    before = sorted(tables.read_metrics(spark, live).collect())
+    repaired = spark.createDataFrame([(minute(1445), "a", "/x", 99, 0, 1.0, 1.0, 1.0)], METRIC)
+    tables.write_metrics(repaired, daily)
+    assert tables.compact_metrics(spark, live, daily, date(2026, 1, 5)) == [date(2026, 1, d) for d in (1, 2, 3)]
+    after = sorted(tables.read_metrics(spark, live, daily).collect())
+    assert [r if r.minute_bucket.day != 2 else None for r in after] == [r if r.minute_bucket.day != 2 else None for r in before]
+    assert [r.request_count for r in after if r.minute_bucket.day == 2] == [99]
+    assert tables.read_metrics(spark, live).count() == 1
+    assert tables.compact_metrics(spark, live, daily, date(2026, 1, 5)) == []
+
+
+def test_repair_reads_runs_of_days():
+    days = [date(2026, 1, 3), date(2026, 1, 1), date(2026, 1, 2), date(2027, 1, 1)]
+    assert tables._spans(days) == [(date(2026, 1, 1), date(2026, 1, 3)), (date(2027, 1, 1), date(2027, 1, 1))]
+
+
+def test_detection_touches_the_series_it_brings(spark, tmp_path, monkeypatch):
+    run = Run(spark, tmp_path)
+    past = spark.createDataFrame([steady(b, series=f"s{k}") for k in range(50) for b in range(40)], METRIC)
+    seen = []
+    real = detection.detect
+    monkeypatch.setattr(detection, "detect", lambda m, p, earlier: (seen.append(m.count() + earlier.count()), real(m, p, earlier=earlier))[1])
+    tables.write_batch(spark.createDataFrame([steady(41, series="s7")], METRIC), run.path("closed"), 0)
+    run.detect(history=past)
+    assert sum(seen) == 31  # one new bucket, and the thirty before it
+
+
+def test_live_feed_drops_repeats_and_late_events(spark, tmp_path):
+    run = Run(spark, tmp_path)
+    start = lambda: live.start_live(
+        run.events(), run.path("v"), run.path("feed"), run.path("cp/l"), run.params, ONCE, dedupe=True
+    ).awaitTermination()
+    run.drop([(1, 10, 10), (1, 10, 10), (2, 50, 30)])
+    start()
+    run.drop([(3, 400, 5)])
+    start()
+    run.drop([(4, 20, 50), (5, 401, 7)])  # the first bucket is over by now
+    start()
+    run.drop([(6, 402, 9)])
+    start()
+    messages = [json.loads(r.value) for r in spark.read.text(run.path("feed")).collect()]
+    shown = sorted((m["sequence"], m["minute_bucket"][11:16], m["request_count"]) for m in messages)
+    assert [s[1:] for s in shown] == [("00:00", 2), ("00:06", 1), ("00:06", 2), ("00:06", 3)]
+    kept = {p.name for p in (tmp_path / "v" / "open").glob("bucket=*")}
+    assert kept == {f"bucket={int(minute(6).timestamp() * 1e6)}"}
+    assert len(list((tmp_path / "v" / "open" / kept.pop()).glob("batch_id=*"))) <= 2
+
+
 def test_live_feed_repeats_touched_buckets_in_full(spark, tmp_path):
     run = Run(spark, tmp_path)
     run.drop([(1, 10, 10), (2, 50, 30), (3, 70, 5)])
