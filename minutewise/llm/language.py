@@ -11,6 +11,7 @@ are scored alike; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,29 +59,33 @@ _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
 
 
-def ngrams(texts: pa.Array, params: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each byte n-gram of each text by order, and the byte length of each text.
+def ngrams(texts: pa.Array, params: LanguageParams) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """Bucket of the byte n-gram at each position, one order after the other, and the byte length of each text.
 
-    Buckets are by order and position; an n-gram that would leave its text has the bucket number `buckets`.
+    An n-gram that would leave its text has the bucket number `buckets`.
     """
     raw, lengths = utf8_bytes(pc.utf8_lower(texts))
-    ends = np.cumsum(lengths)
     code = np.concatenate([_KEEP[raw], np.zeros(max(params.orders), dtype=np.uint32)])
-    left = np.repeat(ends, lengths) - np.arange(len(raw))  # bytes from here to the end of the text
-    grams = np.empty((len(params.orders), len(raw)), dtype=np.int32)
-    for k, order in enumerate(params.orders):
+    ends = np.cumsum(lengths)
+
+    def of(order: int) -> np.ndarray:
         h = np.full(len(raw), 2166136261 + order, dtype=np.uint32)
         for j in range(order):
             h ^= code[j : j + len(raw)]
             h *= np.uint32(16777619)
         h ^= h >> np.uint32(15)
-        grams[k] = h % np.uint32(params.buckets)
-        grams[k][left < order] = params.buckets
-    return grams, lengths
+        h %= np.uint32(params.buckets)
+        for back in range(1, order):
+            at = ends - back
+            h[at[(at >= ends - lengths) & (lengths > 0)]] = params.buckets
+        return h.view(np.int32)
+
+    return map(of, params.orders), lengths
 
 
 def _counts(texts: pa.Array, params: LanguageParams) -> tuple[list[np.ndarray], list[np.ndarray]]:
     grams, lengths = ngrams(texts, params)
+    grams = np.stack([*grams])
     ends = np.cumsum(lengths)
     found = []
     for start, end in zip(ends - lengths, ends):
@@ -187,10 +192,10 @@ def _predict(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndar
     sums = np.zeros((len(texts), len(model.languages)))
     counts = np.zeros(len(texts))
     columns = [np.ascontiguousarray(c) for c in model.table.T]
-    for k, order in enumerate(model.params.orders):
+    for order, buckets in zip(model.params.orders, grams):
         for c, column in enumerate(columns):
             if some.any():
-                sums[some, c] += np.add.reduceat(column[grams[k]], starts[some], dtype=np.float64)
+                sums[some, c] += np.add.reduceat(column[buckets], starts[some], dtype=np.float64)
         counts += np.maximum(lengths - order + 1, 0)
     z = sums / np.maximum(counts, 1)[:, None] / model.temperature
     z = np.exp(z - z.max(axis=1, keepdims=True))
