@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from minutewise.llm.common import lists, read, text_array
-from minutewise.llm.pieces import byte_level_encoder
+from minutewise.llm.pieces import byte_characters, byte_level_encoder
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,6 @@ class BytePairParams:
     pattern: str = public_tokenizers.PATTERN
 
 
-def byte_characters() -> list[str]:
-    """One printable character for each byte: itself if printable, else the next one from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    table = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-    return [table[b] for b in range(256)]
-
-
 @functools.cache
 def ranked(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -88,7 +80,7 @@ def _table(params: BytePairParams) -> tuple[list[bytes], np.ndarray]:
 
 
 def _encode(texts: pa.Array, params: BytePairParams) -> tuple[np.ndarray, np.ndarray]:
-    found = [*map(_encoder(params), texts.to_pylist())]
+    found = _encoder(params)(texts.to_pylist())
     return np.frombuffer(b"".join(found), "<i4"), np.array([len(f) // 4 for f in found], dtype=np.int64)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from minutewise.session import shared_folder
 
 # Batches sent to Python are bounded in bytes, because one text may be as long as thousands of others.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,49 +1,105 @@
 """Encoding whole texts with the tokenizers library, one library call per distinct piece.
 
 Where a tokenizer always cuts at certain places, the ids of a text are those of the pieces between them. A worker keeps
-the ids of the pieces it has met, so that the library is asked once for a common piece and not for each occurrence.
+the ids of the pieces it has met. New ones that are a word with signs behind it, as most are, go to the tokenizer's
+model alone, as the steps around it would do nothing; all others of a batch go through the whole tokenizer at once.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
+from itertools import chain
 
-import numpy as np
 from tokenizers import Tokenizer
 
 # Pieces a worker keeps; beyond that it starts anew. Bounds memory, not results.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
+ASKED_AT_ONCE = 20_000
 
+Encoder = Callable[[list[str]], list[bytes]]
 
-class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer: Tokenizer, prefix: str = ""):
-        self._tokenizer, self._prefix = tokenizer, prefix
+# Signs that end a word and join no contraction.
+_SIGNS = r".,!?;:*#%&$|()\"/+=<>@~^_`\[\]{}\\-"
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        ids = self._tokenizer.encode(self._prefix + piece, add_special_tokens=False).ids
-        self[piece] = found = np.array(ids, dtype="<u4").tobytes()
+
+def _plain_piece(letters: str) -> re.Pattern:
+    """Letters with signs behind them, once or twice around a line break: each group is cut apart by any such pattern."""
+    return re.compile(f"([{letters}]+)([{_SIGNS}]*)(?:(\n)([{letters}]+)([{_SIGNS}]*))?")
+
+
+class Pieces:
+    """Ids of pieces, as unsigned 32-bit integers in the machine's (little-endian) order."""
+
+    def __init__(self, tokenizer: Tokenizer, plain: re.Pattern, prefix: str = ""):
+        # plain: pieces whose groups normalisation leaves alone and the pattern cuts apart, so that each is the model's.
+        self._tokenizer, self._plain, self._prefix = tokenizer, plain, prefix
+        self._known: dict[str, bytes] = {}
+        self._merged: dict[str, bytes] = {}
+
+    def _merge(self, word: str) -> bytes:
+        found = self._merged.get(word)
+        if found is None:
+            spelled = word.encode().decode("latin-1").translate(_SPELLED)
+            self._merged[word] = found = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
         return found
 
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces, one after the other."""
+        known, fits, prefix = self._known, self._plain.fullmatch, self._prefix
+        self._model = self._tokenizer.model
+        new = set(chain.from_iterable(texts)).difference(known)
+        if len(known) + len(new) > KEPT_PIECES:
+            known.clear()
+            self._merged.clear()
+            new = set(chain.from_iterable(texts))
+        waiting = []
+        for piece in new:
+            if match := fits(piece):
+                first, *more = match.groups()
+                known[piece] = self._merge(prefix + first) + b"".join(map(self._merge, filter(None, more)))
+            else:
+                waiting.append(piece)
+        for k in range(0, len(waiting), ASKED_AT_ONCE):
+            asked = waiting[k : k + ASKED_AT_ONCE]
+            told = self._tokenizer.encode_batch_fast([prefix + p for p in asked], add_special_tokens=False)
+            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(asked, told))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+
+
+# One printable character for each byte: itself if printable, else the next one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    return [_SPELLED.get(b, chr(b)) for b in range(256)]
+
 
 # A space before something that is no white space starts a new match of the byte-level pattern, whatever stood before.
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
-def byte_level_encoder(tokenizer: Tokenizer) -> Callable[[str], bytes]:
-    """text -> ids as bytes, for tokenizers whose pattern starts words with an optional space."""
-    bare, spaced = Pieces(tokenizer), Pieces(tokenizer, " ")
+def byte_level_encoder(tokenizer: Tokenizer) -> Encoder:
+    """texts -> their ids as bytes, for tokenizers whose pattern starts words with an optional space."""
+    plain = _plain_piece("A-Za-zÀ-ÖØ-öø-ÿ")
+    bare, spaced = Pieces(tokenizer, plain), Pieces(tokenizer, plain, " ")
 
-    def encode(text: str) -> bytes:
-        if _LOOSE_SPACE.search(text):
-            return b"".join(map(bare.__getitem__, _BEFORE_WORD.split(text)))
-        first, *rest = text.split(" ")
-        return bare[first] + b"".join(map(spaced.__getitem__, rest))
+    def encode(texts: list[str]) -> list[bytes]:
+        first, rest = [], []
+        for text in texts:
+            if _LOOSE_SPACE.search(text):
+                first.append(_BEFORE_WORD.split(text))
+                rest.append([])
+            else:
+                pieces = text.split(" ")
+                first.append(pieces[:1])
+                rest.append(pieces[1:])
+        return [a + b for a, b in zip(bare.joined(first), spaced.joined(rest))]
 
     return encode
 
@@ -51,14 +107,17 @@ def byte_level_encoder(tokenizer: Tokenizer) -> Callable[[str], bytes]:
 # Python counts these four as white space, the tokenizer's pattern does not.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _WHITE = re.compile(r"[^\S\x1c-\x1f]+")
+# Their small letter depends on the letters around, or is more than one character.
+_CASED = re.compile("[Σİ]")
 
 
-def word_encoder(tokenizer: Tokenizer) -> Callable[[str], bytes]:
-    """text -> ids as bytes, for tokenizers that drop white space and never look across it."""
-    words = Pieces(tokenizer)
+def word_encoder(tokenizer: Tokenizer) -> Encoder:
+    """texts -> their ids as bytes, for tokenizers that drop white space and case and never look across white space."""
+    words = Pieces(tokenizer, _plain_piece("a-zß-öø-ÿ"))
 
-    def encode(text: str) -> bytes:
-        parts = _WHITE.split(text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(words.__getitem__, parts))
+    def pieces(text: str) -> list[str]:
+        # In small letters more words are the same; the tokenizer would lower-case them anyway.
+        plain = text if _CASED.search(text) else text.lower()
+        return _WHITE.split(plain) if _SEPARATORS.search(plain) else plain.split()
 
-    return encode
+    return lambda texts: words.joined([pieces(t) for t in texts])

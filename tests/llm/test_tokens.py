@@ -10,6 +10,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 from frames import LONG, ODD, docs
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -38,7 +40,16 @@ def test_byte_bpe_of_odd_texts(spark, exact):
 
 @pytest.mark.parametrize("text", ["", " ", "  ", "a ", " a", "\n a", "a\n \nb", "it's  we'll\t x", "x   y　 z", "\x1c \x1d a", "1 22 ½²", "日本 語", "👩‍👩‍👧 é"])
 def test_pieces_are_cut_where_the_pattern_cuts(exact, text):
-    assert np.frombuffer(byte_bpe._encoder(byte_bpe.BytePairParams())(text), "<u4").tolist() == exact.encode_ordinary(text)
+    assert np.frombuffer(byte_bpe._encoder(byte_bpe.BytePairParams())([text])[0], "<u4").tolist() == exact.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aBé .,'!\n\t1_-ß日 s", max_size=40))
+def test_pieces_of_any_text(exact, text):
+    assert np.frombuffer(byte_bpe._encoder(byte_bpe.BytePairParams())([text])[0], "<u4").tolist() == exact.encode_ordinary(text)
+    path = repair.RepairParams().tokenizer
+    whole = repair._tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(repair._encoder(path)([text])[0], "<u4").tolist() == whole
 
 
 def test_offsets_cover_split_characters(spark):
@@ -77,16 +88,20 @@ def test_repair_grammar_round_trip():
 def test_ids_on_disk(spark, tmp_path):
     path, params = str(tmp_path / "ids"), repair.RepairParams(shard_ids=500)
     repair.write_ids(docs(spark, ODD), path, params)
-    got = repair.read_ids(spark, path).withColumn("crc", repair._crc32(F.col("ids"))).orderBy("start").collect()
+    got = repair.read_ids(spark, path).join(repair.read_checksums(spark, path), ["doc_id", "start"]).orderBy("start").collect()
     tk = Tokenizer.from_file(params.tokenizer)
     tk.encode_special_tokens = True
     ordered = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
+    # Two rows have no id to join by.
+    none = [r for r in repair.read_checksums(spark, path).orderBy("start").collect() if r.doc_id is None]
+    assert len(none) == 2 and none[0].start == 0 and (none[0].n_tokens, none[0].ids_crc32) == (1, zlib.crc32(struct.pack("<I", 1)))
+    at, ordered = none[0].n_tokens + none[1].n_tokens, ordered[2:]
     assert [r.doc_id for r in got] == [i for i, _ in ordered]
     for r, (_, text) in zip(got, ordered):
         ids = [*tk.encode(text or "", add_special_tokens=False).ids, 1]
         assert (r.start, r.ids) == (at, ids)
-        assert r.crc == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        assert r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
         at += len(ids)
     rows = [r.asDict() for r in repair.read_shards(spark, path).collect()]
     row = next(r for r in rows if 7 in r["doc_ids"])
