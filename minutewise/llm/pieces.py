@@ -14,8 +14,8 @@ from itertools import chain
 
 from tokenizers import Tokenizer
 
-# Pieces a worker keeps; beyond that it starts anew. Bounds memory, not results.
-KEPT_PIECES = 150_000
+# Pieces in a generation; a worker keeps those of the present one and the one before. Bounds memory, not results.
+KEPT_PIECES = 200_000
 ASKED_AT_ONCE = 20_000
 
 Encoder = Callable[[list[str]], list[bytes]]
@@ -37,24 +37,31 @@ class Pieces:
         # plain: pieces whose groups normalisation leaves alone and the pattern cuts apart, so that each is the model's.
         self._tokenizer, self._plain, self._prefix = tokenizer, plain, prefix
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self._merged: dict[str, bytes] = {}
 
     def _merge(self, word: str) -> bytes:
         found = self._merged.get(word)
         if found is None:
-            spelled = word.encode().decode("latin-1").translate(_SPELLED)
+            spelled = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_SPELLED)
             self._merged[word] = found = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
         return found
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each list of pieces, one after the other."""
-        known, fits, prefix = self._known, self._plain.fullmatch, self._prefix
+        fits, prefix = self._plain.fullmatch, self._prefix
         self._model = self._tokenizer.model
-        new = set(chain.from_iterable(texts)).difference(known)
-        if len(known) + len(new) > KEPT_PIECES:
-            known.clear()
+        wanted = set(chain.from_iterable(texts))
+        new = wanted.difference(self._known)
+        if len(self._known) + len(new) > KEPT_PIECES:
+            # What is still in use moves on into the new generation.
+            self._known, self._before, new = {}, self._known, wanted
+        known, before = self._known, self._before
+        moved = new.intersection(before)
+        known.update((p, before[p]) for p in moved)
+        new.difference_update(moved)
+        if len(self._merged) > KEPT_PIECES:
             self._merged.clear()
-            new = set(chain.from_iterable(texts))
         waiting = []
         for piece in new:
             if match := fits(piece):
