@@ -102,7 +102,11 @@ def links(prints: DataFrame, params: SimhashParams = SimhashParams()) -> DataFra
 def labelled(prints: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
     """fp, label and component_id of every fingerprint of prints (doc_id, fp, saved): its group, and the smallest doc_id in it."""
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(nodes.select("fp"), params))
+    return named(nodes, components(links(nodes.select("fp"), params)))
+
+
+def named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """fp, label and component_id of nodes (fp, first) by the labels (node, label) of those that are linked."""
     told = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = told.groupBy("label").agg(F.min("first").alias("component_id"))
     return told.join(smallest, "label").select("fp", "label", "component_id")
@@ -121,10 +125,17 @@ def one_of_each(docs: DataFrame, params: SimhashParams = SimhashParams()) -> Dat
     """
     # The row as one struct, so that no name of docs can clash.
     printed = saved(docs.select(F.struct(*docs.columns).alias("row"), fingerprint(F.col("text"), params).alias("fp")))
+    nodes = saved(printed.groupBy("fp").agg(F.min("row.doc_id").alias("first")))
+    return kept_rows(printed, components(links(nodes.select("fp"), params)))
+
+
+def kept_rows(printed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of printed (row, fp; saved) that stay, by the labels (node, label) of the fingerprints that are linked."""
     prints = printed.select("row.doc_id", "fp")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
     # Each doc_id and fingerprint once, so that copies are one row before the join.
-    chosen = prints.distinct().join(labelled(prints, params), "fp").groupBy("label").agg(first)
+    chosen = prints.distinct().join(named(nodes, labels), "fp").groupBy("label").agg(first)
     key = lambda doc_id, fp: F.concat_ws(":", doc_id, fp).alias("key")
     keys = chosen.select(key("first.doc_id", "first.fp")).distinct()
     kept = printed.select("row", key("row.doc_id", "fp")).join(keys, "key", "left_semi").dropDuplicates(["key"])
