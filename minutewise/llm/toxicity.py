@@ -3,7 +3,9 @@
 What a writer meant is taken to be plain letters sent through a channel that swaps letters for look-alikes (leetspeak),
 repeats them, and puts signs or spaces between them. Each token that is not plainly a word, and each run of lone
 characters, is a lattice: a character may stand for one of several letters, or for none. Viterbi decoding finds the best
-letters under a four-gram character model that is counted over the words of all documents. The score joins the log-odds of
+letters under a four-gram character model that is counted over the words of all documents. A token of letters alone counts as
+it stands and in its other readings: letters of other alphabets and accents as the plain ones, doubled letters as one. The
+score joins the log-odds of
 the restored words that tell the classes apart, calibrated by logistic regression.
 
 Edge cases: a null or empty text has no words and gets the score of a text without any telling word. Where there is no
@@ -14,6 +16,9 @@ are read. Repeated rows are scored alike; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -57,6 +62,7 @@ LEET = {
 COST_LEET, COST_DROP, COST_REPEAT, COST_STRANGE = -2.0, -1.0, -1.5, -6.0
 
 
+@functools.lru_cache(1 << 16)
 def readings(character: str) -> str:
     """The letters that a character may stand for."""
     if character in LETTERS:
@@ -65,8 +71,11 @@ def readings(character: str) -> str:
     return LEET.get(character) or (base if base in LETTERS else LEET.get(base, ""))
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The most likely letters behind a token; model: log probabilities by three symbols of history and the next."""
+def restore(token: str, model: np.ndarray, inserted: bool = True) -> str:
+    """The most likely letters behind a token; model: log probabilities by three symbols of history and the next.
+
+    inserted: whether a letter or digit may stand for nothing.
+    """
     # Best path to each history: (log probability, letters so far).
     best: dict[tuple[int, int, int], tuple[float, str]] = {(EDGE, EDGE, EDGE): (0.0, "")}
     before = ""
@@ -77,7 +86,7 @@ def restore(token: str, model: np.ndarray) -> str:
         # A sign between letters may be dropped cheaply, a repeated letter too, any other character hardly ever.
         drop = COST_REPEAT if character == before else COST_STRANGE if character.isalnum() else COST_DROP
         for history, (score, text) in best.items():
-            if history not in step or step[history][0] < score + drop:
+            if (inserted or not letters or drop > COST_STRANGE) and (history not in step or step[history][0] < score + drop):
                 step[history] = (score + drop, text)
             for letter in letters:
                 code = ord(letter) - 97
@@ -94,6 +103,31 @@ def restore(token: str, model: np.ndarray) -> str:
 _PLAIN = r"^[^\p{L}\p{N}]*(?P<core>\p{L}+)[^\p{L}\p{N}]*$"
 _TRIPLE = "|".join(c * 3 for c in LETTERS)
 _HAS_LETTER = r"[\p{L}]"
+# What a plain word must have to be read in another way, and a token without a letter to be read at all.
+_DISGUISABLE = "[^a-z]|" + "|".join(c * 2 for c in LETTERS)
+_ALL_SIGNS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in LEET) + r"].*[" + "".join(f"\\x{{{ord(c):x}}}" for c in LEET) + "]"
+_DOUBLED = re.compile(r"(.)\1+")
+# Doubled places of a word whose readings are all taken; beyond, all doubled, none, and the most likely reading.
+_MANY_DOUBLED = 6
+# Parts of a run of lone characters are looked up to this length; no word is longer.
+_LONGEST = 64
+
+
+def other_readings(word: str) -> tuple[list[str], bool]:
+    """What a word of letters may stand for besides itself, and whether it has more readings than were taken."""
+    plain = word if word.isascii() else "".join(map(readings, word))
+    places = [m.span() for m in _DOUBLED.finditer(plain)]
+    if len(places) < 2:
+        found = {plain, _DOUBLED.sub(r"\1", plain)} if places else {plain}
+        return sorted(found - {word, ""}), False
+    found = {plain}
+    for kept in itertools.product((False, True), repeat=len(places)) if len(places) <= _MANY_DOUBLED else [(False,) * len(places)]:
+        parts, at = [], 0
+        for (start, end), whole in zip(places, kept):
+            parts.append(plain[at : end if whole else start + 1])
+            at = end
+        found.add("".join([*parts, plain[at:]]))
+    return sorted(found - {word, ""}), len(places) > _MANY_DOUBLED
 
 
 def plain_words(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -152,29 +186,53 @@ class Restorer:
     KEPT = 200_000
 
     def __init__(self, model: np.ndarray):
-        self._model, self._known = model, {}
+        self._model, self._known, self._other = model, {}, {}
 
-    def restored(self, token: str) -> str:
+    def restored(self, token: str, inserted: bool = True) -> str:
         if token not in self._known:
-            if len(self._known) >= self.KEPT:
-                self._known.clear()
-            self._known[token] = restore(token, self._model)
+            self._make_room(self._known)
+            self._known[token] = restore(token, self._model, inserted)
         return self._known[token]
 
+    def _make_room(self, known: dict) -> None:
+        if len(known) >= self.KEPT:
+            known.clear()
+
+    def _others(self, word: str) -> list[int]:
+        """Hashes of what a plain word may stand for besides itself."""
+        if word not in self._other:
+            self._make_room(self._other)
+            found, more = other_readings(word)
+            self._other[word] = [*map(xxhash.xxh64_intdigest, [*found, *([self.restored(word)] if more else [])])]
+        return self._other[word]
+
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text number) of every distinct restored word of each text."""
+        """(hash, text number) of every distinct word of each text, disguised ones restored."""
         words, counts = words_of(texts)
         tokens, index = words.dictionary, words.indices.to_numpy()
         owner = np.repeat(np.arange(len(texts)), counts)
         core, plain = plain_words(tokens)
         spelled = core.to_pylist()
-        disguised = np.flatnonzero(~plain & pc.match_substring_regex(tokens, _HAS_LETTER).to_numpy(zero_copy_only=False))
-        for k, token in zip(disguised, tokens.take(pa.array(disguised)).to_pylist()):
-            spelled[k] = self.restored(token)
+        matches = lambda column, pattern: pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False)
+        lettered = matches(tokens, _HAS_LETTER)
+        for wanted, inserted in ((~plain & lettered, True), (~lettered & matches(tokens, _ALL_SIGNS), False)):
+            chosen = np.flatnonzero(wanted)
+            for k, token in zip(chosen, tokens.take(pa.array(chosen)).to_pylist()):
+                spelled[k] = self.restored(token, inserted)
         hashed = np.fromiter(map(xxhash.xxh64_intdigest, spelled), dtype=np.uint64, count=len(spelled)).view(np.int64)
-        ids, of = hashed[index], owner
+        # The other readings of each token, and each of them once for every place where the token stands.
+        chosen = np.flatnonzero(plain & matches(core, _DISGUISABLE))
+        others = [self._others(spelled[k]) for k in chosen]
+        sizes = np.zeros(len(tokens), dtype=np.int64)
+        sizes[chosen] = [*map(len, others)]
+        flat = np.fromiter(itertools.chain.from_iterable(others), dtype=np.uint64, count=sizes.sum()).view(np.int64)
+        there = np.flatnonzero(sizes[index])
+        times = sizes[index[there]]
+        first = (np.cumsum(sizes) - sizes)[index[there]]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         more_ids, more_of = self._runs(tokens, index, owner)
-        ids, of = np.concatenate([ids, more_ids]), np.concatenate([of, more_of])
+        ids = np.concatenate([hashed[index], flat[np.repeat(first, times) + within], more_ids])
+        of = np.concatenate([owner, np.repeat(owner[there], times), more_of])
         order = np.lexsort((ids, of))
         ids, of = ids[order], of[order]
         new = np.ones(len(ids), dtype=bool)
@@ -194,10 +252,10 @@ class Restorer:
         ids, of = [], []
         for s, n in zip(starts[sizes >= 3], sizes[sizes >= 3]):
             word = self.restored("".join(tokens.take(pa.array(index[at[s] : at[s] + n])).to_pylist()))
-            for a in range(len(word)):
-                for b in range(a + 3, min(len(word), a + 14) + 1):
-                    ids.append(xxhash.xxh64_intdigest(word[a:b]))
-                    of.append(owner[at[s]])
+            parts = [word[a:b] for a in range(len(word)) for b in range(a + 3, min(len(word), a + _LONGEST) + 1)]
+            for part in {word, *parts}:
+                ids.append(xxhash.xxh64_intdigest(part))
+                of.append(owner[at[s]])
         return np.array(ids, dtype=np.uint64).view(np.int64), np.array(of, dtype=np.int64)
 
 

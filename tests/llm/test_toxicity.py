@@ -98,3 +98,20 @@ def test_letter_counts_stop_at_word_ends():
     e = tox.EDGE
     assert counts[e, e, e, 0] == 2 and counts[e, e, 0, 1] == 2 and counts[e, 0, 1, e] == 2
     assert counts[e, e, e, 2] == 1 and counts[e, e, 2, e] == 1 and total.sum() == 8
+
+
+def test_disguises_are_scored(spark):
+    """Each disguise makes a text toxic by the score itself, and harmless texts like them don't."""
+    bad = ["worthless", "pathetic", "idiot", "stupid", "ass", "incomprehensibly"]
+    rows = [(k, f"{t} {bad[k // 4 % len(bad)]}" if x else t, x) for k, t, x in corpus(360)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    model = tox.fit(docs, spark.createDataFrame([(k, x) for k, _, x in rows], "doc_id long, toxic int"))
+    toxic = ["you stuupid", "an ïdiót!!!", "раthetic", "wwoorrtthhlleess", "455", "so $tup1d", " ".join("incomprehensibly"), "iddiioott", "wwoorrtthhlleessss"]
+    clean = ["the heat", "thhe onn", "thé ré", "12 99", "!!! ---", "t h e", "жжж ß", ""]
+    told = spark.createDataFrame([*enumerate(toxic + clean)], "doc_id long, text string").select("doc_id", "text", tox.toxicity(model)(F.col("text")).alias("s")).collect()
+    assert {r.text for r in told if r.s >= 0.5} == set(toxic)
+
+
+def test_long_runs_of_lone_characters_take_time_in_proportion(model):
+    ids, of = tox.Restorer(model.letters).hashes(pa.array(["a b c d " * 200], pa.large_string()))
+    assert 3 < len(ids) <= 64 * 800
