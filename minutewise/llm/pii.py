@@ -110,32 +110,45 @@ _LIKE = "".join(LOOK_ALIKES)
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _NAME = r"[A-Za-z0-9-]+"
-_LOOSE_STOP = rf"\s{{1,2}}\.\s{{0,2}}(?=(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9]))"
-_STOP = rf"(?:\s{{1,3}}dot\s{{1,3}}|\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}}|{_LOOSE_STOP})"
-
-# What a text must have for the transducer to run at all; RE2 scans whole columns with it.
+_KNOWN = "|".join(ENDINGS)
+# Pieces of both the rules and the hint; RE2 and Python read them alike but for \s, which the hint spells out.
+_AT, _DOT, _SPELLED_AT = "(?:at|@|arroba)", r"(?:dot|punkt|point|punto|\.)", "(?:at|arroba)"
+_BRACKETED_AT, _BRACKETED_DOT = f"{_OPEN}{_AT}{_CLOSE}", f"{_OPEN}{_DOT}{_CLOSE}"
+_SPELLED_DOT = r"\s{1,3}dot\s{1,3}"
+_LOOSE = rf"\s{{1,2}}\.\s{{0,2}}(?:{_KNOWN})"
+_LOOSE_STOP = rf"\s{{1,2}}\.\s{{0,2}}(?=(?:{_KNOWN})(?![A-Za-z0-9]))"
+_STOP = rf"(?:{_SPELLED_DOT}|\s{{0,3}}{_BRACKETED_DOT}\s{{0,3}}|{_LOOSE_STOP})"
+_PLUS = r"plus\s{0,3}"
+_SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]"
+_CHARACTERS = f"[{_LIKE}{_INVISIBLE}{_WIDE}]"
+
+# What a text must have for the transducer to run at all; RE2 scans whole columns with it. Each rule has its piece here
+# without what it looks at around it. Spelled digits count from three in one identifier on.
 _HINT = (
-    rf"[{_LIKE}{_INVISIBLE}{_WIDE}]"
-    rf"|(?i:\b(?:{_NUMBER})[\s,.-]+(?:{_NUMBER}|[0-9]+)\b|\b[0-9]+[\s,.-]+(?:{_NUMBER})[\s,.-]+)"
-    r"|(?i:[\[({<]\s?(?:at|dot|punkt|point|punto|plus|@|\.)\s?[\])}>])"
-    r"|(?i:\sdot\s)|(?i:\bplus\s+(?:[0-9]|" + _NUMBER + r"))"
-    rf"|(?i:\s(?:at|arroba)\s+(?:[a-z0-9-]+\.)+(?:{'|'.join(ENDINGS)})\b)"
-    r"|[A-Za-z0-9]\s+@\s*[A-Za-z0-9]|[A-Za-z0-9]@\s+[A-Za-z0-9]"
-)
+    rf"{_CHARACTERS}"
+    rf"|(?i:{_BRACKETED_AT}|{_BRACKETED_DOT}|{_SPELLED_DOT})"
+    rf"|(?i:\s{_SPELLED_AT}\s{{1,3}}(?:[a-z0-9-]+\.)+(?:{_KNOWN}))"
+    r"|\s@|@\s"
+    rf"|(?i:[a-z0-9-]{_LOOSE})"
+    rf"|(?i:{_PLUS}(?:[0-9(]|{_NUMBER}))"
+    rf"|(?i:(?:(?:{_NUMBER})[\s,().0-9-]+){{2}}(?:{_NUMBER}))"
+).replace(r"[\s,", f"[{_SPACE[1:-1]},").replace(r"\s", _SPACE)
 
 # The rules on characters come first; the others see their output.
-_CHARACTER = re.compile(rf"[{_LIKE}{_INVISIBLE}{_WIDE}]")
+_CHARACTER = re.compile(_CHARACTERS)
 _RULES = [
-    (re.compile(rf"\s{{0,3}}{_OPEN}(?:at|@|arroba){_CLOSE}\s{{0,3}}", re.I), "@"),
-    (re.compile(rf"\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}}", re.I), "."),
-    (re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}(?:at|arroba)\s{{1,3}}(?={_NAME}(?:{_STOP}|\.){_NAME})", re.I), "@ at"),
+    (re.compile(rf"\s{{0,3}}{_BRACKETED_AT}\s{{0,3}}", re.I), "@"),
+    (re.compile(rf"\s{{0,3}}{_BRACKETED_DOT}\s{{0,3}}", re.I), "."),
+    (re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}{_SPELLED_AT}\s{{1,3}}(?={_NAME}(?:{_STOP}|\.){_NAME})", re.I), "@ at"),
     (re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{0,3}}@\s{{0,3}}(?={_NAME}(?:{_STOP}|\.){_NAME})"), "@"),
-    (re.compile(r"(?<=[A-Za-z0-9-])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I), "."),
+    (re.compile(rf"(?<=[A-Za-z0-9-]){_SPELLED_DOT}(?=[A-Za-z0-9])", re.I), "."),
     (re.compile(rf"(?<=[A-Za-z0-9-]){_LOOSE_STOP}"), "."),
     (re.compile(rf"(?<![^\W_])(?:{_NUMBER})(?![^\W_])", re.I), "digit"),
-    (re.compile(r"(?<![^\W_])plus\s{0,3}(?=[0-9(])", re.I), "+"),
+    (re.compile(rf"(?<![^\W_]){_PLUS}(?=[0-9(])", re.I), "+"),
 ]
-_KNOWN_DOMAIN = re.compile(rf"(?:{_NAME}(?:\.|{_STOP}))+(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])", re.I)
+_KNOWN_DOMAIN = re.compile(rf"(?:{_NAME}(?:\.|{_STOP}))+(?:{_KNOWN})(?![A-Za-z0-9-])", re.I)
+# Where a stop of the domain is in disguise, any country's ending counts.
+_ANY_DOMAIN = re.compile(rf"(?:{_NAME}(?:\.|{_STOP}))+(?:[a-z]{{2}}|{_KNOWN})(?![A-Za-z0-9-])", re.I)
 
 
 # How a character was changed.
@@ -174,6 +187,15 @@ def _plain_character(c: str) -> str:
     return plain if plain.isascii() else c
 
 
+def _clear_stop(tape: Tape, at: int) -> bool:
+    """Whether a domain stands here that has a spelled or bracketed dot."""
+    domain = _ANY_DOMAIN.match(tape.text, at)
+    if not domain:
+        return False
+    spelled = re.search(_SPELLED_DOT, domain[0], re.I)
+    return bool(spelled) or any(c == "." and tape.changed[at + k] == SIGN for k, c in enumerate(domain[0]))
+
+
 def normalise(text: str) -> Tape:
     """The text without its disguises."""
     tape = Tape(text)
@@ -190,8 +212,8 @@ def normalise(text: str) -> Tape:
                     start -= len(gap[0])
                 edits.append((start, end, new))
             elif sign == "@ at":
-                # The word is a common one: only before a known ending it makes an address.
-                if _KNOWN_DOMAIN.match(tape.text, end):
+                # The word is a common one: only before a known ending, or a stop in disguise, it makes an address.
+                if _KNOWN_DOMAIN.match(tape.text, end) or _clear_stop(tape, end):
                     edits.append((start, end, "@"))
             else:
                 edits.append((start, end, sign))

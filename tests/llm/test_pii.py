@@ -87,3 +87,35 @@ def test_odd_documents(spark):
     masked = {r.doc_id: r.m for r in docs(spark, rows).select("doc_id", pii.masked()(F.col("text")).alias("m")).collect()}
     assert masked[20] == "to [email] or [email], [ip]" and masked[4] is None and masked[5] == ""
     assert docs(spark, []).select(pii.pii()(F.col("text"))).collect() == []
+
+
+FORMS = [
+    ("email", "john@example .com"), ("email", "john at example . com"), ("email", "john( at )example.com"), ("email", "john (  at  ) example (  dot  ) com"),
+    ("email", "max at firma dot de"), ("email", "max at firma [dot] fr"), ("email", "max at mail dot firma.es"), ("email", "max arroba firma punto".replace(" punto", " (punto) es")),
+    ("email", "john\u00a0@\u00a0example.com"), ("email", "john at  example.com"), ("email", "john@example\u00a0dot\u00a0com"),
+    ("phone", "plus49 30 1234567"), ("phone", "plus\u00a049 30 1234567"), ("phone", "+49 (three)  - four 1234 (five) 67"),
+    ("phone", "plus one five five five one two three four five six seven"), ("ip", "10 dot 0 dot 0 dot 1"), ("card", "4111-one-one-one-one 1111 1111"),
+]
+
+
+def test_every_form_reaches_the_rules(spark):
+    """Each disguise alone in its text: found at all, and found through the hint as without it."""
+    texts = [f"x {t} y" for _, t in FORMS]
+    rows = docs(spark, [*enumerate(texts)]).select("doc_id", pii.pii()(F.col("text")).alias("p")).collect()
+    for r in rows:
+        kind, form = FORMS[r.doc_id]
+        plain, added = pii.find(texts[r.doc_id], True)
+        assert [(s.kind, s.start, s.end) for s in r.p.spans] == [(k, *s) for k in pii.KINDS for s in sorted(plain[k] + added[k])], form
+        assert [texts[r.doc_id][a:b] for a, b in added[kind]] == [form], form
+
+
+def test_plain_stops_still_want_a_known_ending():
+    for text in ("is at reti.de or", "look at this. de", "he was at firma.fr", "we met at noon dot"):
+        assert not any(pii.find(text)[1].values()), text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from("at At dot plus Plus one two drei 5 49 4111 @ . ( ) [ ] - , john example com de org \u00a0 \t".split(" ") + [" ", " ", " "]), max_size=14).map("".join))
+def test_hint_is_no_narrower_than_the_rules(text):
+    hinted = pii.pc.match_substring_regex(pii.pa.array([text], pii.pa.large_string()), pii._HINT)[0].as_py()
+    assert pii.find(text, True) == pii.find(text, hinted)
