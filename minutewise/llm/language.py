@@ -4,6 +4,9 @@ Training is stochastic gradient descent in numpy on a bounded sample; prediction
 vector is the mean of the embeddings of its hashed byte n-grams. As the softmax is linear, embedding and output
 matrix are multiplied once, and a text's logits are the mean of one table row per n-gram.
 
+A softmax is sure of gibberish too, so rejection rests on a second measure: how usual a text's n-grams are in the language told,
+as the mean log share of their buckets in training. Its bounds are calibrated by length on held-back texts and pieces of them.
+
 Edge cases: a null text, an empty one and one without a letter get `und`, score 0 and are rejected. Where nothing
 can be learned (no labelled row) every text gets `und`. Ties go to the language that sorts first. Repeated rows
 are scored alike; other columns are not looked at.
@@ -11,6 +14,7 @@ are scored alike; other columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +55,9 @@ class LanguageModel:
     temperature: float
     reject_below: float
     params: LanguageParams
+    usual: np.ndarray | None = None  # like table: log shares of the buckets in each language
+    # Least mean log share of a text with 4**k to 4**(k+1) n-grams, by language and k.
+    usual_below: np.ndarray | None = None
 
 
 # Letters and whatever lies beyond ASCII stay; digits, signs and white space become one separator.
@@ -95,6 +102,25 @@ def _counts(texts: pa.Array, params: LanguageParams) -> tuple[list[np.ndarray],
     return [f[0] for f in found], [f[1] for f in found]
 
 
+LENGTH_CLASSES = 16
+# A class needs so many held-back texts for a bound, which lies so far down the way from their low quantile to n-grams by chance.
+LEAST_CALIBRATED, MARGIN = 20, 1 / 3
+
+
+def _length_class(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(n, 1)) // 2, 0, LENGTH_CLASSES - 1).astype(np.int64)
+
+
+def _pieces(texts: pa.Array) -> pa.Array:
+    """A piece of each text, 12 to 324 characters from somewhere in it on."""
+    out = []
+    for text in texts.to_pylist():
+        mark = zlib.crc32(text.encode())
+        start = (mark >> 8) % max(len(text) - 12, 1)
+        out.append(text[start : start + (12, 36, 108, 324)[mark % 4]])
+    return pa.array(out, pa.large_string())
+
+
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learn from the columns doc_id, text and lang of docs, all of which may be learned from.
 
@@ -117,17 +143,19 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
 
     def features(batches):
         for batch in batches:
-            ids, n = _counts(text_array(batch.column("text")), params)
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = lambda x, kind: np.concatenate([*x, np.zeros(0)]).astype(kind)
+            texts, columns = text_array(batch.column("text")), []
+            for part in (texts, _pieces(texts)):
+                for x in (found := _counts(part, params)):
+                    flat = np.concatenate([*x, np.zeros(0)]).astype(np.int32)
+                    columns.append(lists(flat, np.array([len(y) for y in found[0]], dtype=np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), lists(flat(ids, np.int32), sizes), lists(flat(n, np.int32), sizes)],
-                names=["doc_id", "label", "ids", "n"],
+                [batch.column("doc_id"), batch.column("label"), *columns],
+                names=["doc_id", "label", "ids", "n", "piece_ids", "piece_n"],
             )
 
     # At most max_languages rows.
     sample = known.join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("doc_id", "text", "label")
-    rows = sample.mapInArrow(features, "doc_id long, label int, ids array<int>, n array<int>").toArrow()
+    rows = sample.mapInArrow(features, "doc_id long, label int, ids array<int>, n array<int>, piece_ids array<int>, piece_n array<int>").toArrow()
     rows = rows.to_pandas().sort_values(["doc_id", "label"], ignore_index=True)
     return _train(rows, languages, params)
 
@@ -177,7 +205,37 @@ def _train(rows: pd.DataFrame, languages: tuple[str, ...], params: LanguageParam
     right = p.max(axis=1)[p.argmax(axis=1) == truth] if len(truth) else np.zeros(0)
     # Never much above an even split: rejection is for texts that are no language's, not for short ones.
     bound = min(float(np.quantile(right, params.lost)), 1.3 / len(languages)) if len(right) else 0.0
-    return LanguageModel(languages, table, temperature, bound, params)
+    usual = np.zeros((params.buckets, len(languages)))
+    for k in training:
+        np.add.at(usual[:, labels[k]], inputs[k][0], inputs[k][1])
+    usual = (usual + 0.01 / params.buckets) / (usual.sum(axis=0) + 0.01)
+    usual = np.concatenate([np.log(usual), np.zeros((1, len(languages)))]).astype(np.float32)
+    return LanguageModel(languages, table, temperature, bound, params, usual, _usual_bounds(rows, order[: len(order) // 5], usual, params.lost))
+
+
+def _usual_bounds(rows: pd.DataFrame, apart: np.ndarray, usual: np.ndarray, lost: float) -> np.ndarray:
+    """Least mean log share by language and length class, from the rows that took no part in training and their pieces.
+
+    A class with few texts has the loosest bound of the other languages, else that of the next shorter class; none if there is
+    no such class. Shorter texts vary more, so they never have a stricter bound than longer ones.
+    """
+    seen: dict[tuple[int, int], list[float]] = {}
+    for label, *parts in rows.iloc[apart][["label", "ids", "n", "piece_ids", "piece_n"]].itertuples(index=False):
+        for ids, n in (parts[:2], parts[2:]):
+            if total := int(np.sum(n)):
+                mean = float(np.asarray(n) @ usual[np.asarray(ids), label]) / total
+                seen.setdefault((label, int(_length_class(np.array(total)))), []).append(mean)
+    bounds = np.full((usual.shape[1], LENGTH_CLASSES), -np.inf)
+    for (label, k), means in seen.items():
+        if len(means) >= LEAST_CALIBRATED:
+            low, chance = float(np.quantile(means, lost)), float(usual[:-1, label].mean())
+            bounds[label, k] = low - MARGIN * max(low - chance, 0.0)
+    for k in range(LENGTH_CLASSES):
+        if (set_ := np.isfinite(bounds[:, k])).any():
+            bounds[~set_, k] = bounds[set_, k].min()
+    for k in range(1, LENGTH_CLASSES):
+        bounds[:, k] = np.maximum(bounds[:, k], bounds[:, k - 1])
+    return bounds
 
 
 def _predict(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,17 +250,23 @@ def _predict(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndar
     sums = np.zeros((len(texts), len(model.languages)))
     counts = np.zeros(len(texts))
     columns = [np.ascontiguousarray(c) for c in model.table.T]
+    shares = [np.ascontiguousarray(c) for c in model.usual.T]
+    usual = np.zeros_like(sums)
     for order, buckets in zip(model.params.orders, grams):
-        for c, column in enumerate(columns):
-            if some.any():
+        if some.any():
+            for c, column in enumerate(columns):
                 sums[some, c] += np.add.reduceat(column[buckets], starts[some], dtype=np.float64)
+                usual[some, c] += np.add.reduceat(shares[c][buckets], starts[some], dtype=np.float64)
         counts += np.maximum(lengths - order + 1, 0)
     z = sums / np.maximum(counts, 1)[:, None] / model.temperature
     z = np.exp(z - z.max(axis=1, keepdims=True))
     p = z / z.sum(axis=1, keepdims=True)
-    best = np.where(letters, p.argmax(axis=1), -1)
+    told = p.argmax(axis=1)
+    best = np.where(letters, told, -1)
     score = np.where(letters, p.max(axis=1), 0.0)
-    return best, score, ~letters | (score < model.reject_below)
+    mean = usual[np.arange(len(texts)), told] / np.maximum(counts, 1)
+    strange = (counts > 0) & (mean < model.usual_below[told, _length_class(counts)])
+    return best, score, ~letters | (score < model.reject_below) | strange
 
 
 def identify(model: LanguageModel):

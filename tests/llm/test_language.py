@@ -47,3 +47,19 @@ def test_nothing_to_learn_from(spark):
     assert language.with_language(docs, F.col("text"), model).first().language.lang_pred == "und"
     none = frame(spark, [])
     assert language.with_language(none, F.col("text"), language.fit(none)).collect() == []
+
+
+def test_gibberish_and_unlearned_languages_are_rejected(spark):
+    """Random letters and a language that nobody taught go, with one language learned too; short clean texts stay."""
+    rng = random.Random(4)
+    noise = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(40))
+    strange = [noise("abcdefghijklmnopqrstuvwxyz") for _ in range(20)] + [noise("абвгдежзиклмнопрст") for _ in range(20)]
+    strange += [" ".join(rng.choice("kaz mutuq yvorsk plim zug wojt".split()) for _ in range(40)) for _ in range(20)]
+    rows = corpus(1500)
+    for learned in (rows, [r for r in rows if r[2] == "aa"]):
+        model = language.fit(frame(spark, learned))
+        clean = [(k, made(kind, 9000 + k, 1 + k % 8), kind) for k in range(300) for kind in [model.languages[k % len(model.languages)]]]
+        told = frame(spark, clean + [(1000 + k, t, None) for k, t in enumerate(strange)])
+        got = language.with_language(told, F.col("text"), model, "told").select("doc_id", "told.rejected").collect()
+        assert sum(r.rejected for r in got if r.doc_id < 1000) <= 3
+        assert all(r.rejected for r in got if r.doc_id >= 1000)
