@@ -33,7 +33,7 @@ except ModuleNotFoundError as missing:
 try:
     import corpus_pipeline
 except ModuleNotFoundError as missing:
-    if missing.name != "corpus_pipeline":
+    if missing.name not in ("corpus_pipeline", "minutewise.llm"):
         raise
     corpus_pipeline = None
 

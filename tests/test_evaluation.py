@@ -12,7 +12,7 @@ from minutewise.plans import evaluation as ev
 from minutewise.schemas import ANOMALY, EVENT, INCIDENT, LABEL, METRIC
 
 # Five buckets of a ward's monitors, worked through by hand below.
-WARD = [(minute(7 * k), f"bed{k}", "/pulse") for k in range(5)]
+WARD = [(minute(7 * k), f"bed{k}", "/rate") for k in range(5)]
 
 
 def keys(spark, rows):
