@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from minutewise.llm.byte_bpe import op7_byte_bpe
 from minutewise.llm.containment import OP4_SQL, op4_containment
+from minutewise.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from minutewise.llm.language import op10_language
 from minutewise.llm.pii import op3_pii
 from minutewise.llm.pitman_yor import op9_pitman_yor
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_repair_ids": op8_repair_ids,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_language": op10_language,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op2_rabitq": OP2_SQL,
     "op4_containment": OP4_SQL,
     "op6_warc": OP6_SQL,
+    "op11_exact_dedup": OP11_SQL,
 }
