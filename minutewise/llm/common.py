@@ -86,3 +86,11 @@ def in_runs(rows, size):
     """Consecutive runs of at most size items."""
     rows = iter(rows)
     return iter(lambda: list(itertools.islice(rows, size)), [])
+
+
+def if_small(df: DataFrame, rows: int = 100_000, size: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, and bytes in its string columns; else as it is."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
+    held = sum(texts, F.lit(0)).cast("long")
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df

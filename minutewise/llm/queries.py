@@ -6,6 +6,7 @@ from minutewise.llm.byte_bpe import op7_byte_bpe
 from minutewise.llm.containment import OP4_SQL, op4_containment
 from minutewise.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from minutewise.llm.language import op10_language
+from minutewise.llm.merkle import OP13_SQL, op13_merkle
 from minutewise.llm.pii import op3_pii
 from minutewise.llm.pitman_yor import op9_pitman_yor
 from minutewise.llm.rabitq import OP2_SQL, op2_rabitq
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pitman_yor": op9_pitman_yor,
     "op10_language": op10_language,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op4_containment": OP4_SQL,
     "op6_warc": OP6_SQL,
     "op11_exact_dedup": OP11_SQL,
+    "op13_merkle": OP13_SQL,
 }
