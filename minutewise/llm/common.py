@@ -94,3 +94,13 @@ def if_small(df: DataFrame, rows: int = 100_000, size: int = 32 << 20) -> DataFr
     held = sum(texts, F.lit(0)).cast("long")
     n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and total <= size else df
+
+
+# Fixed value: the polynomial of CRC-32, its bits reversed.
+CRC_SQL = """tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab)"""
+
+
+def crc32_sql(octets: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a list of byte values, with tab (of CRC_SQL) in the FROM list."""
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"

@@ -5,7 +5,7 @@ fanout**height leaves form blocks, whose subtrees are built where the block lies
 Blocks meet in a butterfly: in round r, the fanout blocks of an aligned group whose numbers differ in digit r alone swap the
 roots that they know, and each hashes the parent for itself. So after as many rounds as the number of blocks has digits,
 every block knows the root and all siblings on its way up, and nothing has to be passed down. Where the last group of a
-round is ragged, its blocks stand in for the missing ones. All rounds are one plan, with a shuffle of a row per block each.
+round is ragged, its blocks stand in for the missing ones. A round shuffles a row per block of the trees that go on.
 
 A proof is a list of (left, right): the siblings of a level as hex digests one after the other. Folding a leaf goes up
 through it by H(left + node + right).
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minutewise.llm.common import if_small, read, saved
+from minutewise.llm.common import CRC_SQL, crc32_sql, if_small, read, saved
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 STEP = "struct<left: string, right: string>"
@@ -122,9 +122,7 @@ def _blocks(leaves: DataFrame, params: MerkleParams) -> DataFrame:
 def _swapped(blocks: DataFrame, span: int, params: MerkleParams) -> DataFrame:
     """A round of the butterfly on blocks (tree, block, blocks, hash, proof), each of which knows the root of the span blocks around it."""
     k = params.fanout
-    going = blocks.where(F.col("blocks") > span).withColumns(
-        {"node": F.expr(f"block DIV {span}"), "offset": F.expr(f"block % {span}")}
-    )
+    going = blocks.withColumns({"node": F.expr(f"block DIV {span}"), "offset": F.expr(f"block % {span}")})
     # A node at the ragged end has fewer blocks; each also answers for those it lacks.
     size = F.least(F.lit(span), F.col("blocks") - F.col("node") * span)
     asked = going.withColumn("place", F.explode(F.sequence(F.col("offset"), F.lit(span - 1).cast("long"), size)))
@@ -140,21 +138,22 @@ def _swapped(blocks: DataFrame, span: int, params: MerkleParams) -> DataFrame:
     swapped = met.select("tree", "blocks", "group", F.sha2(joined(lambda m: F.lit(True)), 256).alias("hash"), F.explode(F.filter("group", lambda m: m["block"].isNotNull())).alias("me"))
     digit = F.col("me.digit")
     step = F.struct(joined(lambda m: m["digit"] < digit).alias("left"), joined(lambda m: m["digit"] > digit).alias("right"))
-    known = swapped.select("tree", F.col("me.block").alias("block"), "blocks", "hash", F.concat("me.proof", F.array(step)).alias("proof"))
-    return known.unionByName(blocks.where(F.col("blocks") <= span))
+    return swapped.select("tree", F.col("me.block").alias("block"), "blocks", "hash", F.concat("me.proof", F.array(step)).alias("proof"))
 
 
 def _climbed(blocks: DataFrame, params: MerkleParams) -> DataFrame:
-    """tree, block, hash (the tree's root) and proof (from the block's root up) of every block; saved."""
+    """tree, block, hash (the tree's root) and proof (from the block's root up) of every block."""
     hashes = F.transform("leaves", lambda x: x["hash"])
     none = F.array().cast(f"array<{STEP}>").alias("proof")
     known = blocks.select("tree", "block", "blocks", _block_roots(hashes, F.col("blocks") == 1, params).alias("hash"), none)
     most = blocks.agg(F.max("blocks")).first()[0] or 0
-    span = 1
+    known, span = saved(known), 1
+    ended = known.where(F.col("blocks") <= span)
     while span < most:
-        known = _swapped(known, span, params)
+        known = saved(_swapped(known.where(F.col("blocks") > span), span, params))
         span *= params.fanout
-    return saved(known.drop("blocks"))
+        ended = ended.unionByName(known.where(F.col("blocks") <= span))
+    return ended.drop("blocks")
 
 
 def _proven(blocks: DataFrame, climbed: DataFrame, params: MerkleParams) -> DataFrame:
@@ -195,23 +194,14 @@ def op13_merkle(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-# Fixed value: the polynomial of CRC-32, its bits reversed. Levels enough for 3**13 documents a source and sources.
-_CRC = """tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
-  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab)"""
-
-
-def crc32_sql(octets: str) -> str:
-    """DuckDB SQL for the unsigned CRC-32 of a list of byte values, with tab (see _CRC) in the FROM list."""
-    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
-
-
+# Levels enough for 3**13 documents a source, and sources.
 def _sql(levels: int = 13) -> str:
     told = lambda text: " || ".join(
         f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in (*FIELDS[:-1], text)
     )
     octets = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
     steps = [
-        "WITH " + _CRC,
+        "WITH " + CRC_SQL,
         f"""d AS MATERIALIZED (SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256({told("text")}) AS h,
   CASE WHEN doc_id IS NOT NULL AND {crc32_sql(octets)} % 2 = 0 THEN sha256({told("replace(text, chr(10), '')")})
   ELSE sha256({told("text")}) END AS changed FROM documents, tab)""",

@@ -12,6 +12,7 @@ from minutewise.llm.pitman_yor import op9_pitman_yor
 from minutewise.llm.rabitq import OP2_SQL, op2_rabitq
 from minutewise.llm.repair import op8_repair_ids
 from minutewise.llm.simhash import op5_simhash
+from minutewise.llm.spelling import OP12_SQL, op12_spelling
 from minutewise.llm.toxicity import op1_toxicity
 from minutewise.llm.warc import OP6_SQL, op6_warc
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pitman_yor": op9_pitman_yor,
     "op10_language": op10_language,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL = {
     "op4_containment": OP4_SQL,
     "op6_warc": OP6_SQL,
     "op11_exact_dedup": OP11_SQL,
+    "op12_spelling": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
