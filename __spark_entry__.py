@@ -336,7 +336,7 @@ def stream_metrics(spark, d):
 
 def stream_live(spark, d):
     home = shared_folder(configure(spark))
-    _finish(live.start_live(_stream_requests(spark, d), f"{home}/v", f"{home}/feed", f"{home}/cp", SIX_HOURS, ONCE))
+    _finish(live.start_live(_stream_requests(spark, d), f"{home}/feed", f"{home}/cp", SIX_HOURS, ONCE))
     kinds = {"type": "string", "service": "string", "endpoint": "string", "minute_bucket": "string",
              "request_count": "bigint", "error_count": "bigint", "p95": "double"}
     return _plain(_fields(spark.read.text(f"{home}/feed"), "value", kinds)).drop("keys")
@@ -346,7 +346,7 @@ def stream_detection(spark, d):
     home = shared_folder(configure(spark))
     tables.write_batch(_metrics(spark, d), f"{home}/closed", 0)
     _finish(
-        sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/tail", f"{home}/cp", SIX_HOURS,
+        sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/cp", SIX_HOURS,
                              outbox_path=f"{home}/outbox", trigger=ONCE)
     )
     found = tables.read_anomalies(spark, f"{home}/anomalies").where("detector <> 'isolation_forest'")
@@ -358,7 +358,7 @@ def stream_outbox(spark, d):
     home = shared_folder(configure(spark))
     tables.write_batch(_metrics(spark, d), f"{home}/closed", 0)
     _finish(
-        sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/tail", f"{home}/cp", SIX_HOURS,
+        sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/cp", SIX_HOURS,
                              outbox_path=f"{home}/outbox", trigger=ONCE)
     )
     alerts = _fields(sdet.read_outbox(spark, f"{home}/outbox"), "payload", _FINDING_FIELDS)
@@ -405,7 +405,7 @@ def stream_metrics_late(spark, d):
 def stream_live_late(spark, d):
     """The last message of every bucket under the same input: late events change nothing, repeated ones count once."""
     home = shared_folder(configure(spark))
-    _run_twice(spark, d, home, lambda e: live.start_live(e, f"{home}/v", f"{home}/feed", f"{home}/cp", SIX_HOURS, ONCE, dedupe=True))
+    _run_twice(spark, d, home, lambda e: live.start_live(e, f"{home}/feed", f"{home}/cp", SIX_HOURS, ONCE, dedupe=True))
     kinds = {"type": "string", "service": "string", "endpoint": "string", "minute_bucket": "string", "sequence": "bigint",
              "request_count": "bigint", "error_count": "bigint", "p95": "double"}
     shown = _plain(_fields(spark.read.text(f"{home}/feed"), "value", kinds)).drop("keys", "type")

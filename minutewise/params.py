@@ -29,6 +29,10 @@ class Params:
     chunk_rows: int = 500
     # Tasks for detection with the forest; 0 means spark.sql.shuffle.partitions.
     forest_partitions: int = 0
+    # State keys that an open bucket's values are dealt to by their hash.
+    live_parts: int = 4
+    # How long detection remembers a series that brings nothing.
+    series_ttl_seconds: int = 90 * 86_400
 
     def __post_init__(self) -> None:
         if self.window_seconds < 1 or self.watermark_seconds < 0:
@@ -41,8 +45,8 @@ class Params:
             raise ValueError("contamination must be in (0, 0.5]")
         if self.zscore_threshold < 0:
             raise ValueError("zscore_threshold must be >= 0")
-        if self.hot_values < 1:
-            raise ValueError("hot_values must be >= 1")
+        if self.hot_values < 1 or self.live_parts < 1 or self.series_ttl_seconds < 1:
+            raise ValueError("hot_values, live_parts and series_ttl_seconds must be >= 1")
         if self.chunk_rows <= self.longest_history:
             raise ValueError("chunk_rows must exceed the history length")
 

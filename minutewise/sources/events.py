@@ -26,33 +26,31 @@ _FILL_IN = [
 _FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799
 
 
+# What a stream takes in at once unless told otherwise: files of a folder, records of a topic.
+FILES_PER_BATCH, OFFSETS_PER_BATCH = 1_000, 1_000_000
+
+
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet", with_id: bool = False) -> DataFrame:
     """A backfill scan of stored events; rollup() takes it like any stream's rows."""
     return spark.read.schema(EVENT_WITH_ID if with_id else EVENT).format(fmt).load(path)
 
 
-def stream_json(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_json(spark: SparkSession, path: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
     """Lines of JSON files as a stream with one column, `raw`."""
-    reader = spark.readStream.format("text")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
     return reader.load(path).withColumnRenamed("value", "raw")
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None) -> DataFrame:
+def stream_kafka(spark: SparkSession, servers: str, topic: str, max_offsets: int = OFFSETS_PER_BATCH) -> DataFrame:
     """Values of a Kafka topic in the same form. Needs the Kafka connector on the class path."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    if max_offsets:
-        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
-    return reader.load().select(F.col("value").cast("string").alias("raw"))
+    return reader.option("maxOffsetsPerTrigger", max_offsets).load().select(F.col("value").cast("string").alias("raw"))
 
 
-def stream_events(spark: SparkSession, path: str, with_id: bool = False, max_files: int | None = None) -> DataFrame:
+def stream_events(spark: SparkSession, path: str, with_id: bool = False, max_files: int = FILES_PER_BATCH) -> DataFrame:
     """Stored events as a stream."""
     reader = spark.readStream.schema(EVENT_WITH_ID if with_id else EVENT)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def parse_json_events(df: DataFrame, raw: str = "raw", as_of: Column | None = None,

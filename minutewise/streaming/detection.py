@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.messages import alert, anomaly, as_json, envelope
-from ..operators.dedupe import fullest
 from ..operators.detect import detect
 from ..operators.history import latest_rows
 from ..params import Params
 from ..schemas import ANOMALY, METRIC, OUTBOX, SERIES
+from ..sources.events import FILES_PER_BATCH
 from ..sources.tables import ensure_table, read_batches, write_batch
-from ..sources.versions import before, retire
 from .ingest import EVERY_5_SECONDS
-
-# Parts of the table of last buckets. Fixed, as the place of a series must not change between runs.
-TAIL_PARTS = 64
+from .state import SeriesTail
 
 
 def alert_outbox(anomalies: DataFrame) -> DataFrame:
@@ -30,65 +27,54 @@ def anomaly_messages(anomalies: DataFrame) -> DataFrame:
     return anomalies.select(envelope(anomaly()).alias("value"))
 
 
-def start_detection(spark: SparkSession, metrics_path: str, anomalies_path: str, tail_path: str, checkpoint: str,
-                    params: Params = Params(), history: DataFrame | None = None, outbox_path: str | None = None,
-                    feed_path: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Follow the closed-bucket table and write ANOMALY rows, one directory per batch.
+def with_history(closed: DataFrame, params: Params = Params(), history: DataFrame | None = None) -> DataFrame:
+    """METRIC rows and `fresh`: the new buckets of a stream of metrics, each series' with the last ones before them.
 
-    Each series' last buckets are carried from batch to batch in a small table (tail_path) in TAIL_PARTS parts by
-    series. A batch reads, and writes anew, the parts of the series it brings, and only these series go through the
-    detectors; it never scans the metrics table. A replayed batch reads the versions it read before.
-    `history` (for instance a backfill) gives each series its past when it first shows up. Alerts and feed
-    messages are made from the stored findings, after they are stored; each is off unless given a path.
+    A series' last buckets are keyed state of its own, so a batch reads and writes the series that it brings and no other.
+    `history` (for instance a backfill) is the state to begin with.
     """
     n = params.longest_history
-    known = None if history is None else latest_rows(history.select(*METRIC.fieldNames()), n)
-    part = F.pmod(F.hash(*SERIES), F.lit(TAIL_PARTS))
 
-    def past(session: SparkSession, parts: list[str], batch_id: int) -> DataFrame:
-        folders = before(session, tail_path, "part", parts, batch_id)
-        stored = session.read.schema(METRIC).parquet(*folders) if folders else session.createDataFrame([], METRIC)
-        if known is None:
-            return stored
-        fresh_parts = [p for p in parts if not any(f"/part={p}/" in f for f in folders)]
-        return stored.unionByName(known.where(part.cast("string").isin(fresh_parts)))
+    def keyed(metrics: DataFrame) -> DataFrame:
+        rest = [c for c in METRIC.fieldNames() if c != "minute_bucket"]
+        return metrics.select(F.unix_micros("minute_bucket").alias("bucket"), *rest)
+
+    past = None if history is None else keyed(latest_rows(history.select(*METRIC.fieldNames()), n)).groupBy(*SERIES)
+    told = keyed(closed.withWatermark("minute_bucket", "0 seconds")).groupBy(*SERIES).transformWithStateInPandas(
+        SeriesTail(n, params.series_ttl_seconds), SeriesTail.OUTPUT, "Append", "EventTime", past
+    )
+    return told.withColumn("minute_bucket", F.timestamp_micros("bucket")).select(*METRIC.fieldNames(), "fresh")
+
+
+def start_detection(spark: SparkSession, metrics_path: str, anomalies_path: str, checkpoint: str, params: Params = Params(),
+                    history: DataFrame | None = None, outbox_path: str | None = None, feed_path: str | None = None,
+                    trigger: dict | None = None, max_files: int = FILES_PER_BATCH) -> StreamingQuery:
+    """Follow the closed-bucket table and write ANOMALY rows, one directory per batch.
+
+    The detectors see the new buckets with the history of with_history; the metrics table is never scanned. A replayed
+    batch finds the state that it found before. Alerts and feed messages are made from the stored findings, after they are
+    stored; each is off unless given a path.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = fullest(batch.select(*METRIC.fieldNames())).withColumn("part", part).persist()
-        # At most TAIL_PARTS numbers.
-        parts = [str(r.part) for r in rows.select("part").distinct().orderBy("part").collect()]
-        tail = past(session, parts, batch_id)
-        # Buckets of a series arrive in order, so anything not newer was seen in an earlier run.
-        newest = tail.groupBy(*SERIES).agg(F.max("minute_bucket").alias("_newest"))
-        fresh = (
-            rows.drop("part")
-            .join(newest, SERIES, "left")
-            .where(F.col("_newest").isNull() | (F.col("minute_bucket") > F.col("_newest")))
-            .drop("_newest")
-            .persist()
-        )
-        touched = tail.join(fresh.select(*SERIES).distinct(), SERIES, "left_semi")
-        write_batch(detect(fresh, params, earlier=touched), anomalies_path, batch_id)
+        batch.persist()
+        fresh, past = batch.where("fresh").drop("fresh"), batch.where("NOT fresh").drop("fresh")
+        write_batch(detect(fresh, params, earlier=past), anomalies_path, batch_id)
         if outbox_path or feed_path:
             stored = read_batches(session, anomalies_path, ANOMALY, batch_id=batch_id)
             if outbox_path:
                 write_batch(alert_outbox(stored), outbox_path, batch_id)
             if feed_path:
                 anomaly_messages(stored).write.mode("overwrite").text(f"{feed_path}/batch_id={batch_id}")
-        latest = latest_rows(tail.unionByName(fresh), n).withColumns({"part": part, "batch_id": F.lit(batch_id)})
-        (
-            latest.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("part", "batch_id").parquet(tail_path)
-        )
-        retire(session, tail_path, "part", parts, batch_id)
-        fresh.unpersist()
-        rows.unpersist()
+        batch.unpersist()
 
     ensure_table(spark, metrics_path, METRIC)
-    closed = spark.readStream.schema(METRIC).option("ignoreMissingFiles", "true").parquet(metrics_path)
+    reader = spark.readStream.schema(METRIC).option("ignoreMissingFiles", "true").option("maxFilesPerTrigger", max_files)
     return (
-        closed.writeStream.queryName("detection")
+        with_history(reader.parquet(metrics_path), params, history)
+        .writeStream.queryName("detection")
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or EVERY_5_SECONDS))
         .foreachBatch(process)
