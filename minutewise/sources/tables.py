@@ -15,7 +15,6 @@ from ..operators.rollup import rollup
 from ..params import Params
 from ..schemas import ANOMALY, BUCKET_KEY, INCIDENT, LABEL, METRIC, SERIES
 from ..session import cut
-from .versions import children, delete
 
 
 _DATED_METRIC = T.StructType([*METRIC.fields, T.StructField("bucket_date", T.DateType())])
@@ -163,19 +162,18 @@ def upsert_metrics(updates: DataFrame, path: str, order: str | None = None) -> N
 
 
 def compact_metrics(spark: SparkSession, closed: str, daily: str, before: date) -> list[date]:
-    """Move the days before a date from the live table's batch folders into the day files of write_metrics.
+    """Copy the days before a date from the live table's batch folders into the day files of write_metrics.
 
-    A bucket the daily table has already (from a repair) stays as it is there. Folders go after their rows are in
-    place; a run that breaks off between leaves rows in both, which read_metrics(closed, daily) sees once.
+    A bucket the daily table has already (from a repair) stays as it is there. read_metrics(closed, daily) sees every row once
+    before, during and after; the batch folders of the days given back may go as the storage's own rules have it.
     """
-    listed = [date.fromisoformat(d) for d in children(spark, closed, "bucket_date")]
-    days = [d for d in listed if d < before]
+    live = read_batches(spark, closed, _DATED_METRIC, end=datetime.combine(before, time(), timezone.utc))
+    # One value per day folder.
+    days = sorted(row.bucket_date for row in live.select("bucket_date").distinct().collect())
     if days:
         until = datetime.combine(max(days), time(), timezone.utc) + timedelta(days=1)
         begin = datetime.combine(min(days), time(), timezone.utc)
         write_metrics(cut(read_metrics(spark, closed, daily, begin, until)), daily)
-        for day in days:
-            delete(spark, f"{closed}/bucket_date={day.isoformat()}")
     return days
 
 

@@ -11,7 +11,6 @@ from ..operators.rollup import rollup_values
 from ..params import Params
 from ..schemas import SERIES, VALUE_COUNT
 from ..sources.tables import write_batch
-from ..sources.versions import read_mark, write_mark
 from .ingest import EVERY_5_SECONDS
 
 
@@ -34,26 +33,13 @@ def closed_values(events: DataFrame, params: Params = Params(), dedupe: bool = F
 
 def start_metrics(events: DataFrame, path: str, checkpoint: str, params: Params = Params(), dedupe: bool = False,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Write METRIC rows of closed buckets, one directory per batch; a replayed batch replaces its own.
-
-    Where events are deduplicated first, Spark compares them with the watermark of one batch before, so that a late one
-    can open a bucket again. What comes of a bucket that ended no later than one written earlier is late, and dropped.
-    """
-    marks = f"{path.rstrip('/')}-closed"
-    end = F.unix_micros("minute_bucket") + params.window_seconds * 1_000_000
+    """Write METRIC rows of closed buckets, one directory per batch."""
 
     def write(values: DataFrame, batch_id: int) -> None:
-        spark = values.sparkSession
-        done = read_mark(spark, marks, batch_id)
-        if done is not None:
-            values = values.where(end > done)
         values.persist()
-        newest = values.agg(F.max(end)).first()[0]
         # A series' buckets of a batch share a file, so a reader that follows the files sees them in order.
         metrics = rollup_values(values, params).repartition(*SERIES).sortWithinPartitions(*SERIES, "minute_bucket")
         write_batch(metrics, path, batch_id)
-        if newest is not None:
-            write_mark(spark, marks, batch_id, newest)
         values.unpersist()
 
     return (
