@@ -18,7 +18,7 @@ from minutewise.plans import evaluation as ev
 from minutewise.plans import summaries as sm
 from minutewise.session import configure, cut, shared_folder
 from minutewise.sources import events as src
-from minutewise.sources import tables
+from minutewise.sources import log, tables
 from minutewise.sources.request_view import RAW_EVENTS, as_requests, request_events
 from minutewise.streaming import detection as sdet
 from minutewise.streaming import ingest, live, progress
@@ -328,6 +328,44 @@ def stream_ingest(spark, d):
     return rejected.unionByName(accepted)
 
 
+def stream_log(spark, d):
+    """The append log: read in batches of a quarter, stopped, and read on from where it was after more came in."""
+    home = shared_folder(configure(spark))
+    lines = cut(_json_lines(spark, d))
+    limit = max(lines.count() // 4, 1)
+    for segment in range(3):
+        log.append_segment(lines.where(F.pmod(F.xxhash64("raw"), F.lit(3)) == segment), f"{home}/log", segment)
+        if segment:
+            raw = log.stream_log(spark, f"{home}/log", "ingest", limit)
+            query = ingest.start_ingest(raw, f"{home}/table", f"{home}/cp", trigger={"processingTime": "0 seconds"})
+            query.processAllAvailable()
+            query.stop()
+    rejected = ingest.rejected_events(spark, f"{home}/table").groupBy("reject_reason").agg(F.count("*").alias("n"))
+    accepted = ingest.accepted_events(spark, f"{home}/table").agg(F.lit("accepted").alias("reject_reason"), F.count("*").alias("n"))
+    return rejected.unionByName(accepted)
+
+
+def lag_feed(spark, d):
+    """The lag messages of an ingest in eight batches, read from the feed."""
+    home = shared_folder(configure(spark))
+    lines = cut(_json_lines(spark, d))
+    log.append_segment(lines, f"{home}/log", 0)
+    limit = (lines.count() + 7) // 8
+    feed = progress.LagFeed(spark, f"{home}/reports", f"{home}/log", "ingest", f"{home}/feed")
+    spark.streams.addListener(feed)
+    try:
+        raw = log.stream_log(spark, f"{home}/log", "ingest", limit)
+        query = ingest.start_ingest(raw, f"{home}/table", f"{home}/cp", trigger={"processingTime": "0 seconds"})
+        query.processAllAvailable()
+        query.stop()
+        feed.settle(query.runId)
+    finally:
+        spark.streams.removeListener(feed)
+    told = _fields(spark.read.text(f"{home}/feed"), "value", {"type": "string", "stream_length": "bigint", "pending_count": "bigint", "lag": "bigint"})
+    # How much of the rows behind a message runs by its time is up to the clock.
+    return told.select("type", "stream_length", "lag", F.col("pending_count").between(0, F.col("lag")).alias("bounded")).distinct()
+
+
 def stream_metrics(spark, d):
     home = shared_folder(configure(spark))
     _finish(smet.start_metrics(_stream_requests(spark, d), f"{home}/closed", f"{home}/cp", SIX_HOURS, True, ONCE))
@@ -381,6 +419,7 @@ def stream_backlog(spark, d):
     return log.read().groupBy("name").agg(
         F.sum("input_rows").alias("rows_in"), F.sum("dropped_rows").alias("dropped"),
         (F.countDistinct("batch_id") > 100).alias("over_100_batches"),
+        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.sum("bytes").alias("bytes"),
     )
 
 
@@ -578,6 +617,8 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "repaired_metrics": repaired_metrics,
         "upserted_metrics": upserted_metrics,
         "stream_ingest": stream_ingest,
+        "stream_log": stream_log,
+        "lag_feed": lag_feed,
         "stream_metrics": stream_metrics,
         "stream_live": stream_live,
         "stream_detection": stream_detection,
@@ -891,11 +932,16 @@ def _telemetry_sql() -> dict[str, str]:
   SELECT {_METRIC_OUT} FROM m WHERE service >= 'svc2' UNION ALL SELECT {_METRIC_OUT} FROM p WHERE service < 'svc2'""",
         "stream_ingest": _with(_REQ, _JSON) + """SELECT reject_reason, count(*) AS n FROM verdict GROUP BY 1
   UNION ALL SELECT 'accepted', count(*) FROM judged WHERE reject_reason IS NULL""",
+        "stream_log": _with(_REQ, _JSON) + """SELECT reject_reason, count(*) AS n FROM verdict GROUP BY 1
+  UNION ALL SELECT 'accepted', count(*) FROM judged WHERE reject_reason IS NULL""",
+        "lag_feed": """SELECT DISTINCT 'lag' AS type, n AS stream_length, greatest(n - k * ((n + 7) // 8), 0) AS lag, true AS bounded
+  FROM (SELECT count(*) AS n FROM events), range(1, 9) t(k)""",
         "stream_metrics": m + f"""SELECT {_METRIC_OUT} FROM m
   WHERE minute_bucket + INTERVAL 6 HOUR <= (SELECT max(ts) FROM req) - INTERVAL 120 SECOND""",
         "stream_live": m + f"""SELECT 'metric_point' AS type, service, endpoint, {iso}, request_count, error_count,
   round(p95, 6) AS p95 FROM m""",
         "stream_detection": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
-        "stream_backlog": """SELECT 'ingest' AS name, count(*) AS rows_in, CAST(0 AS BIGINT) AS dropped,
-  true AS over_100_batches FROM events""",
+        "stream_backlog": _with(_REQ, _JSON) + """SELECT 'ingest' AS name, n AS rows_in, CAST(0 AS BIGINT) AS dropped,
+  true AS over_100_batches, n - bad AS accepted, bad AS rejected, bytes
+  FROM (SELECT count(*) AS n, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM j), (SELECT count(*) AS bad FROM verdict)""",
     }

@@ -103,5 +103,8 @@ PROGRESS = T.StructType(
         T.StructField("state_rows", T.LongType()),
         T.StructField("dropped_rows", T.LongType()),
         T.StructField("lag", T.LongType()),
+        T.StructField("accepted", T.LongType()),
+        T.StructField("rejected", T.LongType()),
+        T.StructField("bytes", T.LongType()),
     ]
 )

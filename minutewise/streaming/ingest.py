@@ -30,10 +30,15 @@ def ingested(raw: DataFrame, params: Params = Params()) -> DataFrame:
 
 def start_ingest(raw: DataFrame, table: str, checkpoint: str, params: Params = Params(),
                  trigger: dict | None = None) -> StreamingQuery:
-    """Append to the table through the file sink, whose log makes every row count once for later readers."""
+    """Append to the table through the file sink, whose log makes every row count once for later readers.
+
+    Every report of the query tells how much its batch took in: observed as `arrived` (bytes) and `judged` (accepted, rejected).
+    """
+    arrived = raw.observe("arrived", F.sum(F.octet_length("raw")).alias("bytes"))
+    accepted = F.count_if("accepted").alias("accepted")
+    judged = ingested(arrived, params).observe("judged", accepted, F.count_if(~F.col("accepted")).alias("rejected"))
     return (
-        ingested(raw, params)
-        .writeStream.queryName("ingest")
+        judged.writeStream.queryName("ingest")
         .format("parquet")
         .partitionBy("accepted", "event_date")
         .option("path", table)

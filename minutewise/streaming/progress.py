@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Iterable
 from threading import Event, Lock
 
@@ -13,12 +15,14 @@ from pyspark.sql.streaming import StreamingQueryListener
 from ..functions.messages import envelope, lag
 from ..functions.scalar import backlog_class
 from ..schemas import PROGRESS
+from ..sources.log import Log, Offset
 
 _REPORT = (
     "name string, timestamp timestamp, batchId bigint, numInputRows bigint, inputRowsPerSecond double, "
     "processedRowsPerSecond double, "
     "stateOperators array<struct<numRowsTotal: bigint, numRowsDroppedByWatermark: bigint>>, "
-    "sources array<struct<metrics: map<string, string>>>"
+    "sources array<struct<metrics: map<string, string>>>, "
+    "observedMetrics struct<arrived: struct<bytes: bigint>, judged: struct<accepted: bigint, rejected: bigint>>"
 )
 
 
@@ -79,6 +83,43 @@ class ProgressLog(StreamingQueryListener):
         return parse_progress(lines)
 
 
+class LagFeed(ProgressLog):
+    """A log of reports that also publishes a lag message to the live feed after every poll of one query of an append log.
+
+    stream_length counts the rows of the log, lag those behind the reported batch, and pending_count how many of these
+    are in a batch that runs by now. A message that can't be published is left out: the query goes on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, log_path: str, group: str, feed_path: str, query: str = "ingest", every: int = 20):
+        super().__init__(spark, path, every)
+        self._log, self._group, self._feed, self._query = Log(log_path), group, feed_path, query
+        self._followed: dict[str, Offset] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        if event.name == self._query:
+            self._followed[str(event.runId)] = self._log.position(self._group)[1]
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        super().onQueryProgress(event)
+        run = str(event.progress.runId)
+        if run in self._followed:
+            self._followed[run] = Offset(**json.loads(event.progress.sources[0].endOffset))
+            self._publish(self._followed[run])
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        if str(event.runId) in self._followed:
+            self._publish(self._followed[str(event.runId)])
+
+    def _publish(self, end: Offset) -> None:
+        try:
+            newest, (handed, _) = self._log.after(Offset(), None), self._log.position(self._group)
+            counts = (self._log.between(Offset(), newest), self._log.between(end, handed), self._log.between(end, newest))
+            rows = self._spark.createDataFrame([counts], "stream_length bigint, pending_count bigint, lag bigint")
+            lag_messages(rows).coalesce(1).write.mode("append").text(self._feed)
+        except Exception:
+            logging.getLogger(__name__).exception("no lag message")
+
+
 def progress_table(spark: SparkSession, reports: Iterable) -> DataFrame:
     """PROGRESS rows from progress reports (objects or their JSON text) at hand; ProgressLog keeps all of them.
 
@@ -114,6 +155,9 @@ def parse_progress(lines: DataFrame) -> DataFrame:
         total("numRowsTotal").alias("state_rows"),
         total("numRowsDroppedByWatermark").alias("dropped_rows"),
         F.array_max(said).alias("lag"),
+        F.col("observedMetrics.judged.accepted").alias("accepted"),
+        F.col("observedMetrics.judged.rejected").alias("rejected"),
+        F.col("observedMetrics.arrived.bytes").alias("bytes"),
     ).select(*PROGRESS.fieldNames())
 
 

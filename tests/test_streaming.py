@@ -236,6 +236,47 @@ def test_detection_follows_closed_buckets(spark, tmp_path):
     assert {json.loads(r.value)["type"] for r in spark.read.text(run.path("alerts")).collect()} == {"anomaly"}
 
 
+def test_one_of_many_series_is_touched(spark, tmp_path, monkeypatch):
+    run = Run(spark, tmp_path, Params(series_ttl_seconds=3600))
+    tables.write_batch(spark.range(10_000).select(
+        F.lit(minute(0)).alias("minute_bucket"), F.concat(F.lit("s"), "id").alias("service"), F.lit("/x").alias("endpoint"),
+        *[F.lit(v).cast(k).alias(c) for c, v, k in (("request_count", 5, "long"), ("error_count", 0, "long"), ("p50", 1, "double"), ("p95", 1, "double"), ("p99", 1, "double"))],
+    ), run.path("closed"), 0)
+    seen = []
+    monkeypatch.setattr(detection, "detect", lambda m, p, earlier: (seen.append((m.count(), earlier.count())), detect(m, p, earlier=earlier))[1])
+    run.detect()
+    tables.write_batch(spark.createDataFrame([steady(1, series="s7")], METRIC), run.path("closed"), 1)
+    run.detect()
+    assert [s for s in seen if s != (0, 0)] == [(10_000, 0), (1, 1)]
+
+    def remembered():
+        held = spark.read.format("statestore").option("path", run.path("cp/d")).option("stateVarName", "tail").load()
+        return {r.service for r in held.select("key.service").distinct().collect()}
+
+    assert len(remembered()) == 10_000
+    # An hour on, the series that brought nothing since are forgotten.
+    tables.write_batch(spark.createDataFrame([steady(60 + k, series="s7") for k in (0, 9)], METRIC), run.path("closed"), 2)
+    run.detect()
+    assert remembered() == {"s7"}
+
+
+def test_live_state_over_a_break_and_in_parts(spark, tmp_path):
+    """A batch that breaks after its messages were written comes again as it was, however many parts a bucket has."""
+    for parts in (1, 5):
+        run = Run(spark, tmp_path / str(parts), Params(live_parts=parts))
+        run.drop([(k, k % 50, k) for k in range(1, 40)])
+        run.publish()
+        run.drop([(50, 30, 7), (51, 31, 100)])
+        broken = live.open_values(run.events(), run.params).writeStream.outputMode("append").option("checkpointLocation", run.path("cp/l"))
+        query = broken.trigger(**ONCE).foreachBatch(lambda batch, n: (batch.count(), 1 / 0)).start()
+        with pytest.raises(Exception):
+            query.awaitTermination()
+        run.publish()
+        messages = [json.loads(r.value) for r in spark.read.text(run.path("feed")).collect()]
+        assert sorted(m["request_count"] for m in messages) == [39, 41]
+        assert max(m["p99"] for m in messages) > 70
+
+
 def test_detection_starts_from_a_backfill(spark, tmp_path):
     run = Run(spark, tmp_path)
     past = spark.createDataFrame([steady(b) for b in range(30)], METRIC)
