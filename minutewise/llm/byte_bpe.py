@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,36 +122,37 @@ def encode_with_offsets(params: BytePairParams = BytePairParams()):
     return offsets
 
 
+@functools.cache
+def _strings(params: BytePairParams) -> tuple[pa.Array, pa.Array]:
+    """The bytes of every id, and its decimal digits."""
+    table = _table(params)[0]
+    return pa.array(table, pa.binary()), pa.array([str(k) for k in range(len(table))], pa.string())
+
+
 def decode(params: BytePairParams = BytePairParams()):
     """A function of an id list column that gives the bytes; null for null."""
 
     @F.arrow_udf("binary")
     def raw(ids: pa.Array) -> pa.Array:
-        table = _table(params)[0]
-        flat = np.asarray(ids.flatten()).tolist()
-        out, at = [], 0
-        for n in ids.value_lengths().to_pylist():
-            out.append(None if n is None else b"".join(map(table.__getitem__, flat[at : at + n])))
-            at += n or 0
-        return pa.array(out, pa.binary())
+        taken = _strings(params)[0].take(ids.flatten())
+        # The bytes of all ids lie in one row already; a text is what lies between its first and its last.
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+        bounds = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)[ends] if len(taken) else np.zeros(len(ends), np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), taken.buffers()[2] or pa.py_buffer(b"")])
+        return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary()))
 
     return raw
 
 
-def ids_digest(ids):
+def ids_digest(ids, params: BytePairParams = BytePairParams()):
     """sha256 of the decimal ids of a list column, joined by one space."""
 
     @F.arrow_udf("string")
     def digest(column: pa.Array) -> pa.Array:
-        import hashlib
-
-        flat = np.asarray(column.flatten())
-        decimal = [str(k) for k in range(int(flat.max(initial=0)) + 1)]
-        flat, out, at = flat.tolist(), [], 0
-        for n in column.value_lengths().to_pylist():
-            out.append(hashlib.sha256(" ".join(map(decimal.__getitem__, flat[at : at + n])).encode()).hexdigest())
-            at += n
-        return pa.array(out, pa.string())
+        digits = _strings(params)[1].take(column.flatten())
+        ends = np.cumsum([0, *pc.fill_null(column.value_lengths(), 0).to_pylist()]).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), digits), " ")
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string())
 
     return digest(ids)
 
@@ -160,13 +163,14 @@ def round_trip(docs: DataFrame, params: BytePairParams = BytePairParams()) -> Da
     return ids.select("doc_id", "ids", decode(params)(F.col("ids")).alias("decoded"))
 
 
-def digested(coded: DataFrame) -> DataFrame:
-    """What round_trip gives, as counts and digests."""
+def digested(coded: DataFrame, *more: str) -> DataFrame:
+    """What round_trip gives, as counts and digests; and more of its columns."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

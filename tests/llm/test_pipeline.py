@@ -1,6 +1,5 @@
 """The corpus pipeline against its stages by brute force, on the smallest tables and on odd documents."""
 
-import itertools
 import re
 from pathlib import Path
 
@@ -8,7 +7,7 @@ import duckdb
 import pytest
 from frames import ODD
 from test_containment import slow as slow_items
-from test_simhash import joined, slow_fingerprint
+from test_near_copies import slow_kept
 
 import __spark_entry__ as app
 import corpus_pipeline as pipeline
@@ -21,13 +20,8 @@ DATA = Path("/root/testdata/sf0.001")
 
 def brute(rows, items):
     """doc_id -> text after the first four stages, of documents that all have a letter."""
-    prints = {i: slow_fingerprint(t) for i, t in rows}
-    near = [(a, b) for a, b in itertools.combinations(set(prints.values()), 2) if (a ^ b).bit_count() <= 2]
-    root = joined(near, set(prints.values()))
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(root[prints[i]], i)
-    kept = [(i, t) for i, t in rows if first[root[prints[i]]] == i]
+    stay = slow_kept(rows)
+    kept = [(i, t) for i, t in rows if i in stay]
     bad = {d for d, _, _ in slow_items(kept, items)}
     out = {}
     for i, text in kept:
@@ -53,7 +47,9 @@ def test_stages_on_documents(spark):
     want = brute([r for r in rows if re.search(r"[^\W\d_]", r[1])], items)
     assert got == {i: (t, len(t)) for i, t in want.items()}
     last = pipeline.STAGES[-1][1](spark, docs, str(DATA))
-    assert {r.doc_id for r in last.collect()} == set(want)
+    tokens = last.collect()
+    assert {r.doc_id for r in tokens} == set(want)
+    assert all(len(r.ids) == r.n_tokens for r in tokens)
 
 
 def test_stages_on_odd_documents(spark, tmp_path):
