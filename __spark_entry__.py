@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -403,6 +404,81 @@ def stream_outbox(spark, d):
     return _plain(alerts.where("detector <> 'isolation_forest'"))
 
 
+def zscore_p95_stored(spark, d):
+    """From a table by days: the second half of the month, with history from as few earlier days as hold it."""
+    wanted, earlier = tables.read_since(spark, _daily_batches(spark, d), SINCE, SIX_HOURS.longest_history)
+    return _plain(det.zscore(wanted, "p95", SIX_HOURS, earlier=earlier))
+
+
+def _broken_detection(spark, d, home):
+    """Metrics and detection at once, where no finding can be stored: a file stands in the way of their folder."""
+    spark.createDataFrame([("in the way",)], "value string").coalesce(1).write.text(f"{home}/block")
+    taken = spark.read.text(f"{home}/block").inputFiles()[0]
+    closing = smet.start_metrics(_stream_requests(spark, d), f"{home}/closed", f"{home}/cp/m", SIX_HOURS, True, ONCE)
+    _finish(closing)
+    finding = sdet.start_detection(spark, f"{home}/closed", f"{taken}/anomalies", f"{home}/cp/d", SIX_HOURS, trigger=ONCE)
+    try:
+        _finish(finding)
+    except StreamingQueryException:
+        return
+    raise AssertionError("detection was to fail")
+
+
+def isolated_metrics(spark, d):
+    """Closed metrics of a run in which detection fails: all of them."""
+    home = shared_folder(configure(spark))
+    _broken_detection(spark, d, home)
+    return _plain(tables.read_metrics(spark, f"{home}/closed"))
+
+
+def recovered_detection(spark, d):
+    """What detection finds when it goes on, with its checkpoint, after it failed on a batch."""
+    home = shared_folder(configure(spark))
+    _broken_detection(spark, d, home)
+    _finish(sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/cp/d", SIX_HOURS, trigger=ONCE))
+    found = tables.read_anomalies(spark, f"{home}/anomalies")
+    names = F.when(F.col("detector") == "isolation_forest", "forest").otherwise("statistical").alias("kind")
+    # A forest's finding has no SQL, but its bucket has a history.
+    counts = F.count_if(F.col("detector") != "isolation_forest").alias("n"), F.min("score").isNotNull().alias("scored")
+    return found.groupBy(names).agg(*counts)
+
+
+def state_after_replay(spark, d):
+    """The state of open buckets, read from the store, after a break between writing a batch and committing it."""
+    home = shared_folder(configure(spark))
+
+    def written_and_broken(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{home}/half/batch_id={batch_id}")
+        raise RuntimeError("broken on purpose")
+
+    values = smet.closed_values(_stream_requests(spark, d), SIX_HOURS)
+    broken = values.writeStream.option("checkpointLocation", f"{home}/cp").trigger(**ONCE).foreachBatch(written_and_broken).start()
+    try:
+        _finish(broken)
+    except StreamingQueryException:
+        pass
+    _finish(smet.start_metrics(_stream_requests(spark, d), f"{home}/closed", f"{home}/cp", SIX_HOURS, trigger=ONCE))
+    held = spark.read.format("statestore").load(f"{home}/cp").select("key.*", "value.*")
+    named = held.toDF("window", "service", "endpoint", "latency_ms", "n", "errors")
+    return _plain(named.select(F.col("window.start").alias("minute_bucket"), *named.columns[1:]))
+
+
+def stream_forest(spark, d):
+    """Every bucket with enough history for a forest, and whether stream and batch say the same of it."""
+    home = shared_folder(configure(spark))
+    metrics = _stored_metrics(spark, d)
+    for batch in range(2):
+        tables.write_batch(metrics.where((F.col("minute_bucket") < F.lit(SINCE)) == F.lit(batch == 0)), f"{home}/closed", batch)
+        _finish(sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/cp", SIX_HOURS, trigger=ONCE))
+    key = ["minute_bucket", "service", "endpoint"]
+    streamed = tables.read_anomalies(spark, f"{home}/anomalies").where("detector = 'isolation_forest'").select(*key, F.col("score").alias("streamed"))
+    told = det.scored(metrics, SIX_HOURS).select(*key, "forest")
+    ready = det._with_history(metrics, SIX_HOURS, None, None, None).where(F.size("_forest_history") >= SIX_HOURS.forest_min_history).select(*key)
+    met = told.join(streamed, key, "full").join(ready.withColumn("ready", F.lit(True)), key, "left")
+    shown = met.where("ready OR forest IS NOT NULL OR streamed IS NOT NULL")
+    return _plain(shown.select(*key, F.coalesce("ready", F.lit(False)).alias("eligible"), F.col("forest").eqNullSafe(F.col("streamed")).alias("same")))
+
+
 def stream_backlog(spark, d):
     """More batches than Spark keeps reports of, one file each, all of them in the log of reports."""
     home = shared_folder(configure(spark))
@@ -582,6 +658,11 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "zscore_p95_split": lambda s, d: _plain(det.zscore(_stored_metrics(s, d), "p95", SPLIT)),
         "zscore_p95_since": lambda s, d: _plain(det.zscore(_stored_metrics(s, d), "p95", SIX_HOURS, SINCE)),
+        "zscore_p95_stored": zscore_p95_stored,
+        "isolated_metrics": isolated_metrics,
+        "recovered_detection": recovered_detection,
+        "state_after_replay": state_after_replay,
+        "stream_forest": stream_forest,
         "anomalies_forest": lambda s, d: _plain(det.forest(_stored_metrics(s, d), SIX_HOURS)),
         "anomalies_fused": lambda s, d: _plain(
             det.detect(_stored_metrics(s, d), SIX_HOURS, created_at=F.lit(NOW))
@@ -849,6 +930,17 @@ def _telemetry_sql() -> dict[str, str]:
         "anomalies_stat": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
         "zscore_p95_split": hist + f"{score} zscore_p95",
         "zscore_p95_since": hist + f"{score} zscore_p95 WHERE minute_bucket >= TIMESTAMP '2024-01-15'",
+        "zscore_p95_stored": hist + f"{score} zscore_p95 WHERE minute_bucket >= TIMESTAMP '2024-01-15'",
+        "isolated_metrics": m + f"""SELECT {_METRIC_OUT} FROM m
+  WHERE minute_bucket + INTERVAL 6 HOUR <= (SELECT max(ts) FROM req) - INTERVAL 120 SECOND""",
+        "recovered_detection": hist + """SELECT 'statistical' AS kind, count(*) AS n, true AS scored FROM stat
+  WHERE minute_bucket + INTERVAL 6 HOUR <= (SELECT max(ts) FROM req) - INTERVAL 120 SECOND
+  UNION ALL SELECT 'forest', 0, true""",
+        "state_after_replay": _with(_REQ) + """SELECT * FROM (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS minute_bucket,
+  service, endpoint, latency_ms, count(*) AS n, count(*) FILTER (WHERE status_code >= 500) AS errors FROM req GROUP BY 1, 2, 3, 4)
+  WHERE minute_bucket + INTERVAL 6 HOUR > (SELECT max(ts) FROM req) - INTERVAL 120 SECOND""",
+        "stream_forest": hist + f"""SELECT {key}, true AS eligible, true AS same FROM (SELECT *, count(*) OVER (PARTITION BY service, endpoint
+  ORDER BY minute_bucket ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS n30 FROM r) WHERE n30 >= 30""",
         "distinct_flagged": hist + "SELECT * FROM flagged WHERE minute_bucket >= TIMESTAMP '2024-01-14 23:59:00'",
         "incident_labels": _with(_REQ, _INC) + f"""SELECT {key}, min(seq) AS seq, arg_min(kind, seq) AS kind
   FROM hit GROUP BY ALL""",

@@ -30,7 +30,8 @@ def detect(metrics: DataFrame, params: Params = Params(), since: datetime | None
            earlier: DataFrame | None = None, created_at: Column | None = None) -> DataFrame:
     """ANOMALY rows of every bucket (from `since` on) that any detector flags.
 
-    `earlier` holds buckets that serve as history only, for callers that keep each series' last ones.
+    `earlier` holds buckets that serve as history only, for callers that keep each series' last ones or have them from
+    tables.read_since; `since` itself is for metrics at hand, all of which it looks through.
     """
     return findings(scored(metrics, params, since, earlier), params, created_at)
 
@@ -59,14 +60,16 @@ def scored(metrics: DataFrame, params: Params = Params(), since: datetime | None
     return out.withColumn("forest", score("_past", "_now")).drop("_past", "_now")
 
 
-def zscore(metrics: DataFrame, signal: str, params: Params = Params(), since: datetime | None = None) -> DataFrame:
+def zscore(metrics: DataFrame, signal: str, params: Params = Params(), since: datetime | None = None,
+           earlier: DataFrame | None = None) -> DataFrame:
     """Buckets whose signal is zscore_threshold sample deviations or more from the recent mean."""
-    return _hits(metrics, f"zscore_{_signal(signal)}", params, since)
+    return _hits(metrics, f"zscore_{_signal(signal)}", params, since, earlier)
 
 
-def ewma(metrics: DataFrame, signal: str, params: Params = Params(), since: datetime | None = None) -> DataFrame:
+def ewma(metrics: DataFrame, signal: str, params: Params = Params(), since: datetime | None = None,
+         earlier: DataFrame | None = None) -> DataFrame:
     """Same against an exponentially weighted mean and deviation."""
-    return _hits(metrics, f"ewma_{_signal(signal)}", params, since)
+    return _hits(metrics, f"ewma_{_signal(signal)}", params, since, earlier)
 
 
 def forest(metrics: DataFrame, params: Params = Params(), since: datetime | None = None) -> DataFrame:
@@ -146,8 +149,8 @@ def _ewma(signal: str, ready: Column, params: Params) -> Column:
     return F.when(ready & (F.abs(z) >= params.zscore_threshold), z)
 
 
-def _hits(metrics: DataFrame, column: str, params: Params, since: datetime | None) -> DataFrame:
-    rows = scored(metrics, params, since, with_forest=False)
+def _hits(metrics: DataFrame, column: str, params: Params, since: datetime | None, earlier: DataFrame | None) -> DataFrame:
+    rows = scored(metrics, params, since, earlier, with_forest=False)
     return rows.where(F.col(column).isNotNull()).select(*BUCKET_KEY, F.col(column).alias("score"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import SERIES
+from ..session import cut
 
 CHUNK = [*SERIES, "_chunk"]
 
@@ -50,3 +54,21 @@ def latest_rows(metrics: DataFrame, n: int, before: Column | None = None) -> Dat
     rows = metrics if before is None else metrics.where(F.col("minute_bucket") < before)
     newest = W.partitionBy(*SERIES).orderBy(F.desc("minute_bucket"))
     return rows.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= n).drop("_nth")
+
+
+def search_back(read: Callable[[datetime, datetime], DataFrame], series: DataFrame, n: int, before: datetime, earliest: datetime) -> DataFrame:
+    """The last n buckets before a moment of every one of `series`, from a table that read(start, end) gives a range of.
+
+    Goes back a day, then two more, four more and so on, each time for the series that still lack rows, and ends when none
+    does or the table does: what lies before the days needed is never opened.
+    """
+    found, lacking, end, days = None, cut(series.distinct()), before, 1
+    while True:
+        start = max(end - timedelta(days=days), earliest)
+        older = read(start, end).join(lacking, SERIES, "left_semi")
+        found = cut(latest_rows(older if found is None else found.unionByName(older), n))
+        enough = found.groupBy(*SERIES).agg(F.count("*").alias("rows")).where(F.col("rows") >= n)
+        lacking = cut(lacking.join(enough.select(*SERIES), SERIES, "left_anti"))
+        if start <= earliest or lacking.isEmpty():
+            return found
+        end, days = start, 2 * days

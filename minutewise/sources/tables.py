@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import bucket_start, instant, utc
 from ..operators.dedupe import fullest
+from ..operators.history import search_back
 from ..operators.rollup import rollup
 from ..params import Params
 from ..schemas import ANOMALY, BUCKET_KEY, INCIDENT, LABEL, METRIC, SERIES
@@ -115,6 +116,20 @@ def read_metrics(spark: SparkSession, closed: str, repaired: str | None = None,
     return untouched.unionByName(superseded).unionByName(fixed).select(*METRIC.fieldNames())
 
 
+def read_since(spark: SparkSession, closed: str, since: datetime, rows: int, repaired: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Metrics from a moment on, and the last rows of each of their series before it, from as few day folders as hold these."""
+    wanted = read_metrics(spark, closed, repaired, start=since)
+    dates = [read_batches(spark, closed, _DATED_METRIC)]
+    if repaired is not None:
+        dates.append(spark.read.schema(_DATED_METRIC).parquet(repaired))
+    # The dates are names of folders: no column is read for them.
+    known = [day for day in (d.agg(F.min("bucket_date")).first()[0] for d in dates) if day is not None]
+    since = utc(since)
+    earliest = min([datetime.combine(day, time(), timezone.utc) for day in known], default=since)
+    read = lambda start, end: read_metrics(spark, closed, repaired, start, end)
+    return wanted, search_back(read, wanted.select(*SERIES), rows, since, earliest)
+
+
 def _between(metrics: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
     if start is not None:
         metrics = metrics.where(F.col("minute_bucket") >= instant(start))

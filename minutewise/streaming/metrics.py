@@ -26,7 +26,8 @@ def closed_values(events: DataFrame, params: Params = Params(), dedupe: bool = F
         rows = rows.dropDuplicatesWithinWatermark(["event_id"])
     window = F.window("ts", f"{params.window_seconds} seconds")
     counted = rows.groupBy(window, *SERIES, "latency_ms").agg(
-        F.count("*").alias("n"), F.count_if(is_error("status_code")).alias("errors")
+        # A count and a sum, as the state names its columns after the functions.
+        F.count("*").alias("n"), F.sum(is_error("status_code").cast("bigint")).alias("errors")
     )
     return counted.withColumn("minute_bucket", F.col("window.start")).select(*VALUE_COUNT.fieldNames())
 
