@@ -11,6 +11,7 @@ from minutewise.operators import detect as det
 from minutewise.operators.history import latest_rows
 from minutewise.params import Params
 from minutewise.schemas import METRIC
+from minutewise.sources import tables
 
 STABLE = [61, 64, 58, 63, 60, 59, 62, 65, 57, 61]  # mean 61, deviation about 2.6
 
@@ -219,3 +220,25 @@ def test_forest_on_constant_and_long_histories():
 def test_unknown_signal(spark):
     with pytest.raises(ValueError):
         det.zscore(series(spark, STABLE), "p50")
+
+
+def test_history_is_searched_back_only_as_far_as_needed(spark, tmp_path, monkeypatch):
+    def days(name, numbers):
+        return [(minute(1440 * d + k), name, "/x", 10, 0, 1.0, 1.0, 1.0) for d in numbers for k in range(4)]
+
+    rows = days("dense", range(40)) + days("sparse", [2, 30, 39]) + days("gone", range(39))
+    tables.write_batch(spark.createDataFrame(rows, METRIC), str(tmp_path / "m"), 0)
+    asked = []
+    read = tables.read_metrics
+    monkeypatch.setattr(tables, "read_metrics", lambda s, c, r=None, start=None, end=None: (asked.append((start, end)), read(s, c, r, start, end))[1])
+    for n in (8, 9):
+        wanted, earlier = tables.read_since(spark, str(tmp_path / "m"), minute(1440 * 39), n)
+        assert wanted.count() == 8
+        got = sorted((r.service, r.minute_bucket) for r in earlier.collect())
+        past = [r for r in rows if r[0] < minute(1440 * 39)]
+        want = [(s, r[0]) for s in ("dense", "sparse") for r in [x for x in past if x[1] == s][-n:]]
+        assert [(s, m.replace(tzinfo=None)) for s, m in got] == sorted((s, m.replace(tzinfo=None)) for s, m in want)
+    asked.clear()
+    wanted, earlier = tables.read_since(spark, str(tmp_path / "m"), minute(1440 * 39), 4)
+    # Four rows of `dense` lie a day back, those of `sparse` nine; days before the second week are never opened.
+    assert earlier.count() == 8 and min(start for start, _ in asked[1:]) >= minute(1440 * 7) and len(asked) == 5

@@ -1,12 +1,12 @@
 import json
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import at, minute
 from pyspark.sql import functions as F
 
-from minutewise.operators.incidents import label_incidents, label_keys
+from minutewise.operators.incidents import covered, label_incidents, label_keys
 from minutewise.params import Params
 from minutewise.plans import evaluation as ev
 from minutewise.schemas import ANOMALY, EVENT, INCIDENT, LABEL, METRIC
@@ -159,3 +159,23 @@ def test_report(spark, tmp_path):
     data = json.loads(spark.read.text(path).first().value)
     assert data["scenario_name"] == "steady" and data["detection"]["recall"] == 0.5
     assert data["processing"]["processed_per_sec"] == 2.0 and data["live_latency"]["p99_ms"] == 100.0
+
+
+def test_long_incidents_are_few_rows(spark):
+    """Events of every bucket around incidents of all lengths, against each event by itself; a year is below 100 rows."""
+    rng = random.Random(8)
+    events = [("a", "/x", 200, 1.0, minute(k) + timedelta(seconds=rng.randrange(60))) for k in range(0, 300) for _ in range(rng.randrange(3))]
+    spans = [(n, minute(rng.randrange(280)) + timedelta(seconds=rng.randrange(60)), rng.randrange(1, 2 << rng.randrange(13))) for n in range(40)]
+    incidents = [(n, "a", "/x", start, start + timedelta(seconds=long), f"k{n}") for n, start, long in spans]
+    incidents += [(99, "b", "/x", minute(0), minute(300), "other"), (98, "a", "/x", minute(9), minute(9), "empty")]
+    got = label_incidents(spark.createDataFrame(events, EVENT), spark.createDataFrame(incidents, INCIDENT))
+    want = {}
+    for *_, ts in events:
+        for n, _, _, start, end, kind in incidents[:-2]:
+            if start <= ts < end:
+                bucket = ts.replace(second=0, tzinfo=None)
+                want[bucket] = min(want.get(bucket, (n, kind)), (n, kind))
+    assert {r.minute_bucket: (r.seq, r.kind) for r in got.collect()} == want and len(want) > 50
+    year = spark.createDataFrame([(1, "a", "/x", minute(17), minute(17 + 525_600), "year")], INCIDENT)
+    plan = covered(year, 60).collect()
+    assert len(plan) < 100 and sum(1 if r.level is None else 2**r.level for r in plan) == 525_600
