@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minutewise.functions import messages as msg
+from minutewise.operators import baselines, sketches
 from minutewise.operators import detect as det
 from minutewise.operators.dedupe import first_by_id, latest_points
 from minutewise.operators.incidents import label_incidents, label_keys
@@ -479,6 +480,18 @@ def stream_forest(spark, d):
     return _plain(shown.select(*key, F.coalesce("ready", F.lit(False)).alias("eligible"), F.col("forest").eqNullSafe(F.col("streamed")).alias("same")))
 
 
+def sketch_percentiles(spark, d):
+    """Per service, from sketches of six hours put together: are the percentiles within 3 % of their rank?"""
+    requests = _requests(spark, d)
+    told = sketches.with_percentiles(sketches.merged(sketches.sketched(requests, SIX_HOURS), ["service"]))
+    ranks = requests.join(told, "service").groupBy("service", "request_count", "error_count").agg(
+        *[(F.count_if(F.col("latency_ms") <= F.col(c)) / F.count("*")).alias(c) for c in ("p50", "p95", "p99")],
+        *[(F.count_if(F.col("latency_ms") < F.col(c)) / F.count("*")).alias(f"{c}_low") for c in ("p50", "p95", "p99")],
+    )
+    near = [((F.col(c) >= p - 0.03) & (F.col(f"{c}_low") <= p + 0.03)).alias(f"{c}_near") for c, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return ranks.select("service", "request_count", "error_count", *near)
+
+
 def stream_backlog(spark, d):
     """More batches than Spark keeps reports of, one file each, all of them in the log of reports."""
     home = shared_folder(configure(spark))
@@ -658,6 +671,12 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "zscore_p95_split": lambda s, d: _plain(det.zscore(_stored_metrics(s, d), "p95", SPLIT)),
         "zscore_p95_since": lambda s, d: _plain(det.zscore(_stored_metrics(s, d), "p95", SIX_HOURS, SINCE)),
+        "threshold_error_rate": lambda s, d: _plain(baselines.threshold(_metrics(s, d), "error_rate", 0.25, 2)),
+        "seasonal_p95": lambda s, d: _plain(baselines.seasonal(_stored_metrics(s, d), "p95", SIX_HOURS)),
+        "sketch_percentiles": sketch_percentiles,
+        "endpoints_after": lambda s, d: _plain(
+            sm.page_after(sm.endpoint_totals(_metrics(s, d), None, *JANUARY), ["service", "endpoint"], ["svc1", "/api/0"], 5)
+        ),
         "zscore_p95_stored": zscore_p95_stored,
         "isolated_metrics": isolated_metrics,
         "recovered_detection": recovered_detection,
@@ -930,6 +949,16 @@ def _telemetry_sql() -> dict[str, str]:
         "anomalies_stat": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
         "zscore_p95_split": hist + f"{score} zscore_p95",
         "zscore_p95_since": hist + f"{score} zscore_p95 WHERE minute_bucket >= TIMESTAMP '2024-01-15'",
+        "threshold_error_rate": m + f"""SELECT {key}, round(error_count / request_count / 0.25::DOUBLE, 6) AS score FROM m
+  WHERE request_count >= 2 AND error_count / request_count >= 0.25::DOUBLE""",
+        "seasonal_p95": m + f"""SELECT {key}, round((p95 - mean) / dev, 6) AS score FROM (
+  SELECT *, count(*) OVER w AS n, avg(p95) OVER w AS mean, stddev_samp(p95) OVER w AS dev FROM m WINDOW w AS (
+    PARTITION BY service, endpoint, hour(minute_bucket) ORDER BY CAST(minute_bucket AS DATE)
+    RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)) WHERE n >= 3 AND dev > 0 AND abs((p95 - mean) / dev) >= 3""",
+        "sketch_percentiles": _with(_REQ) + """SELECT service, count(*) AS request_count, count(*) FILTER (WHERE status_code >= 500) AS error_count,
+  true AS p50_near, true AS p95_near, true AS p99_near FROM req GROUP BY service""",
+        "endpoints_after": m + f"""SELECT service, endpoint, {_TOTALS} FROM m GROUP BY ALL
+  HAVING (service, endpoint) > ('svc1', '/api/0') ORDER BY service, endpoint LIMIT 5""",
         "zscore_p95_stored": hist + f"{score} zscore_p95 WHERE minute_bucket >= TIMESTAMP '2024-01-15'",
         "isolated_metrics": m + f"""SELECT {_METRIC_OUT} FROM m
   WHERE minute_bucket + INTERVAL 6 HOUR <= (SELECT max(ts) FROM req) - INTERVAL 120 SECOND""",

@@ -12,6 +12,7 @@ from ..functions.scalar import error_rate, health_class, instant, iso_utc, perce
 from ..operators.dedupe import first_by_id
 from ..params import Params
 from ..schemas import METRIC
+from ..session import cut
 
 # The filter's choices and the sizes of a page, the snapshot and the feed.
 STATUS_CLASSES = ("all", "healthy", "error")
@@ -52,6 +53,17 @@ def page(df: DataFrame, order: list[str], limit: int = 20, offset: int = 0) -> t
     return base.orderBy(*order).offset(offset).limit(limit), base.agg(F.count("*").alias("total"))
 
 
+def page_after(df: DataFrame, order: list[str], last: list | None = None, limit: int = 20) -> DataFrame:
+    """The rows after the one with the key `last` (None: the first ones): a page that costs no count and stays right as rows come in."""
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be in 1..{MAX_PAGE}")
+    if last is not None:
+        if len(last) != len(order):
+            raise ValueError("last must have a value for each column of order")
+        df = df.where(F.struct(*order) > F.struct(*[F.lit(v).alias(c) for c, v in zip(order, last)]))
+    return df.orderBy(*order).limit(limit)
+
+
 def service_totals(metrics: DataFrame, start: datetime | None = None, end: datetime | None = None,
                    status: str = "all", now: datetime | None = None) -> DataFrame:
     """Additive totals per service. No percentile: they can't be merged."""
