@@ -9,6 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from minutewise.functions import forest
 from minutewise.functions import messages as msg
 from minutewise.operators import baselines, sketches
 from minutewise.operators import detect as det
@@ -389,7 +390,7 @@ def stream_detection(spark, d):
         sdet.start_detection(spark, f"{home}/closed", f"{home}/anomalies", f"{home}/cp", SIX_HOURS,
                              outbox_path=f"{home}/outbox", trigger=ONCE)
     )
-    found = tables.read_anomalies(spark, f"{home}/anomalies").where("detector <> 'isolation_forest'")
+    found = tables.read_anomalies(spark, f"{home}/anomalies")
     return _plain(found.select("minute_bucket", "service", "endpoint", "detector", "signal", "score"))
 
 
@@ -402,7 +403,7 @@ def stream_outbox(spark, d):
                              outbox_path=f"{home}/outbox", trigger=ONCE)
     )
     alerts = _fields(sdet.read_outbox(spark, f"{home}/outbox"), "payload", _FINDING_FIELDS)
-    return _plain(alerts.where("detector <> 'isolation_forest'"))
+    return _plain(alerts)
 
 
 def zscore_p95_stored(spark, d):
@@ -598,9 +599,9 @@ def forest_windows(spark, d):
 
 
 def fused_detectors(spark, d):
-    """All findings of the fused detectors but the forest's, which has no SQL; buckets it flags have a history."""
+    """All findings of the fused detectors."""
     found = det.detect(_stored_metrics(spark, d), SIX_HOURS, created_at=F.lit(NOW))
-    return _plain(found.where("detector <> 'isolation_forest'").select("minute_bucket", "service", "endpoint", "detector", "signal", "score"))
+    return _plain(found.select("minute_bucket", "service", "endpoint", "detector", "signal", "score"))
 
 
 def stored_labels(spark, d):
@@ -882,6 +883,44 @@ _REASONS = "reasons AS (SELECT s.*, CASE " + " ".join(
 ) + """ END AS reason FROM stat s JOIN r ON s.minute_bucket = r.minute_bucket AND s.service = r.service
   AND s.endpoint = r.endpoint)"""
 
+def _forest() -> str:
+    """The forest of every bucket with thirty before it, grown again in SQL from the same draws: its score where it is flagged."""
+    trees, depth = forest.TREES, 5
+    _, limit, _, preferred, position = forest._draws(SIX_HOURS.forest_min_history, 5)
+    assert limit == depth and SIX_HOURS.forest_min_history == SIX_HOURS.longest_history == 30
+    slots = ", ".join(
+        f"({level}, {tree}, {node}, [{', '.join(str(f + 1) for f in preferred[level, tree * 2**depth + node])}], {position[level, tree * 2**depth + node]:.17e})"
+        for level in range(depth) for tree in range(trees) for node in range(2**level)
+    )
+    path = f"CASE WHEN {{n}} <= 1 THEN 0.0::DOUBLE WHEN {{n}} = 2 THEN 1.0::DOUBLE ELSE 2 * (ln({{n}} - 1) + {forest.EULER_GAMMA:.17e}) - 2 * ({{n}} - 1)::DOUBLE / {{n}} END"
+    features = "[request_count::DOUBLE, error_rate::DOUBLE, p50, p95, p99]"
+    steps = [f"""slots(level, tree, node, tried, position) AS MATERIALIZED (VALUES {slots}),
+fw AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT minute_bucket, service, endpoint, {features} AS x, list({features}) OVER w AS h,
+  count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY service, endpoint ORDER BY minute_bucket ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) WHERE n = 30),
+fp AS MATERIALIZED (SELECT id, unnest(range(31)) AS p, unnest(list_append(h, x)) AS x FROM fw),
+fa0 AS MATERIALIZED (SELECT id, p, x, tree, 0 AS node FROM fp, (SELECT unnest(range({trees})) AS tree))"""]
+    for level in range(depth + 1):
+        ends = ", ".join(f"{f}(x[{k}]) FILTER (p < 30)" for f in ("min",) for k in range(1, 6)), ", ".join(f"max(x[{k}]) FILTER (p < 30)" for k in range(1, 6))
+        steps.append(f"""fg{level} AS MATERIALIZED (SELECT id, tree, node, count(*) FILTER (p < 30) AS size, [{ends[0]}] AS low, [{ends[1]}] AS high
+  FROM fa{level} GROUP BY ALL)""")
+        if level == depth:
+            steps.append(f"fd{level} AS MATERIALIZED (SELECT id, p, {level} + {path.format(n='size')} AS depth FROM fa{level} JOIN fg{level} USING (id, tree, node))")
+            break
+        steps.append(f"""fc{level} AS MATERIALIZED (SELECT id, tree, node, size, f, CASE WHEN low[f] + position * (high[f] - low[f]) < high[f]
+    THEN low[f] + position * (high[f] - low[f]) ELSE low[f] END AS cut
+  FROM (SELECT g.*, position, CASE WHEN size > 1 THEN list_filter(tried, lambda k: high[k] > low[k])[1] END AS f
+    FROM fg{level} g JOIN slots s ON s.level = {level} AND s.tree = g.tree AND s.node = g.node))""")
+        steps.append(f"fd{level} AS MATERIALIZED (SELECT id, p, {level} + {path.format(n='size')} AS depth FROM fa{level} JOIN fc{level} USING (id, tree, node) WHERE f IS NULL)")
+        steps.append(f"""fa{level + 1} AS MATERIALIZED (SELECT id, p, x, tree, node * 2 + CASE WHEN x[f] > cut THEN 1 ELSE 0 END AS node
+  FROM fa{level} JOIN fc{level} USING (id, tree, node) WHERE f IS NOT NULL)""")
+    every = " UNION ALL ".join(f"SELECT * FROM fd{level}" for level in range(depth + 1))
+    steps.append(f"""fs AS MATERIALIZED (SELECT id, p, -pow(2.0::DOUBLE, -(sum(depth) / {trees}) / ({path.format(n=30)})) AS score FROM ({every}) GROUP BY id, p),
+fo AS MATERIALIZED (SELECT id, quantile_cont(score, {SIX_HOURS.contamination}::DOUBLE) FILTER (p < 30) AS least, max(score) FILTER (p = 30) AS score FROM fs GROUP BY id),
+forest AS MATERIALIZED (SELECT minute_bucket, service, endpoint, fo.score FROM fo JOIN fw USING (id) WHERE round(fo.score, 12) < round(least, 12)),
+found AS MATERIALIZED (SELECT * FROM stat UNION ALL SELECT minute_bucket, service, endpoint, 'isolation_forest', 'multivariate', score FROM forest)""")
+    return ",\n".join(steps)
+
+
 # The log without the events that come late, for the queries whose input has some.
 _ON_TIME = "ontime AS (SELECT * FROM req WHERE NOT (event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-10'))"
 
@@ -897,6 +936,7 @@ def oracle_sql() -> dict[str, str]:
 def _telemetry_sql() -> dict[str, str]:
     m, m1 = _with(_REQ, _m()), _with(_REQ, _m(width="1 minute"))
     hist = _with(_REQ, _m(), _hist())
+    whole = _with(_REQ, _m(), _hist(), _forest())
     judge = _with(_REQ, _m(), _hist(), _INC)
     key = "minute_bucket, service, endpoint"
     score = f"SELECT {key}, round(score, 6) AS score FROM"
@@ -946,6 +986,9 @@ def _telemetry_sql() -> dict[str, str]:
         "zscore_error_rate": hist + f"{score} zscore_error_rate",
         "ewma_p95": hist + f"{score} ewma_p95",
         "ewma_error_rate": hist + f"{score} ewma_error_rate",
+        "anomalies_forest": whole + f"{score} forest",
+        "fused_detectors": whole + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM found",
+        "stream_detection": whole + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM found",
         "anomalies_stat": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
         "zscore_p95_split": hist + f"{score} zscore_p95",
         "zscore_p95_since": hist + f"{score} zscore_p95 WHERE minute_bucket >= TIMESTAMP '2024-01-15'",
@@ -1012,9 +1055,11 @@ def _telemetry_sql() -> dict[str, str]:
   1 AS schema_version, 'anomaly' AS type, {finding_fields}, reason,
   strftime(reasons.minute_bucket + INTERVAL 6 HOUR, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM reasons""",
         "alert_outbox": reasons + outbox,
-        "stream_outbox": reasons + outbox,
+        "stream_outbox": _with(_REQ, _m(), _hist(), _REASONS, _forest()) + outbox + f"""
+  UNION ALL SELECT 'id,minute_bucket,service,endpoint,detector,score,reason', service, endpoint, {iso}, 'isolation_forest', round(score, 6),
+  'multivariate outlier across request_count/error_rate/p50/p95/p99 (isolation forest score '
+  || CAST(CAST(CAST(score AS VARCHAR) AS DECIMAL(18, 3)) AS VARCHAR) || ', lower = more anomalous)' FROM forest""",
         "anomaly_reasons": reasons + f"SELECT {key}, detector, signal, reason FROM reasons",
-        "fused_detectors": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
         "forest_windows": hist + f"""SELECT {key}, CAST(n30 AS INTEGER) AS rows, n30 >= 30 AS eligible,
   round(coalesce(total, 0), 3) AS feature_sum, true AS sound FROM (SELECT *, count(*) OVER w AS n30,
     sum(request_count + error_rate + p50 + p95 + p99) OVER w AS total FROM r
@@ -1061,7 +1106,6 @@ def _telemetry_sql() -> dict[str, str]:
   WHERE minute_bucket + INTERVAL 6 HOUR <= (SELECT max(ts) FROM req) - INTERVAL 120 SECOND""",
         "stream_live": m + f"""SELECT 'metric_point' AS type, service, endpoint, {iso}, request_count, error_count,
   round(p95, 6) AS p95 FROM m""",
-        "stream_detection": hist + f"SELECT {key}, detector, signal, round(score, 6) AS score FROM stat",
         "stream_backlog": _with(_REQ, _JSON) + """SELECT 'ingest' AS name, n AS rows_in, CAST(0 AS BIGINT) AS dropped,
   true AS over_100_batches, n - bad AS accepted, bad AS rejected, bytes
   FROM (SELECT count(*) AS n, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM j), (SELECT count(*) AS bad FROM verdict)""",

@@ -34,7 +34,7 @@ def rows(names, tuples):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"anomalies_forest", "anomalies_fused"}
+    assert set(QUERIES) - set(SQL) == {"anomalies_fused"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
