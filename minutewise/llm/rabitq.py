@@ -5,13 +5,14 @@ inner product of the rotated unit vector with its own code. From the packed bits
 of the inner product with any query and a bound on its error. A vector is reranked on the original numbers only if its
 bound lets it be among the nearest; the others are passed over on the bits alone.
 
-Queries are a stated set that meets all rows in blocks: a block holds about block_rows vectors and query_rows queries,
-spread by a hash of the id, so that equal vectors don't gather anywhere. Every vector is a candidate for every query.
+Queries are a stated set that meets all rows in blocks: a block holds about as many bytes of rows as of queries, spread
+by a hash of the row, so that equal vectors don't gather anywhere. With both sides equal the fewest copies are shuffled: a
+table of n vectors and q queries of b bytes ships 2 * n * q * b * b / block_bytes. Every vector is a candidate for every query.
 
 Edge cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, as query or as
 candidate; nor do rows without an id. Vectors of another length than the query's are no candidates. Ties go to the
-smaller id. With fewer candidates than k all are returned. Rows that share an id are each a candidate,
-but not of a query of that id. An empty table gives no rows. Other columns are not looked at.
+smaller id. With fewer candidates than k all are returned. Rows that share an id are each a candidate, and each a
+query with ranks of its own, which only leaves itself out. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,17 +29,21 @@ from minutewise.llm.common import read, saved
 
 @dataclass(frozen=True)
 class RabitqParams:
-    """Neighbours wanted, width of the error bound (in standard errors), seed of the rotation, sizes of the blocks."""
+    """Neighbours wanted, width of the error bound (in standard errors), seed of the rotation, bytes of a block's side.
+
+    Vectors are centred for the centred_lengths most frequent lengths. The bounds of other vectors are wider; their
+    neighbours are the same.
+    """
 
     k: int = 10
     bound: float = 4.0
     seed: int = 5
-    block_rows: int = 16_384
-    query_rows: int = 4_096
+    block_bytes: int = 16 << 20
+    centred_lengths: int = 16
 
 
-INDEX_ROW = "vec_id long, dim int, embedding array<double>, code binary, length double, fit double"
-FOUND_ROW = "query_id long, vec_id long, score double"
+INDEX_ROW = "row long, vec_id long, dim int, embedding array<double>, code binary, length double, fit double"
+FOUND_ROW = "query long, query_id long, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -85,8 +90,11 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """The mean of the vectors of each length: as many numbers as dimensions, summed up by task first."""
+def centres(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """The mean of the vectors of each of the most frequent lengths, summed up by task first."""
+    length = F.size("embedding")
+    usual = vectors.groupBy(length.alias("dim")).count().orderBy(F.desc("count"), "dim").limit(most).collect()
+    vectors = vectors.where(length.isin([r["dim"] for r in usual]))
 
     def sums(batches):
         total: dict[int, np.ndarray] = {}
@@ -117,7 +125,7 @@ def build_index(vectors: DataFrame, params: RabitqParams = RabitqParams()) -> Da
     plain = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("embedding")
     )
-    middle = centres(plain)
+    middle = centres(plain, params.centred_lengths)
 
     def coded(batches):
         turns: dict[int, np.ndarray] = {}
@@ -127,16 +135,17 @@ def build_index(vectors: DataFrame, params: RabitqParams = RabitqParams()) -> Da
             code, length, fit = np.empty(n, dtype=object), np.zeros(n), np.zeros(n)
             for dim, rows in _by_length(batch.column("embedding")):
                 turn = turns.setdefault(dim, rotation(dim, params.seed))
-                bits, own, part = encode(rows, middle[dim], turn)
+                bits, own, part = encode(rows, middle.get(dim, np.zeros(dim)), turn)
                 at = lengths == dim
                 code[at] = [b.tobytes() for b in bits]
                 length[at], fit[at] = own, part
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(lengths, pa.int32()), batch.column("embedding"), pa.array(code.tolist(), pa.binary()), pa.array(length), pa.array(fit)],
-                names=["vec_id", "dim", "embedding", "code", "length", "fit"],
+                [batch.column("row"), batch.column("vec_id"), pa.array(lengths, pa.int32()), batch.column("embedding"), pa.array(code.tolist(), pa.binary()), pa.array(length), pa.array(fit)],
+                names=["row", "vec_id", "dim", "embedding", "code", "length", "fit"],
             )
 
-    return saved(plain.mapInArrow(coded, INDEX_ROW)).withColumn("middle", _middle(middle))
+    named = plain.withColumn("row", F.monotonically_increasing_id())
+    return saved(named.mapInArrow(coded, INDEX_ROW)).withColumn("middle", _middle(middle))
 
 
 def _middle(middle: dict[int, np.ndarray]) -> Column:
@@ -155,34 +164,36 @@ def nearest_in_block(queries: pa.Table, rows: pa.Table, params: RabitqParams):
         ids, vectors = rows.column("vec_id").to_numpy(), matrix(rows)
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
         length, fit = rows.column("length").to_numpy(), rows.column("fit").to_numpy()
-        centre = np.array(queries.column("middle")[0].as_py())
+        middle = queries.column("middle")[0].as_py()
+        centre = np.zeros(dim) if middle is None else np.array(middle)
         asked = matrix(queries)
         turned = (asked - centre) @ rotation(dim, params.seed)
-        for query_id, query, q in zip(queries.column("vec_id").to_pylist(), asked, turned):
+        names = rows.column("row").to_numpy()
+        for name, query_id, query, q in zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), asked, turned):
             low, high = estimate(code, length, fit, q, params.bound)
-            other = ids != query_id
+            other = names != name
             low, high, at = low[other], high[other], np.flatnonzero(other)
             if len(at) > params.k:
                 at = at[low <= np.partition(high, params.k - 1)[params.k - 1]]
             score = distances(vectors[at], query)
             best = np.lexsort((ids[at], score))[: params.k]
-            found.append((np.full(len(best), query_id), ids[at][best], score[best]))
-    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+            found.append((np.full(len(best), name), np.full(len(best), query_id), ids[at][best], score[best]))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [*[np.zeros(0, np.int64)] * 3, np.zeros(0)]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, params: RabitqParams = RabitqParams()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of the index for each of queries, rows of an index themselves."""
-    spots = max(1, -(-index.count() // params.block_rows))
-    parts = max(1, -(-queries.count() // params.query_rows))
-    spot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(spots))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts))
+    blocks = lambda frame: max(1, -(-(frame.agg(F.sum(F.col("dim").cast("long"))).first()[0] or 0) * 8 // params.block_bytes))
+    spots, parts = blocks(index), blocks(queries)
+    spot = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(spots))
+    part = F.pmod(F.xxhash64("row", F.lit(2)), F.lit(parts))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = index.drop("middle").withColumn("spot", spot).withColumn("part", every(parts))
     asked = queries.drop("code", "length", "fit").withColumn("part", part).withColumn("spot", every(spots))
     keys = ["dim", "spot", "part"]
     found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda q, r: nearest_in_block(q, r, params), FOUND_ROW)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -194,16 +205,16 @@ def op2_rabitq(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pair AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
     sqrt(list_reduce(list_transform(list_zip(c.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM pair
-WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10
+WINDOW w AS (PARTITION BY r ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10
 """

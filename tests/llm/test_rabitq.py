@@ -11,17 +11,17 @@ def frame(spark, rows):
 
 def slow(rows, k=10):
     good = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v is not None and len(v) and None not in v and np.isfinite(v).all() and np.any(v)]
-    out = set()
-    for q, x in good:
+    out = []
+    for own, (q, x) in enumerate(good):
         if q % 100 == 0:
-            near = sorted((float(rabitq.distances(v[None], x)[0]), i) for i, v in good if i != q and len(v) == len(x))[:k]
-            out |= {(q, r + 1, i, s) for r, (s, i) in enumerate(near)}
-    return out
+            near = sorted((float(rabitq.distances(v[None], x)[0]), i) for at, (i, v) in enumerate(good) if at != own and len(v) == len(x))[:k]
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(near)]
+    return sorted(out)
 
 
 def search(spark, rows, params=rabitq.RabitqParams()):
     index = rabitq.build_index(frame(spark, rows), params)
-    return {tuple(r) for r in rabitq.search(index, index.where("vec_id % 100 = 0"), params).select("query_id", "rank", "vec_id", "score").collect()}
+    return sorted(tuple(r) for r in rabitq.search(index, index.where("vec_id % 100 = 0"), params).select("query_id", "rank", "vec_id", "score").collect())
 
 
 def test_against_brute_force(spark):
@@ -32,13 +32,20 @@ def test_against_brute_force(spark):
     rows += [(k, copy) for k in range(900, 1250)]  # a large group of equal vectors, ties go to small ids
     rows += [(2000, None), (2100, []), (2200, [0.0] * 48), (2300, [float("nan"), *[1.0] * 47]), (2400, [float("inf"), *[1.0] * 47]), (2500, [None, *[1.0] * 47])]
     rows += [(None, copy), (3000, [1.0, 2.0]), (3001, [1.0, 2.5])]
-    assert search(spark, rows, rabitq.RabitqParams(block_rows=200, query_rows=4)) == slow(rows)
+    assert search(spark, rows, rabitq.RabitqParams(block_bytes=80_000)) == slow(rows)
+    # Without a centre the bounds are wider and the neighbours the same.
+    assert search(spark, rows, rabitq.RabitqParams(block_bytes=80_000, centred_lengths=0)) == slow(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.5]), (100, [2.0, 0.0]), (100, [2.0, 0.0]), (7, [0.5, 0.5])]
+    assert search(spark, rows) == slow(rows)
 
 
 def test_few_candidates_and_none(spark):
     rows = [(0, [1.0, 0.0, 2.0]), (5, [1.0, 1.0, 2.0]), (7, [1.0, 1.0, 2.0])]
     assert search(spark, rows) == slow(rows)
-    assert search(spark, [(0, [1.0, 2.0])]) == set() and search(spark, []) == set()
+    assert search(spark, [(0, [1.0, 2.0])]) == [] and search(spark, []) == []
 
 
 def test_bounds_hold():
