@@ -28,14 +28,15 @@ from minutewise.session import shared_folder
 
 @dataclass(frozen=True)
 class WarcParams:
-    """Payloads of fewer bytes are never revisits; captures in a file."""
+    """Payloads of fewer bytes are never revisits; bytes of payloads in a file, unless one alone has more."""
 
     least_payload: int = 0
-    captures_per_file: int = 4000
+    file_bytes: int = 256 << 20
     date: str = "2024-01-01T00:00:00Z"
 
 
 END = "\r\n\r\n"
+CLASSES = (1 << 16, 1 << 20, 1 << 24, 1 << 28)  # largest payloads of the size classes; one more is above them
 RECORD = "type string, id string, concurrent_to string, refers_to string, target string, digest string, block binary"
 
 # The alphabet of RFC 4648 base32.
@@ -109,9 +110,18 @@ def records(found: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams()) -> None:
-    """Write pages (page_id, url, html) as gzipped WARC files."""
-    rows = records(captures(pages, params), params)
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * params.captures_per_file).text(path)
+    """Write pages (page_id, url, html) as gzipped WARC files.
+
+    Spark's writer bounds a file by its records, so captures are written by the size class of their payloads, each with
+    as many records to a file as are sure to fit. A payload's class and its digest go together, so no revisit is lost.
+    """
+    size = lambda bytes_: sum((bytes_ > most).cast("int") for most in CLASSES)
+    there = pages.select(size(F.coalesce(F.octet_length("html"), F.lit(0))).alias("k")).distinct().collect()
+    found = captures(pages, params)
+    for k in sorted(r["k"] for r in there) or [0]:
+        rows = records(found.where(size(F.col("payload_bytes")) == k), params)
+        fit = max(1, params.file_bytes // CLASSES[k]) if k < len(CLASSES) else 1
+        rows.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * fit).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[dict]:

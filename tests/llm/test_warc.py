@@ -21,13 +21,24 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "p") for r in rows], "page_id long, url string, html string, digest int, payload string")
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Large payloads lie in files of their own class, with fewer records each; all captures are read back."""
+    pages = [*((k, f"u{k}", f"{k} " * 9) for k in range(7)), *((k, f"u{k}", f"{k}" * 100_000) for k in range(10, 15)), (20, "v", "x" * (1 << 20) + "y")]
+    path = str(tmp_path / "w")
+    warc.write_archives(frame(spark, pages).coalesce(1), path, warc.WarcParams(file_bytes=2 << 20))
+    sizes = [sum(len(r["block"]) for r in warc.parse(gzip.open(f, "rb"))) for f in sorted((tmp_path / "w").glob("*.gz"))]
+    assert max(sizes) < 2 << 20 and len(sizes) == 1 + 3 + 1 and warc.read_records(spark, path).count() == 3 * len(pages)
+    got = {(r.response.id, r.response.payload_sha1) for r in warc.assemble(warc.read_records(spark, path)).collect()}
+    assert got == {(f"<urn:page:{i}>", digested(html)) for i, _, html in pages}
+
+
 def digested(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
 @pytest.mark.parametrize("least", [0, 17, 18])
 def test_captures(spark, tmp_path, least):
-    path, params = str(tmp_path / "w"), warc.WarcParams(least_payload=least, captures_per_file=2)
+    path, params = str(tmp_path / "w"), warc.WarcParams(least_payload=least, file_bytes=2 << 16)
     warc.write_archives(frame(spark, PAGES), path, params)
     rows = warc.assemble(warc.read_records(spark, path)).collect()
     assert len(rows) == len(PAGES)
