@@ -1,8 +1,8 @@
 """Token ids on disk by grammar compression: pairs that are frequent in a shard become rules (Re-Pair).
 
 A shard holds the ids of consecutive documents. In each round the frequent adjacent pairs are counted over the whole
-shard, each becomes a nonterminal, and its occurrences are replaced from left to right; pairs never reach past
-the end of a document. A file holds per shard the rules, the length each nonterminal expands to, and where each
+shard, each becomes a nonterminal, and its occurrences are replaced from left to right, until no pair is left with
+least_count occurrences; pairs never reach past the end of a document. A file holds per shard the rules, the length each nonterminal expands to, and where each
 document's symbols begin, so that one document, or a stretch of ids, is decoded without the rest.
 
 The files are Parquet with one row per shard:
@@ -10,11 +10,13 @@ The files are Parquet with one row per shard:
   doc_ids, n_ids        the documents in order and their numbers of ids, the end id included
   first_symbol          per document, where its symbols begin
   base                  the lowest nonterminal; smaller symbols are ids
-  rules, expansion      per nonterminal: left and right symbol (little-endian uint32 pairs); its number of ids (uint32)
-  wide, symbols         the symbols as little-endian uint16, or uint32 if wide
+  rules, expansion      per nonterminal: left and right symbol, all in turn; its number of ids
+  wide, symbols         the symbols
+Symbols are little-endian uint16 unless wide; rules, expansion and wide symbols are the low halves of all numbers, then the
+high halves, each as little-endian uint16, as the high halves hardly take room once compressed.
 
 Edge cases: a null text counts as empty and has the end id alone. Rows without a doc_id come first; rows that share a
-doc_id are ordered by text. An empty table gives files without rows. A text of any length is kept whole in
+doc_id, or have none, are ordered by the text's first 64 characters, then by its hash, and may lie in several parts. An empty table gives files without rows. A text of any length is kept whole in
 one shard, which it may outgrow.
 """
 
@@ -31,20 +33,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from minutewise.llm.common import lists, read, text_array
+from minutewise.llm.common import if_small, lists, read, saved, text_array
 from minutewise.llm.pieces import word_encoder
 from minutewise.session import shared_folder
 
 
 @dataclass(frozen=True)
 class RepairParams:
-    """Tokenizer file (same path on every executor), end id, shard size and how far the grammar goes."""
+    """Tokenizer file (same path on every executor), end id, shard size, pairs replaced at a time, and their least count."""
 
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
     end_id: int = 1
     shard_ids: int = 1 << 20
-    rounds: int = 3
-    pairs_per_round: int = 4096
+    pairs_per_round: int = 16_384
     least_count: int = 8
 
 
@@ -78,9 +79,7 @@ def _frequent(keys: np.ndarray, bins: np.ndarray, params: RepairParams) -> np.nd
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, params: RepairParams):
     """(symbols, last, rules) of a shard; ends: True at the last id of each document, as last is for symbols."""
     symbols, last, rules = ids.astype(np.uint64), ends.copy(), np.zeros((0, 2), dtype="<u4")
-    for _ in range(params.rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         inside = np.flatnonzero(~last[:-1])
         keys = (symbols[:-1] << np.uint64(32) | symbols[1:])[inside]
         bins = _bins(keys)
@@ -138,6 +137,16 @@ def stretch(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int
     return expand(symbols[a:b], rules, base)[start - skipped : stop - skipped]
 
 
+def halves(numbers: np.ndarray) -> bytes:
+    """The low 16 bits of all numbers, then the high ones."""
+    return np.ascontiguousarray(numbers.astype("<u4")).view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def from_halves(raw: bytes) -> np.ndarray:
+    low, high = np.frombuffer(raw, "<u2").reshape(2, -1).astype("<u4")
+    return low | high << 16
+
+
 # ---- files ------------------------------------------------------------------------------------------
 
 
@@ -164,8 +173,8 @@ def _shard_row(part: int, shard: int, doc_ids: list, coded: list[bytes], params:
     wide = base + len(rules) > 1 << 16
     return {
         "part": part, "shard": shard, "doc_ids": doc_ids, "n_ids": counts.tolist(), "first_symbol": first.tolist(),
-        "base": base, "rules": rules.tobytes(), "expansion": expansions(rules, base).tobytes(), "wide": wide,
-        "symbols": symbols.astype("<u4" if wide else "<u2").tobytes(), "total": len(ids),
+        "base": base, "rules": halves(rules.ravel()), "expansion": halves(expansions(rules, base)), "wide": wide,
+        "symbols": halves(symbols) if wide else symbols.astype("<u2").tobytes(), "total": len(ids),
     }
 
 
@@ -201,7 +210,10 @@ def write_ids(docs: DataFrame, path: str, params: RepairParams = RepairParams())
         if doc_ids:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges also part the rows of one id, or of none, so no id fills a task.
+    keyed = docs.select("doc_id", "text", F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("key"))
+    order = ["doc_id", "head", "key"]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("head", "key")
     rows = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(shards, SHARD_ROW)
     rows.write.option("compression", "zstd").parquet(path)
 
@@ -209,18 +221,18 @@ def write_ids(docs: DataFrame, path: str, params: RepairParams = RepairParams())
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shards of a written table with `start`, the number of ids before each."""
     shards = spark.read.schema(SHARD_ROW).parquet(path)
-    # One row per written partition, so the running sum and the broadcast stay small.
-    totals = shards.groupBy("part").agg(F.sum("total").alias("ids"), F.collect_list(F.struct("shard", "total")).alias("s"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("part_start"), F.sort_array("s").alias("s"))
-    earlier = F.aggregate(F.filter("s", lambda x: x["shard"] < F.col("shard")), F.lit(0).cast("long"), lambda a, x: a + x["total"])
-    return shards.join(F.broadcast(starts), "part").withColumn("start", F.col("part_start") + earlier).drop("s", "part_start")
+    totals = shards.select("part", "shard", "total")
+    # One row per written partition; within each, one row per shard.
+    earlier = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = totals.groupBy("part").agg(F.sum("total").alias("total")).select("part", earlier(Window.orderBy("part")).alias("part_start"))
+    within = totals.select("part", "shard", earlier(Window.partitionBy("part").orderBy("shard")).alias("shard_start"))
+    starts = within.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("start"))
+    return shards.join(if_small(saved(starts), 1_000_000), ["part", "shard"])
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-    return symbols, rules, np.frombuffer(row["expansion"], "<u4"), row["base"]
+    symbols = from_halves(row["symbols"]) if row["wide"] else np.frombuffer(row["symbols"], "<u2")
+    return symbols, from_halves(row["rules"]).reshape(-1, 2), from_halves(row["expansion"]), row["base"]
 
 
 def document_ids(row: dict, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:

@@ -75,9 +75,16 @@ def test_repair_grammar_round_trip():
     ids = np.concatenate([rng.integers(0, 50, 3000), np.tile([7, 8, 9, 8], 500)]).astype("<u4")
     ends = rng.random(len(ids)) < 0.01
     ends[-1] = True
-    params = repair.RepairParams(rounds=5, pairs_per_round=64, least_count=4)
+    params = repair.RepairParams(pairs_per_round=64, least_count=4)
     symbols, last, rules = repair.compress(ids, ends, 1000, params)
     assert len(symbols) < 0.7 * len(ids) and last.sum() == ends.sum()
+    # Nothing is left to replace: no pair within a document stands there least_count times without overlap.
+    pairs, at = {}, {}
+    for i in np.flatnonzero(~last[:-1]):
+        pair = (int(symbols[i]), int(symbols[i + 1]))
+        if at.get(pair, -2) < i - 1:
+            pairs[pair], at[pair] = pairs.get(pair, 0) + 1, i
+    assert max(pairs.values()) < 4
     assert (repair.expand(symbols, rules, 1000) == ids).all()
     sizes = repair.expansions(rules, 1000)
     assert all(len(repair.expand(np.array([1000 + k]), rules, 1000)) == n for k, n in enumerate(sizes))
