@@ -2,8 +2,8 @@
 
 Two levels: a restaurant per context, the word before hashed to one of a fixed number, and one parent that they all share,
 whose base is even over the words seen and one for all others. A context's customers are its tokens; each
-of its tables is a customer of the parent. Gibbs sampling takes customers out one at a time, a random one of each dish, and
-seats them anew; the predictive probabilities of several samples are averaged.
+of its tables is a customer of the parent. A round of Gibbs sampling takes every customer out and seats it anew: one at a
+time in dishes of fewer than 16, an eighth of the dish at a time in larger ones; the predictive probabilities of several samples are averaged.
 
 How it is spread: documents are counted in batches of about batch_tokens tokens. What a batch asks about, its distinct
 (word, context) pairs with their counts in training, goes to parts by the word's hash, packed as arrays; a frequent pair
@@ -15,7 +15,8 @@ sum to one. The answers go back to the batches by the order of their pairs.
 
 Edge cases: a null or empty text is its end token alone. Without any training row every token has probability 1. A row
 without a doc_id is scored, not learned from. Repeated rows are scored alike, and learned from as often as they stand
-there. Empty tables give no rows. Other columns are not looked at. Log probabilities are kept to 1/2000 a token.
+there. Empty tables give no rows. Other columns are not looked at. Log probabilities of a token are single
+precision, their sums double.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from minutewise.llm.common import held_out, read, saved, text_array, words_of
 
 CONTEXT_BITS = 16
 END, START = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))  # neither is a word
-STEPS = 2000  # steps of a log10 probability
+ONE_BY_ONE = 16  # dishes of fewer customers are reseated one customer at a time
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class PitmanYorParams:
 
     strength: float = 5.0
     parent_strength: float = 5.0
-    # Rounds move one customer of every dish; samples are taken after `burn` rounds, `gap` rounds apart.
+    # A round reseats every customer; samples are taken after `burn` rounds, `gap` rounds apart.
     burn: int = 4
     samples: int = 3
     gap: int = 1
@@ -237,14 +238,14 @@ class Tables:
             self.sizes = self.sizes[~empty]
             left[some] -= gone[dishes[some]]
 
-    def add_many(self, dishes: np.ndarray, count: np.ndarray, fresh: float) -> None:
+    def add_many(self, dishes: np.ndarray, count: np.ndarray, fresh: np.ndarray | float) -> None:
         """Seat count customers of each dish in blocks, each at a new table with weight fresh."""
-        left = count.copy()
+        left, fresh = count.copy(), np.broadcast_to(np.asarray(fresh, dtype=np.float64), dishes.shape)
         while (some := np.flatnonzero(left > 0)).size:
             at = dishes[some]
             block = self._block(at, left[some])
             old = self.customers[at] - self._discount * self.number[at]
-            opened = self._rng.binomial(block, np.where(self.number[at] == 0, 1.0, fresh / (fresh + old)))
+            opened = self._rng.binomial(block, np.where(self.number[at] == 0, 1.0, fresh[some] / (fresh[some] + old)))
             seated = np.repeat(at, block - opened)
             if len(seated):
                 self.sizes = self.sizes + np.bincount(self._drawn(seated, self.sizes - self._discount), minlength=len(self.sizes))
@@ -253,6 +254,26 @@ class Tables:
             self.number[at] += opened
             left[some] -= block
 
+    def reseat(self, weight) -> None:
+        """Take every customer out and seat it anew; weight(opened by dish so far) gives each dish's weight of a new table."""
+        before, left = self.number.copy(), self.customers.copy()
+        while (some := np.flatnonzero(left > 0)).size:
+            block, fresh = self._block(some, left[some]), weight(self.number - before)[some]
+            if block.max() == 1:
+                self.remove(some)
+                self.add(some, fresh)
+            else:
+                self.remove_many(some, block)
+                self.add_many(some, block, fresh)
+            left[some] -= block
+
+
+def tables_by_size(customers: np.ndarray, discount: float, rng: np.random.Generator) -> list[tuple[np.ndarray, Tables]]:
+    """Dishes and their tables by number of customers, so that a round's work is in proportion to the customers."""
+    size = np.minimum(customers, ONE_BY_ONE)
+    groups = [np.flatnonzero(size == s) for s in np.unique(size)]
+    return [(g, Tables(customers[g], discount, rng)) for g in groups]
+
 
 @dataclass(frozen=True)
 class Totals:
@@ -275,8 +296,7 @@ def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: i
     d, d0 = totals.discount, totals.parent_discount
     floor = 1.0 / (totals.n_words + 1)
     many = np.flatnonzero(count > 1)  # a lone customer always has the one table
-    tables = Tables(count[many], d, rng)
-    dishes = np.arange(len(many))
+    groups = [(many[g], tables) for g, tables in tables_by_size(count[many], d, rng)]
     parent = Tables(np.bincount(word, minlength=n_words), d0, rng)
     by_context = totals.dishes.astype(np.float64)
     share = len(count) / max(int(totals.dishes.sum()), 1)
@@ -289,15 +309,19 @@ def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: i
         return (parent.customers - d0 * parent.number + (p0 + d0 * m) * floor) / (p0 + n)
 
     for turn in range(params.burn + params.samples * params.gap):
-        if len(many):
-            closed = tables.remove(dishes)
-            by_context = by_context - np.bincount(context[many[closed]], minlength=1 << CONTEXT_BITS)
-            fresh = (params.strength + d * by_context[context[many]]) * believed()[word[many]]
-            opened = tables.add(dishes, fresh)
-            by_context = by_context + np.bincount(context[many[opened]], minlength=1 << CONTEXT_BITS)
-            change = np.bincount(word[many[opened]], minlength=n_words) - np.bincount(word[many[closed]], minlength=n_words)
-        else:
-            change = np.zeros(n_words, dtype=np.int64)
+        change, base = np.zeros(n_words), believed()
+        for pairs, tables in groups:
+            before, own = tables.number.copy(), context[pairs]
+            odds = base[word[pairs]]
+
+            def weight(opened):
+                return (params.strength + d * (by_context + np.bincount(own, weights=opened, minlength=1 << CONTEXT_BITS))[own]) * odds
+
+            tables.reseat(weight)
+            opened = tables.number - before
+            by_context = by_context + np.bincount(own, weights=opened, minlength=1 << CONTEXT_BITS)
+            change += np.bincount(word[pairs], weights=opened, minlength=n_words)
+        change = change.astype(np.int64)
         new = lambda: (params.parent_strength + d0 * parent.number.sum() / max(share, 1e-12)) * floor
         less, more = np.flatnonzero(change < 0), np.flatnonzero(change > 0)
         parent.remove_many(less, -change[less])
@@ -307,7 +331,8 @@ def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: i
             parent.add(shared, np.full(len(shared), new()))
         if turn >= params.burn and (turn - params.burn + 1) % params.gap == 0:
             number = np.ones(len(count), dtype=np.int64)
-            number[many] = tables.number
+            for pairs, tables in groups:
+                number[pairs] = tables.number
             out.append((number, parent.customers.copy(), parent.number.copy()))
     return out
 
@@ -408,7 +433,7 @@ ANSWER_ROW = "batch long, part int, answers binary"
 
 
 def answers(counted: DataFrame, totals: Totals, by_context: np.ndarray, parent: np.ndarray, params: PitmanYorParams) -> DataFrame:
-    """ANSWER_ROW: for the pairs of each batch and part, in their order, minus log10 probabilities in steps; the words' counts and numbers of pairs."""
+    """ANSWER_ROW: for the pairs of each batch and part, in their order, log10 probabilities; the words' counts and numbers of pairs."""
     schema = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("answers", pa.binary())])
 
     def answered(table: pa.Table) -> pa.Table:
@@ -433,11 +458,11 @@ def answers(counted: DataFrame, totals: Totals, by_context: np.ndarray, parent:
             own[known] = count[at[known]] - totals.discount * number[at[known]]
             more = params.strength + totals.discount * by_context[k][own_context]
             p += (own + more * base[slot[place]]) / (params.strength + totals.tokens[own_context])
-        steps = np.clip(np.rint(-np.log10(np.minimum(p / len(draws), 1.0)) * STEPS), 0, 65535).astype(np.uint16)
+        logs = np.log10(np.minimum(p / len(draws), 1.0)).astype(np.float32)
         sizes = np.bincount(place, minlength=len(asked)).astype(np.uint32)
         out, i, j = [], 0, 0
         for batch, a, b in zip(rows.column("batch").to_pylist(), n_words, n_pairs):
-            out.append({"batch": batch, "part": part, "answers": packed(steps[j : j + b], times[slot[i : i + a]], sizes[i : i + a])})
+            out.append({"batch": batch, "part": part, "answers": packed(logs[j : j + b], times[slot[i : i + a]], sizes[i : i + a])})
             i, j = i + a, j + b
         return pa.Table.from_pylist(out, schema=schema)
 
@@ -466,7 +491,7 @@ def score(docs: DataFrame, params: PitmanYorParams = PitmanYorParams()) -> DataF
     def scored(table: pa.Table) -> pa.Table:
         rows = table.sort_by("part").to_pylist()
         documents, told = rows[0], [unpacked(r["answers"]) for r in rows[1:]]
-        steps, times, sizes = (np.concatenate(c) for c in zip(*told))
+        logs, times, sizes = (np.concatenate(c) for c in zip(*told))
         of_pair = np.repeat(times, sizes).astype(np.float64)
         lengths = np.array(documents["lengths"], dtype=np.int64)
         ends = np.cumsum(lengths)
@@ -475,7 +500,7 @@ def score(docs: DataFrame, params: PitmanYorParams = PitmanYorParams()) -> DataF
         starts = ends - lengths
         place = run - np.repeat(run[starts] - gaps[starts], lengths)
         base = np.log10((of_pair + 0.5) / (n + 0.5 * (v + 1)))
-        sums = [np.add.reduceat(x[place], starts) for x in (of_pair > 0, base, steps / -STEPS)]
+        sums = [np.add.reduceat(x[place], starts) for x in (of_pair > 0, base, logs.astype(np.float64))]
         columns = [documents["doc_ids"], documents["held_out"], lengths, sums[0].astype(np.int64), np.full(len(lengths), n), sums[1], sums[2]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -74,8 +74,8 @@ def test_probabilities_sum_to_one(spark):
     told = py.answers(counted, totals, *py.tables_of(state, totals, SMALL), SMALL).where("batch > 0").collect()
     sums = Counter()
     for r in told:
-        sums[r.batch] += (10.0 ** (-py.unpacked(r.answers)[0].astype(float) / py.STEPS)).sum()
-    assert all(abs(s - 1) < 2e-3 for s in sums.values()) and len(sums) == 3
+        sums[r.batch] += (10.0 ** py.unpacked(r.answers)[0].astype(float)).sum()
+    assert all(abs(s - 1) < 1e-5 for s in sums.values()) and len(sums) == 3
 
 
 def test_tables_keep_their_customers():
@@ -102,6 +102,35 @@ def test_tables_keep_their_customers():
     assert 1 < tables.number[counts > 10].mean() < counts[counts > 10].mean()
 
 
+def one_at_a_time(customers, discount, fresh, rounds, rng):
+    """Mean number of tables of a dish, each customer taken out and seated anew in turn."""
+    seats, seen = [0] * customers, []
+    for turn in range(rounds):
+        for c in range(customers):
+            sizes = Counter(seats[:c] + seats[c + 1 :])
+            tables = [*sizes]
+            weights = np.array([*(sizes[t] - discount for t in tables), fresh])
+            pick = rng.choice(len(weights), p=weights / weights.sum())
+            seats[c] = tables[pick] if pick < len(tables) else max(tables, default=0) + 1
+        if turn >= rounds // 5:
+            seen.append(len(set(seats)))
+    return np.mean(seen)
+
+
+def test_a_round_against_an_exact_sampler():
+    """Many equal dishes, reseated in blocks, have as many tables as a sampler of single customers gives."""
+    rng = np.random.default_rng(4)
+    for customers, fresh in ((2, 0.3), (6, 0.5), (15, 2.0), (60, 0.2), (60, 3.0)):
+        tables = py.Tables(np.full(800, customers), 0.6, rng)
+        seen = []
+        for turn in range(14):
+            tables.reseat(lambda opened: np.full(800, fresh))
+            seen += [tables.number.mean()] * (turn >= 6)
+        assert (tables.customers == customers).all() and tables.sizes.sum() == 800 * customers
+        want = one_at_a_time(customers, 0.6, fresh, 1500 if customers < 20 else 300, rng)
+        assert abs(np.mean(seen) - want) < 0.12 * want, (customers, fresh, np.mean(seen), want)
+
+
 def test_packed_arrays():
     arrays = [np.arange(5, dtype=np.uint16), np.zeros(0, np.uint64), np.array([2**63, 1], dtype=np.uint64), np.zeros(0, np.uint32)]
     back = py.unpacked(py.packed(*arrays))
