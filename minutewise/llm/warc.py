@@ -113,13 +113,13 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams(
     """Write pages (page_id, url, html) as gzipped WARC files.
 
     Spark's writer bounds a file by its records, so captures are written by the size class of their payloads, each with
-    as many records to a file as are sure to fit. A payload's class and its digest go together, so no revisit is lost.
+    as many records to a file as are sure to fit. Equal payloads are of one class, so no revisit is lost.
     """
     size = lambda bytes_: sum((bytes_ > most).cast("int") for most in CLASSES)
-    there = pages.select(size(F.coalesce(F.octet_length("html"), F.lit(0))).alias("k")).distinct().collect()
-    found = captures(pages, params)
+    own = size(F.coalesce(F.octet_length("html"), F.lit(0)))
+    there = pages.select(own.alias("k")).distinct().collect()
     for k in sorted(r["k"] for r in there) or [0]:
-        rows = records(found.where(size(F.col("payload_bytes")) == k), params)
+        rows = records(captures(pages.where(own == k), params), params)
         fit = max(1, params.file_bytes // CLASSES[k]) if k < len(CLASSES) else 1
         rows.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * fit).text(path)
 
