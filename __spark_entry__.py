@@ -514,14 +514,17 @@ def stream_backlog(spark, d):
 
 
 def _run_twice(spark, d, home, start):
-    """Run a query, and again after late events: the first file lacks some early ones and repeats others, the second has them."""
+    """Run a query, and again after late events: the first write lacks some early ones and repeats others, the second has them.
+
+    A run takes all files of a write in one batch, so the writes, and the reads after them, are spread over tasks.
+    """
     requests = _requests(spark, d)
     late = F.expr("event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-10'")
     first = requests.where("ts < TIMESTAMP '2024-01-20'").where(~late)
     repeated = first.unionByName(first.where("event_id % 10 = 0"))
     for part in (repeated, requests.where(late | F.expr("ts >= TIMESTAMP '2024-01-20'"))):
-        part.coalesce(1).write.mode("append").parquet(f"{home}/log")
-        _finish(start(src.stream_events(spark, f"{home}/log", with_id=True, max_files=1)))
+        part.write.mode("append").parquet(f"{home}/log")
+        _finish(start(src.stream_events(spark, f"{home}/log", with_id=True, max_files=2**31 - 1)))
 
 
 def stream_metrics_late(spark, d):
