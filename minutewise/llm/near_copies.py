@@ -3,10 +3,12 @@
 A shingle that a text repeats counts as often as it stands there, each time as an element of its own; else a long text that
 only repeats a short one would be a copy of it.
 
-Candidates come from bands of minimum hashes: two texts meet where all minima of one band are equal. Every link is checked
-against the whole sets, so that no text is linked for its sketch alone. Texts with one set are one node from the start.
+The first candidates are the SimHash operator's: fingerprints of the same shingles, linked by its blocks, its Hamming check and,
+where a block is crowded, by neighbourhood. Its two bits reach the closest copies only, so bands of minimum hashes bring the
+rest: two texts meet where all minima of one band are equal. Every link is checked against the whole sets, so that no text
+is linked for its sketch alone. Texts with one set are one node from the start.
 
-Groups, not pairs, are wanted, so bands are not paired out at first: the members of a band are checked against one of them,
+Groups, not pairs, are wanted, so bands are not paired out at first: the members of a band that fingerprints left apart are checked against one of them,
 which is linear. That is the member with the most company over all its bands, as an original that many copies differ from
 has more in common with each than they have with one another. Members that are still apart are checked against the next
 one, as long as that links any. Only what is left is then checked in pairs; in crowded bands through the shingles that are
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from minutewise.llm.common import lists, saved, text_array, words_of
 from minutewise.llm.components import components
-from minutewise.llm.simhash import kept_rows
+from minutewise.llm.simhash import SimhashParams, fingerprint_of, kept_rows
+from minutewise.llm.simhash import links as close_prints
 
 
 @dataclass(frozen=True)
@@ -82,11 +85,14 @@ def shingles(texts: pa.Array, params: NearCopyParams = NearCopyParams()) -> tupl
 
 
 def sketched(text: Column, params: NearCopyParams = NearCopyParams()) -> Column:
-    """struct<fp: long, bands: array<long>> of a text column: a digest of the whole set, and one of each band's minima."""
+    """struct<fp: long, simhash: long, bands: array<long>> of a text column: a digest of the whole set, its fingerprint, and one of each band's minima."""
+    prints = SimhashParams(words=params.words)
 
-    @F.arrow_udf("struct<fp: long, bands: array<long>>")
+    @F.arrow_udf("struct<fp: long, simhash: long, bands: array<long>>")
     def sketch(column: pa.Array) -> pa.Array:
-        hashes, sizes = shingles(text_array(column), params)
+        texts = text_array(column)
+        hashes, sizes = shingles(texts, params)
+        simhashes = pa.array([fingerprint_of(t, prints) for t in texts.to_pylist()], pa.int64())
         starts = np.cumsum(sizes) - sizes
         digests = np.array([xxhash.xxh64_intdigest(hashes[a : a + n].tobytes()) for a, n in zip(starts, sizes)], dtype=np.uint64)
         bands = np.zeros((len(sizes), params.bands), dtype=np.uint64)
@@ -97,7 +103,7 @@ def sketched(text: Column, params: NearCopyParams = NearCopyParams()) -> Column:
                 lowest = np.minimum.reduceat(spread ^ (spread >> np.uint64(31)), starts)
                 bands[:, k] = _mixed(bands[:, k] + lowest)
         flat = lists(bands.ravel().view(np.int64), np.full(len(sizes), params.bands))
-        return pa.StructArray.from_arrays([pa.array(digests.view(np.int64)), flat], names=["fp", "bands"])
+        return pa.StructArray.from_arrays([pa.array(digests.view(np.int64)), simhashes, flat], names=["fp", "simhash", "bands"])
 
     return sketch(text)
 
@@ -153,30 +159,44 @@ def _mixed_bands(shared: DataFrame, near: DataFrame) -> DataFrame:
     return saved(told.join(mixed.select("band", "key"), ["band", "key"]))
 
 
+def _close(printed: DataFrame, params: NearCopyParams) -> DataFrame:
+    """Pairs a, b of sets to check, by their fingerprints: one set of each with the others of it, and with that of each close one; saved."""
+    sets = saved(printed.select("fp", "simhash").distinct())
+    first = sets.groupBy("simhash").agg(F.min("fp").alias("first"))
+    same = sets.join(first, "simhash").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = close_prints(sets.select(F.col("simhash").alias("fp")).distinct(), SimhashParams(words=params.words, crowded=params.crowded))
+    side = lambda c: first.select(F.col("simhash").alias(c), F.col("first").alias(f"{c}_first"))
+    met = near.join(side("a"), "a").join(side("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    return saved(same.unionByName(met))
+
+
 def links(printed: DataFrame, params: NearCopyParams = NearCopyParams()) -> DataFrame:
-    """Links a, b between the sets of printed (text, fp, bands; saved) whose groups are those of all similar pairs that meet."""
+    """Links a, b between the sets of printed (text, fp, simhash, bands; saved) whose groups are those of all similar pairs that meet."""
+    close = _close(printed, params)
     nodes = printed.select("fp", "bands").dropDuplicates(["fp"])
     met = nodes.select("fp", F.posexplode("bands").alias("band", "key"))
     sizes = met.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
     inside = saved(met.join(sizes, ["band", "key"]))
     company = inside.groupBy("fp").agg(F.sum("members").alias("company"))
-    sets = printed.join(company.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    met = company.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = printed.join(met, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     sets = saved(sets.select("fp", shingle_sets(F.col("text"), params).alias("shingles")))
     about = company.join(sets.select("fp", F.size("shingles").alias("n")), "fp")
     shared = saved(inside.join(about, "fp"))
 
+    near, used = _similar(close, sets, params), None
+    apart = _mixed_bands(shared, near)
     # Stars: everyone of a band with the member that has the most company and hasn't been the centre yet.
-    apart, near, used = shared.withColumn("label", F.lit(None).cast("long")), None, None
     while True:
         free = apart if used is None else apart.join(used, ["band", "key", "fp"], "left_anti")
         centre = F.max(F.struct("company", "fp", "label", "n")).alias("c")
         centres = saved(free.groupBy("band", "key").agg(centre).select("band", "key", "c.fp", "c.label", F.col("c.n").alias("n_c")))
         star = apart.withColumnRenamed("label", "own").join(centres.withColumnRenamed("fp", "centre"), ["band", "key"]).where(
-            (F.col("fp") != F.col("centre")) & (F.col("label").isNull() | (F.col("label") != F.col("own")))
+            (F.col("fp") != F.col("centre")) & (F.col("label") != F.col("own"))
             & (100 * F.least("n", "n_c") >= params.percent * F.greatest("n", "n_c"))
         )
         found = _similar(star.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")), sets, params)
-        near = found if near is None else near.unionByName(found)
+        near = near.unionByName(found)
         apart = _mixed_bands(shared, near)
         used = centres.select("band", "key", "fp") if used is None else used.unionByName(centres.select("band", "key", "fp"))
         if found.isEmpty():
@@ -190,6 +210,6 @@ def links(printed: DataFrame, params: NearCopyParams = NearCopyParams()) -> Data
 def one_of_each(docs: DataFrame, params: NearCopyParams = NearCopyParams()) -> DataFrame:
     """The rows of docs, with all their columns, that stay when of each group of near copies the row with the smallest doc_id does."""
     sketch = docs.select(F.struct(*docs.columns).alias("row"), sketched(F.col("text"), params).alias("s"))
-    printed = saved(sketch.select("row", "s.fp", "s.bands"))
-    found = components(links(printed.select("row.text", "fp", "bands"), params))
+    printed = saved(sketch.select("row", "s.fp", "s.simhash", "s.bands"))
+    found = components(links(printed.select("row.text", "fp", "simhash", "bands"), params))
     return kept_rows(printed.select("row", "fp"), found)

@@ -56,6 +56,20 @@ def test_groups_by_similarity(spark, crowded):
     assert sorted(r.doc_id for r in got.collect()) == sorted(slow_kept(rows))
 
 
+def test_fingerprints_bring_candidates_and_sets_decide(spark):
+    one_band = near_copies.NearCopyParams(bands=1, rows=3000)  # so strict that no band is shared
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(3000)}" for _ in range(1500)]
+    prints = near_copies.SimhashParams(words=one_band.words)
+    mark = near_copies.fingerprint_of(" ".join(words), prints)
+    tries = (edited(words, rng, 1) for _ in range(100))
+    close = next(w for w in tries if 1 <= (near_copies.fingerprint_of(" ".join(w), prints) ^ mark).bit_count() <= 2)
+    ring = ["a", "b", "c", "d", "e"]  # the same shingles oftener: one fingerprint, but a Jaccard index of a half
+    rows = [(1, " ".join(words)), (2, " ".join(close)), (3, " ".join(ring * 21)), (4, " ".join(ring * 41))]
+    assert len({near_copies.fingerprint_of(t, prints) for _, t in rows[2:]}) == 1
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs(spark, rows), one_band).collect()) == sorted(slow_kept(rows)) == [1, 3, 4]
+
+
 def test_odd_documents(spark):
     got = near_copies.one_of_each(docs(spark, ODD)).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 4, 7, 8, 9, 11, 12, 13]
