@@ -13,8 +13,10 @@ which is linear. That is the member with the most company over all its bands, as
 has more in common with each than they have with one another. Members that are still apart are checked against the next
 one, as long as that links any. Only what is left is then checked in pairs; in crowded bands through the shingles that are
 rarest among the members: two sets that are similar enough share one of the first n - ceil(bound * n) + 1 in any
-common order, so this split loses nothing. Pairs whose sizes, or places of the shared shingle, rule the bound out are
-dropped where they meet, before the sets are looked at.
+common order, so this split loses nothing. Pairs whose sizes, places of the shared shingle, or marks rule the bound out are
+dropped where they meet. The marks of a set are the parities of how many of its shingles fall to each of 1,024 bits; where the
+marks of two sets differ, so do the sets, so too many differing marks rule a pair out for certain. Sets themselves are made
+and shuffled for the pairs that are left only.
 
 Edge cases: a null or empty text, or one of white space only, has a set of its own kind; a text of fewer words than a
 shingle is one shingle. Repeated rows and rows without a doc_id are treated as in simhash. An empty table gives no rows.
@@ -30,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minutewise.llm.common import lists, saved, text_array, words_of
+from minutewise.llm.common import if_small, lists, saved, text_array, words_of
 from minutewise.llm.components import components
-from minutewise.llm.simhash import SimhashParams, fingerprint_of, kept_rows
+from minutewise.llm.simhash import BROADCAST, SimhashParams, fingerprint_of, kept_rows
 from minutewise.llm.simhash import links as close_prints
 
 
@@ -44,10 +46,15 @@ class NearCopyParams:
     percent: int = 80
     bands: int = 20
     rows: int = 4
+    # 64 marks each.
+    marks: int = 16
     seed: int = 42
     crowded: int = 48
 
 
+# Smaller batches than elsewhere, as the shingles of a text take many times its bytes while they are sorted.
+_BATCH_BYTES = 1 << 20
+
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,11 +91,21 @@ def shingles(texts: pa.Array, params: NearCopyParams = NearCopyParams()) -> tupl
     return _mixed(h + occurrence.astype(np.uint64) * _PAD), sizes
 
 
+def marked(hashes: np.ndarray, sizes: np.ndarray, params: NearCopyParams = NearCopyParams()) -> np.ndarray:
+    """The marks of sets, a row each: a bit is set where an odd number of the shingles fall to it."""
+    marks = np.zeros(len(sizes) * params.marks, dtype=np.uint64)
+    bit = (hashes >> np.uint64(32)) % np.uint64(64 * params.marks)
+    word = np.repeat(np.arange(len(sizes)) * params.marks, sizes) + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(marks, word, np.uint64(1) << (bit & np.uint64(63)))
+    return marks.reshape(len(sizes), params.marks)
+
+
 def sketched(text: Column, params: NearCopyParams = NearCopyParams()) -> Column:
-    """struct<fp: long, simhash: long, bands: array<long>> of a text column: a digest of the whole set, its fingerprint, and one of each band's minima."""
+    """struct<fp: long, simhash: long, bands: array<long>, marks: array<long>, n: int> of a text column: a digest of the whole set, its
+    fingerprint, one of each band's minima, its marks and its size."""
     prints = SimhashParams(words=params.words)
 
-    @F.arrow_udf("struct<fp: long, simhash: long, bands: array<long>>")
+    @F.arrow_udf("struct<fp: long, simhash: long, bands: array<long>, marks: array<long>, n: int>")
     def sketch(column: pa.Array) -> pa.Array:
         texts = text_array(column)
         hashes, sizes = shingles(texts, params)
@@ -103,7 +120,10 @@ def sketched(text: Column, params: NearCopyParams = NearCopyParams()) -> Column:
                 lowest = np.minimum.reduceat(spread ^ (spread >> np.uint64(31)), starts)
                 bands[:, k] = _mixed(bands[:, k] + lowest)
         flat = lists(bands.ravel().view(np.int64), np.full(len(sizes), params.bands))
-        return pa.StructArray.from_arrays([pa.array(digests.view(np.int64)), simhashes, flat], names=["fp", "simhash", "bands"])
+        marks = lists(marked(hashes, sizes, params).ravel().view(np.int64), np.full(len(sizes), params.marks))
+        return pa.StructArray.from_arrays(
+            [pa.array(digests.view(np.int64)), simhashes, flat, marks, pa.array(sizes.astype(np.int32))], names=["fp", "simhash", "bands", "marks", "n"]
+        )
 
     return sketch(text)
 
@@ -119,42 +139,67 @@ def shingle_sets(text: Column, params: NearCopyParams = NearCopyParams()) -> Col
     return distinct(text)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, params: NearCopyParams) -> DataFrame:
-    """Those of the pairs a, b whose sets are similar enough; saved."""
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
-    n_a, n_b = F.size("a_set"), F.size("b_set")
+def _possible(params: NearCopyParams) -> Column:
+    """Whether sizes n_a, n_b and marks_a, marks_b allow the bound. Two sets differ in a shingle at least for each mark they differ in."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    differ = sum((F.bit_count(F.col("marks_a")[k].bitwiseXOR(F.col("marks_b")[k])) for k in range(params.marks)), F.lit(0))
+    sized = 100 * F.least(n_a, n_b) >= params.percent * F.greatest(n_a, n_b)
+    return sized & ((100 + params.percent) * differ <= (100 - params.percent) * (n_a + n_b))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return if_small(saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), BROADCAST)
+
+
+def _sets(nodes: DataFrame, printed: DataFrame, params: NearCopyParams) -> DataFrame:
+    """fp and shingles of the nodes (fp); saved."""
+    texts = printed.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    return saved(texts.select("fp", shingle_sets(F.col("text"), params).alias("shingles")))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, printed: DataFrame, params: NearCopyParams) -> DataFrame:
+    """Those of the pairs a, b of nodes (fp, n, marks) whose sets are similar enough; saved.
+
+    Pairs and their ends are saved, so that their number is known and few of them move no table of nodes or texts.
+    """
+    pairs = saved(pairs.distinct())
+    told = nodes.select("fp", "n", "marks").join(_ends(pairs), "fp", "left_semi")
+    side = lambda c: told.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"marks_{c}"))
+    likely = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(params)).select("a", "b"))
+    sets = _sets(_ends(likely), printed, params)
+    held = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    near = (100 * F.least(n_a, n_b) >= params.percent * F.greatest(n_a, n_b)) & (100 * both >= params.percent * (n_a + n_b - both))
-    return saved(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"))
+    near = 100 * both >= params.percent * (F.size("a_set") + F.size("b_set") - both)
+    return saved(likely.join(held("a"), "a").join(held("b"), "b").where(near).select("a", "b"))
 
 
 def _rare_pairs(nodes: DataFrame, params: NearCopyParams) -> DataFrame:
-    """Pairs of nodes (fp, label, shingles) of different labels that share one of their first shingles, the rarest coming first."""
-    each = nodes.select("fp", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    """Pairs of nodes (fp, label, n, marks, shingles) of different labels that share one of their first shingles, the rarest coming first."""
+    each = nodes.select("fp", "n", F.explode("shingles").alias("s"))
     ordered = each.join(each.groupBy("s").agg(F.count("*").alias("times")), "s")
     place = F.row_number().over(Window.partitionBy("fp").orderBy("times", "s"))
     last = F.col("n") - F.expr(f"({params.percent} * n + 99) DIV 100") + 1
-    first = saved(ordered.withColumn("place", place).where((F.col("place") <= last) & (F.col("times") > 1)).select("fp", "label", "n", "place", "s"))
+    first = ordered.withColumn("place", place).where((F.col("place") <= last) & (F.col("times") > 1)).select("fp", "place", "s")
+    first = saved(first.join(nodes.select("fp", "label", "n", "marks"), "fp"))
     # Shared shingles lie before, at, or behind both places.
     most = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     return _met(first, ["s"], params, most * (100 + params.percent) >= params.percent * (F.col("n_a") + F.col("n_b")))
 
 
 def _met(rows: DataFrame, key: list[str], params: NearCopyParams, also: Column | None = None) -> DataFrame:
-    """Pairs a, b of rows (key, fp, label, n, ...) with one key, different labels and sizes that allow the bound."""
+    """Pairs a, b of rows (key, fp, label, n, marks, ...) with one key, different labels, and sizes and marks that allow the bound."""
     rest = [c for c in rows.columns if c not in (*key, "fp")]
     side = lambda x: rows.select(*key, F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rest])
-    sized = 100 * F.least("n_a", "n_b") >= params.percent * F.greatest("n_a", "n_b")
-    allowed = F.expr("a < b AND label_a <> label_b") & sized
+    allowed = F.expr("a < b AND label_a <> label_b") & _possible(params)
     left, right = side("a"), side("b")
     on = [left[k] == right[k] for k in key]
-    return left.join(right, [*on, allowed if also is None else allowed & also]).select("a", "b")
+    return left.join(right, [*on, allowed if also is None else also & allowed]).select("a", "b")
 
 
 def _mixed_bands(shared: DataFrame, near: DataFrame) -> DataFrame:
     """Members of shared with their label, those of bands with several labels; saved."""
     labels = saved(components(near))
-    told = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    told = shared.drop("label").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = told.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return saved(told.join(mixed.select("band", "key"), ["band", "key"]))
 
@@ -171,21 +216,16 @@ def _close(printed: DataFrame, params: NearCopyParams) -> DataFrame:
 
 
 def links(printed: DataFrame, params: NearCopyParams = NearCopyParams()) -> DataFrame:
-    """Links a, b between the sets of printed (text, fp, simhash, bands; saved) whose groups are those of all similar pairs that meet."""
+    """Links a, b between the sets of printed (text, fp, simhash, bands, marks, n; saved) whose groups are those of all similar pairs that meet."""
     close = _close(printed, params)
-    nodes = printed.select("fp", "bands").dropDuplicates(["fp"])
-    met = nodes.select("fp", F.posexplode("bands").alias("band", "key"))
+    nodes = saved(printed.select("fp", "bands", "marks", "n").dropDuplicates(["fp"]))
+    met = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
     sizes = met.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
     inside = saved(met.join(sizes, ["band", "key"]))
-    company = inside.groupBy("fp").agg(F.sum("members").alias("company"))
-    met = company.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
-    sets = printed.join(met, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    sets = saved(sets.select("fp", shingle_sets(F.col("text"), params).alias("shingles")))
-    about = company.join(sets.select("fp", F.size("shingles").alias("n")), "fp")
-    shared = saved(inside.join(about, "fp"))
-
-    near, used = _similar(close, sets, params), None
-    apart = _mixed_bands(shared, near)
+    shared = inside.join(inside.groupBy("fp").agg(F.sum("members").alias("company")), "fp")
+
+    near = _similar(close, nodes, printed, params)
+    apart, used = _mixed_bands(shared, near), None
     # Stars: everyone of a band with the member that has the most company and hasn't been the centre yet.
     while True:
         free = apart if used is None else apart.join(used, ["band", "key", "fp"], "left_anti")
@@ -195,21 +235,32 @@ def links(printed: DataFrame, params: NearCopyParams = NearCopyParams()) -> Data
             (F.col("fp") != F.col("centre")) & (F.col("label") != F.col("own"))
             & (100 * F.least("n", "n_c") >= params.percent * F.greatest("n", "n_c"))
         )
-        found = _similar(star.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")), sets, params)
-        near = near.unionByName(found)
-        apart = _mixed_bands(shared, near)
-        used = centres.select("band", "key", "fp") if used is None else used.unionByName(centres.select("band", "key", "fp"))
+        found = _similar(star.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")), nodes, printed, params)
         if found.isEmpty():
             break
-    crowded = apart.where(F.col("members") > params.crowded).select("fp", "label").distinct().join(sets, "fp")
-    few = apart.where(F.col("members") <= params.crowded).select("band", "key", "fp", "label", "n")
-    pairs = _met(few, ["band", "key"], params).unionByName(_rare_pairs(crowded, params))
-    return near.unionByName(_similar(pairs, sets, params))
+        near = near.unionByName(found)
+        # Labels only grow together, so no other band can be mixed again.
+        apart = _mixed_bands(apart, near)
+        # Another star costs more than it saves the pairs where this one linked few.
+        if found.count() * 100 < apart.select("fp").distinct().count():
+            break
+        used = centres.select("band", "key", "fp") if used is None else used.unionByName(centres.select("band", "key", "fp"))
+    marks = nodes.select("fp", "marks")
+    crowded = saved(apart.where(F.col("members") > params.crowded).select("fp", "label", "n").distinct())
+    crowded = crowded.join(marks, "fp").join(_sets(if_small(crowded.select("fp"), BROADCAST), printed, params), "fp")
+    few = saved(apart.where(F.col("members") <= params.crowded).select("band", "key", "fp", "label", "n"))
+    pairs = _met(few.join(marks, "fp"), ["band", "key"], params).unionByName(_rare_pairs(crowded, params))
+    return near.unionByName(_similar(pairs, nodes, printed, params))
 
 
 def one_of_each(docs: DataFrame, params: NearCopyParams = NearCopyParams()) -> DataFrame:
     """The rows of docs, with all their columns, that stay when of each group of near copies the row with the smallest doc_id does."""
+    # All that runs in Python is computed before the batches get their size back.
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(_BATCH_BYTES))
     sketch = docs.select(F.struct(*docs.columns).alias("row"), sketched(F.col("text"), params).alias("s"))
-    printed = saved(sketch.select("row", "s.fp", "s.simhash", "s.bands"))
-    found = components(links(printed.select("row.text", "fp", "simhash", "bands"), params))
-    return kept_rows(printed.select("row", "fp"), found)
+    printed = saved(sketch.select("row", "s.*", F.monotonically_increasing_id().alias("at")))
+    found = components(links(printed.select("row.text", "fp", "simhash", "bands", "marks", "n"), params))
+    conf.set(key, before)
+    return kept_rows(printed.select("row", "fp", "at"), found)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutewise.llm.common import read, saved, text_array
+from minutewise.llm.common import if_small, read, saved, text_array
 from minutewise.llm.components import components
 
 
@@ -39,6 +39,9 @@ class SimhashParams:
     crowded: int = 48
 
 
+# Rows, of one number each, that are broadcast to pick others; more are joined as Spark decides.
+BROADCAST = 2_000_000
+
 WIDTHS = (13, 13, 13, 13, 12)
 
 # How often each bit is set in each byte value.
@@ -124,22 +127,27 @@ def one_of_each(docs: DataFrame, params: SimhashParams = SimhashParams()) -> Dat
     Of rows that share this doc_id and its fingerprint one stays; a group without a doc_id keeps one row as well.
     """
     # The row as one struct, so that no name of docs can clash.
-    printed = saved(docs.select(F.struct(*docs.columns).alias("row"), fingerprint(F.col("text"), params).alias("fp")))
+    row = F.struct(*docs.columns).alias("row")
+    printed = saved(docs.select(row, fingerprint(F.col("text"), params).alias("fp"), F.monotonically_increasing_id().alias("at")))
     nodes = saved(printed.groupBy("fp").agg(F.min("row.doc_id").alias("first")))
     return kept_rows(printed, components(links(nodes.select("fp"), params)))
 
 
 def kept_rows(printed: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of printed (row, fp; saved) that stay, by the labels (node, label) of the fingerprints that are linked."""
-    prints = printed.select("row.doc_id", "fp")
+    """The rows of printed (row, fp, at; saved) that stay, by the labels (node, label) of the fingerprints that are linked.
+
+    at: a number for each row. Whole rows are not shuffled where those that go are few enough to broadcast their numbers.
+    """
+    prints = printed.select("row.doc_id", "fp", "at")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
     # Each doc_id and fingerprint once, so that copies are one row before the join.
-    chosen = prints.distinct().join(named(nodes, labels), "fp").groupBy("label").agg(first)
+    chosen = prints.select("doc_id", "fp").distinct().join(named(nodes, labels), "fp").groupBy("label").agg(first)
     key = lambda doc_id, fp: F.concat_ws(":", doc_id, fp).alias("key")
     keys = chosen.select(key("first.doc_id", "first.fp")).distinct()
-    kept = printed.select("row", key("row.doc_id", "fp")).join(keys, "key", "left_semi").dropDuplicates(["key"])
-    return kept.select("row.*")
+    kept = prints.select("at", key("doc_id", "fp")).join(keys, "key", "left_semi").groupBy("key").agg(F.min("at").alias("at"))
+    gone = if_small(saved(prints.select("at").join(kept.select("at"), "at", "left_anti")), BROADCAST)
+    return printed.join(gone, "at", "left_anti").select("row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from frames import ODD, docs
+from pyspark.sql import functions as F
 from test_simhash import joined
 
 import corpus_pipeline as pipeline
@@ -70,6 +72,29 @@ def test_fingerprints_bring_candidates_and_sets_decide(spark):
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs(spark, rows), one_band).collect()) == sorted(slow_kept(rows)) == [1, 3, 4]
 
 
+def test_marks_never_differ_more_than_the_sets():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.choice([0, 3, 40, 400]))) for _ in range(30)]
+    texts += [" ".join(edited(t.split(), rng, 2)) for t in texts if len(t) > 40]
+    hashes, sizes = near_copies.shingles(pa.array(texts, pa.large_string()))
+    marks, ends = near_copies.marked(hashes, sizes), sizes.cumsum()
+    sets = [set(hashes[e - n : e].tolist()) for e, n in zip(ends, sizes)]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert sum(int(x).bit_count() for x in marks[a] ^ marks[b]) <= len(sets[a] ^ sets[b])
+
+
+def test_families_not_alike_enough_make_no_pairs(spark):
+    form = [f"f{k}" for k in range(70)]
+    family = [form + [f"own{k}-{j}" for j in range(15)] for k in range(60)]
+    texts = docs(spark, [(k, " ".join(words)) for k, words in enumerate([*family, [*family[0], "more"]])])
+    params = near_copies.NearCopyParams()
+    sketch = texts.select(near_copies.sketched(F.col("text")).alias("s"), near_copies.shingle_sets(F.col("text")).alias("shingles"))
+    nodes = near_copies.saved(sketch.select("s.*", "shingles").withColumn("label", F.col("fp")))
+    pairs = near_copies._rare_pairs(nodes, params)
+    assert pairs.distinct().count() == 1
+    assert pairs.count() <= 20
+
+
 def test_odd_documents(spark):
     got = near_copies.one_of_each(docs(spark, ODD)).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 4, 7, 8, 9, 11, 12, 13]
