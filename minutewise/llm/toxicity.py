@@ -17,6 +17,7 @@ are read. Repeated rows are scored alike; other columns are not looked at.
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import re
 import unicodedata
@@ -71,31 +72,72 @@ def readings(character: str) -> str:
     return LEET.get(character) or (base if base in LETTERS else LEET.get(base, ""))
 
 
-def restore(token: str, model: np.ndarray, inserted: bool = True) -> str:
+_CODES = {letter: code for code, letter in enumerate(LETTERS)}
+# Paths that a first, narrow pass keeps at a character, and what rounding may add to a path.
+_NARROW, _ROUNDING = 12, 1e-6
+
+
+class Letters:
+    """The character model in plain lists: log probabilities by history and next symbol, and the highest of each pair of symbols."""
+
+    def __init__(self, model: np.ndarray):
+        self.told = model.ravel().tolist()
+        self.pairs = model.max(axis=(0, 1)).tolist()
+
+
+def _at_best(steps: list, pairs: list[list[float]]) -> list[list[float]]:
+    """Before each step, by the last symbol: a bound that what is still to come can't exceed."""
+    bound = [row[EDGE] for row in pairs]
+    bounds = [bound]
+    for codes, swap, drop, dropped in reversed(steps):
+        onward = [(code, swap + bound[code]) for _, code in codes]
+        bound = [max([row[code] + b for code, b in onward] + ([kept + drop] if dropped else []), default=-np.inf) for row, kept in zip(pairs, bound)]
+        bounds.append(bound)
+    return bounds[::-1]
+
+
+def _best_path(steps: list, told: list[float], bounds: list[list[float]], least: float, narrow: bool) -> tuple[float, str]:
+    """(log probability, letters) of the best path of least or more; narrow: among few."""
+    # Best path to each history, as one number: (log probability, letters so far).
+    best: dict[int, tuple[float, str]] = {SYMBOLS**3 - 1: (0.0, "")}
+    for (codes, swap, drop, dropped), bound in zip(steps, bounds):
+        step: dict[int, tuple[float, str]] = {}
+        rows = best.items()
+        if narrow and len(best) > _NARROW:
+            rows = heapq.nlargest(_NARROW, rows, key=lambda row: row[1][0] + bound[row[0] % SYMBOLS])
+        for history, (score, text) in rows:
+            if score + bound[history % SYMBOLS] < least:
+                continue
+            if dropped and (history not in step or step[history][0] < score + drop):
+                step[history] = (score + drop, text)
+            score += swap
+            for letter, code in codes:
+                to = history % SYMBOLS**2 * SYMBOLS + code
+                reached = score + told[history * SYMBOLS + code]
+                if to not in step or step[to][0] < reached:
+                    step[to] = (reached, text + letter)
+        best = step
+    return max(((score + told[history * SYMBOLS + EDGE], text) for history, (score, text) in best.items()), default=(-np.inf, ""))
+
+
+def restore(token: str, model: np.ndarray | Letters, inserted: bool = True) -> str:
     """The most likely letters behind a token; model: log probabilities by three symbols of history and the next.
 
-    inserted: whether a letter or digit may stand for nothing.
+    inserted: whether a letter or digit may stand for nothing. Paths that can't become as likely as the best of a narrow
+    pass are left where that shows; the result is that of all paths.
     """
-    # Best path to each history: (log probability, letters so far).
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(EDGE, EDGE, EDGE): (0.0, "")}
-    before = ""
+    model = model if isinstance(model, Letters) else Letters(model)
+    steps, before = [], ""
     for character in token:
-        step: dict[tuple[int, int, int], tuple[float, str]] = {}
         letters = readings(character)
-        swap = 0.0 if letters == character else COST_LEET
         # A sign between letters may be dropped cheaply, a repeated letter too, any other character hardly ever.
         drop = COST_REPEAT if character == before else COST_STRANGE if character.isalnum() else COST_DROP
-        for history, (score, text) in best.items():
-            if (inserted or not letters or drop > COST_STRANGE) and (history not in step or step[history][0] < score + drop):
-                step[history] = (score + drop, text)
-            for letter in letters:
-                code = ord(letter) - 97
-                to = (history[1], history[2], code)
-                told = score + swap + model[(*history, code)]
-                if to not in step or step[to][0] < told:
-                    step[to] = (told, text + letter)
-        best, before = step, character
-    return max((score + model[(*history, EDGE)], text) for history, (score, text) in best.items())[1]
+        swap = 0.0 if letters == character else COST_LEET
+        steps.append(([(letter, _CODES[letter]) for letter in letters], swap, drop, inserted or not letters or drop > COST_STRANGE))
+        before = character
+    bounds = _at_best(steps, model.pairs)
+    sure = _best_path(steps, model.told, bounds, -np.inf, True)[0]
+    return _best_path(steps, model.told, bounds, sure - _ROUNDING * (1 + len(token)), False)[1]
 
 
 # ---- words of texts -----------------------------------------------------------------------------------
@@ -117,6 +159,9 @@ def other_readings(word: str) -> tuple[list[str], bool]:
     """What a word of letters may stand for besides itself, and whether it has more readings than were taken."""
     plain = word if word.isascii() else "".join(map(readings, word))
     places = [m.span() for m in _DOUBLED.finditer(plain)]
+    if len(places) == 1 and plain is word:
+        (start, end), = places
+        return [word[: start + 1] + word[end:]], False
     if len(places) < 2:
         found = {plain, _DOUBLED.sub(r"\1", plain)} if places else {plain}
         return sorted(found - {word, ""}), False
@@ -132,9 +177,12 @@ def other_readings(word: str) -> tuple[list[str], bool]:
 
 def plain_words(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The letters of each token without the signs around it, and whether it is plainly a word."""
-    core = pc.extract_regex(tokens, _PLAIN)
+    # Most tokens are small letters alone, which the costly pattern would only give back.
+    other = pc.invert(pc.match_substring_regex(tokens, "^[a-z]+$"))
+    found = pc.struct_field(pc.extract_regex(tokens.filter(other), _PLAIN), "core")  # null where it does not fit
+    core = pc.replace_with_mask(tokens, other, found)
     plain = pc.and_(core.is_valid(), pc.invert(pc.match_substring_regex(tokens, _TRIPLE)))
-    return pc.if_else(plain, core.field("core"), ""), plain.to_numpy(zero_copy_only=False)
+    return pc.if_else(plain, core, ""), plain.to_numpy(zero_copy_only=False)
 
 
 def count_letters(texts: pa.Array, total: np.ndarray) -> None:
@@ -186,7 +234,7 @@ class Restorer:
     KEPT = 200_000
 
     def __init__(self, model: np.ndarray):
-        self._model, self._known, self._other = model, {}, {}
+        self._model, self._known, self._other = Letters(model), {}, {}
 
     def restored(self, token: str, inserted: bool = True) -> str:
         if token not in self._known:

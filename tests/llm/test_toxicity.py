@@ -115,3 +115,37 @@ def test_disguises_are_scored(spark):
 def test_long_runs_of_lone_characters_take_time_in_proportion(model):
     ids, of = tox.Restorer(model.letters).hashes(pa.array(["a b c d " * 200], pa.large_string()))
     assert 3 < len(ids) <= 64 * 800
+
+
+def test_paths_that_cannot_win_are_not_followed(model, monkeypatch):
+    followed, best_path = [], tox._best_path
+
+    def counted(steps, told, bounds, least, narrow):
+        seen = Rows(told)
+        found = best_path(steps, seen, bounds, least, narrow)
+        followed.append(seen.read)
+        return found
+
+    class Rows(list):
+        read = 0
+
+        def __getitem__(self, k):
+            self.read += 1
+            return super().__getitem__(k)
+
+    monkeypatch.setattr(tox, "_best_path", counted)
+    token = "st0p-h4ting-th3-" * 3
+    assert tox.restore(token, model.letters)
+    narrow, pruned = followed[:2]
+    assert best_path_of_all(token, model.letters, best_path) == tox.restore(token, model.letters)
+    assert narrow + pruned < 100 * 16 * len(token)
+
+
+def best_path_of_all(token, model, best_path):
+    """What is found when no path is left."""
+    kept = tox._best_path
+    tox._best_path = lambda steps, told, bounds, least, narrow: best_path(steps, told, bounds, -float("inf"), False)
+    try:
+        return tox.restore(token, model)
+    finally:
+        tox._best_path = kept
