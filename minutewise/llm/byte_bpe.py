@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from minutewise.llm.common import lists, read, text_array
-from minutewise.llm.pieces import byte_characters, byte_level_encoder
+from minutewise.llm.common import lists, read, stretches, text_array
+from minutewise.llm.pieces import KEPT_PIECES, byte_characters, byte_level_encoder
 
 
 @dataclass(frozen=True)
@@ -65,9 +65,13 @@ def tokenizer(params: BytePairParams) -> Tokenizer:
     return made
 
 
+# Bytes of text cut into pieces at a time: a whole batch. Fewer take less room, as pieces take many times that of their text, and more time.
+AT_ONCE = 1 << 40
+
+
 @functools.cache
-def _encoder(params: BytePairParams):
-    return byte_level_encoder(tokenizer(params))
+def _encoder(params: BytePairParams, kept: int = KEPT_PIECES):
+    return byte_level_encoder(tokenizer(params), kept)
 
 
 @functools.cache
@@ -81,17 +85,17 @@ def _table(params: BytePairParams) -> tuple[list[bytes], np.ndarray]:
     return tokens, np.array([len(t) for t in tokens], dtype=np.int64)
 
 
-def _encode(texts: pa.Array, params: BytePairParams) -> tuple[np.ndarray, np.ndarray]:
-    found = _encoder(params)(texts.to_pylist())
+def _encode(texts: pa.Array, params: BytePairParams, kept: int = KEPT_PIECES, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    found = [ids for some in stretches(texts, at_once) for ids in _encoder(params, kept)(some.to_pylist())]
     return np.frombuffer(b"".join(found), "<i4"), np.array([len(f) // 4 for f in found], dtype=np.int64)
 
 
-def encode(params: BytePairParams = BytePairParams()):
-    """A function of a text column that gives the ids, array<int>."""
+def encode(params: BytePairParams = BytePairParams(), kept: int = KEPT_PIECES, at_once: int = AT_ONCE):
+    """A function of a text column that gives the ids, array<int>. kept, at_once: pieces that a worker keeps, and bytes that it cuts at a time."""
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
-        return lists(*_encode(text_array(text), params))
+        return lists(*_encode(text_array(text), params, kept, at_once))
 
     return ids
 
@@ -157,9 +161,9 @@ def ids_digest(ids, params: BytePairParams = BytePairParams()):
     return digest(ids)
 
 
-def round_trip(docs: DataFrame, params: BytePairParams = BytePairParams()) -> DataFrame:
-    """doc_id, ids and the decoded bytes of every row of docs."""
-    ids = docs.select("doc_id", encode(params)(F.col("text")).alias("ids"))
+def round_trip(docs: DataFrame, params: BytePairParams = BytePairParams(), kept: int = KEPT_PIECES, at_once: int = AT_ONCE) -> DataFrame:
+    """doc_id, ids and the decoded bytes of every row of docs. kept, at_once: as of encode."""
+    ids = docs.select("doc_id", encode(params, kept, at_once)(F.col("text")).alias("ids"))
     return ids.select("doc_id", "ids", decode(params)(F.col("ids")).alias("decoded"))
 
 

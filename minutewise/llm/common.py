@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,14 @@ def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.diff(offsets)
 
 
+def stretches(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A large_string array in consecutive stretches, each cut before the first text that begins size bytes or more further on; one at least."""
+    lengths = utf8_bytes(texts)[1]
+    cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // size)) + 1
+    bounds = [0, *cuts.tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(bounds, bounds[1:]))
+
+
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

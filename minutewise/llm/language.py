@@ -25,10 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minutewise.llm.common import held_out, lists, read, text_array, utf8_bytes
+from minutewise.llm.common import held_out, lists, read, stretches, text_array, utf8_bytes
 
 UNKNOWN = "und"
 
+# The n-grams of a text take some tens of times its bytes, and a worker keeps what it once took; so a batch is not worked on at once.
+STRETCH_BYTES = 1 << 19
+
 
 @dataclass(frozen=True)
 class LanguageParams:
@@ -91,14 +94,15 @@ def ngrams(texts: pa.Array, params: LanguageParams) -> tuple[Iterator[np.ndarray
 
 
 def _counts(texts: pa.Array, params: LanguageParams) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    grams, lengths = ngrams(texts, params)
-    grams = np.stack([*grams])
-    ends = np.cumsum(lengths)
     found = []
-    for start, end in zip(ends - lengths, ends):
-        ids, n = np.unique(grams[:, start:end], return_counts=True)
-        real = ids < params.buckets
-        found.append((ids[real], n[real]))
+    for some in stretches(texts, STRETCH_BYTES):
+        grams, lengths = ngrams(some, params)
+        grams = np.stack([*grams])
+        ends = np.cumsum(lengths)
+        for start, end in zip(ends - lengths, ends):
+            ids, n = np.unique(grams[:, start:end], return_counts=True)
+            real = ids < params.buckets
+            found.append((ids[real], n[real]))
     return [f[0] for f in found], [f[1] for f in found]
 
 
@@ -275,7 +279,8 @@ def identify(model: LanguageModel):
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def language(text: pa.Array) -> pa.Array:
-        best, score, rejected = _predict(text_array(text), model)
+        told = [_predict(some, model) for some in stretches(text_array(text), STRETCH_BYTES)]
+        best, score, rejected = map(np.concatenate, zip(*told))
         return pa.StructArray.from_arrays(
             [names.take(pa.array(np.where(best < 0, len(model.languages), best))), pa.array(score), pa.array(rejected)],
             names=["lang_pred", "score", "rejected"],

@@ -14,7 +14,7 @@ from itertools import chain
 
 from tokenizers import Tokenizer
 
-# Pieces in a generation; a worker keeps those of the present one and the one before. Bounds memory, not results.
+# Pieces in a generation; a worker keeps those of the present one and the one before, and as many words. Bounds memory, not results.
 KEPT_PIECES = 200_000
 ASKED_AT_ONCE = 20_000
 
@@ -33,9 +33,9 @@ def _plain_piece(letters: str) -> re.Pattern:
 class Pieces:
     """Ids of pieces, as unsigned 32-bit integers in the machine's (little-endian) order."""
 
-    def __init__(self, tokenizer: Tokenizer, plain: re.Pattern, prefix: str = ""):
+    def __init__(self, tokenizer: Tokenizer, plain: re.Pattern, prefix: str = "", kept: int = KEPT_PIECES):
         # plain: pieces whose groups normalisation leaves alone and the pattern cuts apart, so that each is the model's.
-        self._tokenizer, self._plain, self._prefix = tokenizer, plain, prefix
+        self._tokenizer, self._plain, self._prefix, self._kept = tokenizer, plain, prefix, kept
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
         self._merged: dict[str, bytes] = {}
@@ -53,14 +53,14 @@ class Pieces:
         self._model = self._tokenizer.model
         wanted = set(chain.from_iterable(texts))
         new = wanted.difference(self._known)
-        if len(self._known) + len(new) > KEPT_PIECES:
+        if len(self._known) + len(new) > self._kept:
             # What is still in use moves on into the new generation.
             self._known, self._before, new = {}, self._known, wanted
         known, before = self._known, self._before
         moved = new.intersection(before)
         known.update((p, before[p]) for p in moved)
         new.difference_update(moved)
-        if len(self._merged) > KEPT_PIECES:
+        if len(self._merged) > self._kept:
             self._merged.clear()
         waiting = []
         for piece in new:
@@ -91,10 +91,10 @@ _BEFORE_WORD = re.compile(r"(?= \S)")
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
-def byte_level_encoder(tokenizer: Tokenizer) -> Encoder:
+def byte_level_encoder(tokenizer: Tokenizer, kept: int = KEPT_PIECES) -> Encoder:
     """texts -> their ids as bytes, for tokenizers whose pattern starts words with an optional space."""
     plain = _plain_piece("A-Za-zÀ-ÖØ-öø-ÿ")
-    bare, spaced = Pieces(tokenizer, plain), Pieces(tokenizer, plain, " ")
+    bare, spaced = Pieces(tokenizer, plain, kept=kept), Pieces(tokenizer, plain, " ", kept)
 
     def encode(texts: list[str]) -> list[bytes]:
         first, rest = [], []
